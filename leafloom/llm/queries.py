@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup
+from leafloom.llm import exact_dedup, pii, secret_scan
 from leafloom.session import table
 
 
@@ -23,5 +23,15 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op10_exact_dedup": OP10_SQL}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
+
+
+QUERIES = {"op3_secret_scan": op3_secret_scan, "op4_pii": op4_pii, "op10_exact_dedup": op10_exact_dedup}
+ORACLES = {"op3_secret_scan": secret_scan.SQL, "op4_pii": pii.SQL, "op10_exact_dedup": OP10_SQL}
