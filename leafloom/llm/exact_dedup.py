@@ -30,7 +30,12 @@ from pyspark.sql.streaming import StreamingQuery
 from leafloom.llm.common import ascii_lower
 from leafloom.session import materialise, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on the executors' disks; what many small stores would reserve ahead is not taken, and commits upload changes only.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 ARRIVAL = "digest binary, doc_id bigint, locator bigint"
 #: Rows of a group that share one copy of the text they are compared with.
 SALT_ROWS = 64
@@ -66,10 +71,10 @@ class Ledger:
 
     def _stream(self) -> StreamingQuery:
         spark, table = self.spark, f"{self.root}/entries"
-        before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        if self.state_partitions:
-            spark.conf.set("spark.sql.shuffle.partitions", str(self.state_partitions))
+        conf = STATE_CONF | ({"spark.sql.shuffle.partitions": str(self.state_partitions)} if self.state_partitions else {})
+        before = {k: spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         keep = F.max(F.struct("doc_id", "locator"))
         state = spark.readStream.schema(ARRIVAL).parquet(self.arrivals).groupBy("digest").agg(keep.alias("keep"), F.count(F.lit(1)).alias("size"))
 
