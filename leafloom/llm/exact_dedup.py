@@ -119,8 +119,9 @@ def _differing(read: DataFrame, entries: DataFrame, digest) -> DataFrame:
     text = read.withColumn("digest", digest(F.col("norm")))
     # Only members of groups carry their text on; the small side has the digests alone.
     member = text.join(hits.select("digest", "keep", "salts"), "digest", "inner").withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int"))
-    # By doc_id, as a second read may number its rows otherwise; repeated rows with that id count once.
+    # Written once, as it is read twice; by doc_id, as a second read may number its rows otherwise; repeated rows with that id count once.
     member = member.select("digest", "salt", "norm", "salts", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("stays"))
+    member = materialise(member, "dedup-members")
     kept = member.filter("stays").select("digest", "norm", "salts").distinct().select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
     other = member.select("digest", "salt", "norm")
     return other.join(kept, ["digest", "salt"], "inner").filter("norm <> kept_norm").select("digest").distinct()
