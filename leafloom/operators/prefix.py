@@ -18,23 +18,25 @@ from pyspark.sql import functions as F
 _HALF = float(2**63)
 
 
-def unit_hash(*cols: Column, seed: int = 0) -> Column:
+def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) by hash: the same for the same values, on any run."""
     return (F.xxhash64(F.lit(seed), *cols).cast("double") / F.lit(_HALF) + 1.0) / 2.0
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], seed: int = 0, density: float = 4.0, few_keys: bool = False) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], seed: int = 0, density: float = 4.0, few_keys: bool = False, at: Column | None = None) -> DataFrame:
     """Add, for each (value column: name), the sum over the rows before this one in its key.
 
     ``order`` holds columns that tell rows apart; rows that agree in all of
     them are interchangeable and still get distinct sums. Null keys form a
     group of their own. Added columns beside those named: none. ``few_keys``
     states that the number of distinct keys has a proven bound (a constant, or
-    lengths below a window's size); their row counts are then broadcast.
+    lengths below a window's size); their row counts are then broadcast. ``at``
+    replaces the hash of the order columns: a number in [0, 1), never null.
     Exchanges carry one row per (key, bucket) and the rows once.
     """
+    hashed = unit_hash(*order, seed=seed) if at is None else at
     at, by = "__pfx_at", [f"__pfx_k{i}" for i in range(len(keys))]
-    keyed = df.withColumns({at: unit_hash(*order, seed=seed)} | {k: F.struct(F.col(c)) for k, c in zip(by, keys, strict=True)})
+    keyed = df.withColumns({at: hashed} | {k: F.struct(F.col(c)) for k, c in zip(by, keys, strict=True)})
     one = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__pfx_n"))
     size = one.withColumn("__pfx_b", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("__pfx_n").cast("double")) / F.lit(density)))).drop("__pfx_n")
     keyed = keyed.join(F.broadcast(size) if few_keys else size, by, "inner")
