@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup, pii, secret_scan
+from leafloom.llm import exact_dedup, langid, mixing, packing, pii, quality, secret_scan
 from leafloom.session import table
 
 
@@ -33,5 +33,37 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_sha256", F.sha2("base", 256)).drop("base")
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op4_pii": op4_pii, "op10_exact_dedup": op10_exact_dedup}
-ORACLES = {"op3_secret_scan": secret_scan.SQL, "op4_pii": pii.SQL, "op10_exact_dedup": OP10_SQL}
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
+    "op9_packing": op9_packing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLES = {"op3_secret_scan": secret_scan.SQL, "op4_pii": pii.SQL, "op5_mixing": mixing.SQL, "op10_exact_dedup": OP10_SQL}
