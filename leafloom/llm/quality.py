@@ -43,7 +43,7 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 
 #: Distances above these fail, in documents of at least so many words.
-MAX_CHAR_DISTANCE, MIN_CHAR_WORDS = 0.22, 50
+MAX_CHAR_DISTANCE, MIN_CHAR_WORDS = 0.25, 50
 MAX_WORD_DISTANCE, MIN_WORD_WORDS = 0.28, 150
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 

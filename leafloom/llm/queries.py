@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import exact_dedup, langid, mixing, packing, pii, quality, secret_scan
+from leafloom.llm import exact_dedup, langid, mixing, near_dedup, packing, pii, quality, secret_scan
 from leafloom.session import table
 
 
@@ -53,6 +53,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
+    "op8_near_dedup": op8_near_dedup,
     "op9_packing": op9_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
