@@ -17,7 +17,9 @@ of the links.
      buckets of up to PAIRS members; in larger ones, members that share a
      shingle of their prefixes. A set's prefix holds its rarest shingles, as
      many as two sets of similarity 0.8 must have one of in common, so this
-     finds every link, and a passage that many texts share is not in it.
+     finds every link, and a passage that many texts share is not in it. For
+     the sizes of a pair the prefixes that must meet are shorter still, which
+     the join demands of the ranks of the shared shingle.
 
 Weights: ``weights="count"`` takes shingle counts as weights and the weighted
 similarity (sum of minima over sum of maxima); the default takes each shingle
@@ -70,9 +72,10 @@ def _sketches(weights: str | None):
             for t in b.column("text"):
                 s, n = darts.shingles(t.as_py() or "", WIDTH)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes() + (n.tobytes() if weights else b"")))
-                sizes.append(int(n.sum()) if weights else len(s))
-                small = np.repeat((s >> np.uint64(32)).astype("<u4"), n if weights else 1)
-                sets.append(np.sort(small).tobytes() if weights else np.unique(small).tobytes())
+                small = (s >> np.uint64(32)).astype("<u4")
+                small = np.sort(np.repeat(small, n)) if weights else np.unique(small)
+                sizes.append(len(small))
+                sets.append(small.tobytes())
                 counts.append(len(s))
                 if len(s):
                     group.append((s, n))
@@ -129,7 +132,7 @@ def _ordered(df: DataFrame) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, n, comp, shingle): of each member, its rarest shingles among all members."""
+    """(key, n, comp, shingle, rank): of each member, its rarest shingles among all members."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,7 +145,7 @@ def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
     # Of a similar pair of sizes m <= n, at least SIMILAR * n shingles are shared, so fewer than this many of either set are not.
     most = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(1e-9)) + 1
-    return rare.withColumn("rank", rank).join(members, "key").filter(F.col("rank") <= most).select("key", "n", "comp", "shingle")
+    return rare.withColumn("rank", rank).join(members, "key").filter(F.col("rank") <= most).select("key", "n", "comp", "shingle", "rank")
 
 
 def _components(links: list[DataFrame]) -> DataFrame:
@@ -185,12 +188,15 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
     left = materialise(at.join(open_, "bucket"), "near-open")
     few, many = left.filter(F.col("members") <= PAIRS), left.filter(F.col("members") > PAIRS)
-    other = lambda df: df.select(*(F.col(c).alias(f"{c}_") for c in ("key", "n", "comp")), *(c for c in df.columns if c in ("bucket", "shingle")))
+    other = lambda df: df.select(*(F.col(c).alias(f"{c}_") for c in df.columns if c not in ("bucket", "shingle", "members")), *(c for c in df.columns if c in ("bucket", "shingle")))
     apart = (F.col("key") < F.col("key_")) & (F.col("comp") != F.col("comp_")) & _alike("n", "n_")
     rest = few.alias("x").join(other(few).alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
     if not many.isEmpty():
         pre = materialise(_prefixes(many.select("key", "n", "comp").distinct(), sets), "near-prefixes")
-        rest = rest.unionByName(pre.alias("x").join(other(pre).alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()).distinct()
+        # A similar pair shares at least this many; the first shingle it shares stands no later than that leaves room for.
+        least = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n") + F.col("n_")) - F.lit(1e-9))
+        early = (F.col("rank") + least <= F.col("n") + 1) & (F.col("rank_") + least <= F.col("n_") + 1)
+        rest = rest.unionByName(pre.alias("x").join(other(pre).alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & early).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()).distinct()
     found = _verified(rest.join(tried, ["a", "b"], "left_anti"), sets, "near-links")
     if not found.isEmpty():
         links.append(found)
