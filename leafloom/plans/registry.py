@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from leafloom.plans import table_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **table_queries.ORACLES}
