@@ -1,8 +1,6 @@
 """Tables from positioned items: rows, row groups, columns, grid, cells, headers.
 
-All stages are keyed by (doc_id, page) or finer. ``detect`` deals the items by
-page once; every group, window and join after that has a key that contains the
-page, so the planner adds no exchange but where a join's side is not yet there.
+All stages are keyed by (doc_id, page) or finer, so no key grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
 from leafloom.operators.layout import cluster_labels, sorted_by
+from leafloom.session import materialise
 
 PAGE = ("doc_id", "page")
 GROUP = (*PAGE, "grp")
@@ -207,11 +206,12 @@ class Detected:
 
 
 def detect(items: DataFrame, o: Options = Options()) -> Detected:
-    placed = row_items(items.repartition(*PAGE), o)
-    groups = row_groups(table_rows(rows_of(placed), o), o)
-    mine = grouped_items(placed, groups)
+    """All stages. Those that several others read are written to the shared folder, so none is computed twice."""
+    placed = materialise(row_items(items, o), "tables-rows")
+    groups = materialise(row_groups(table_rows(rows_of(placed), o), o), "tables-groups")
+    mine = materialise(grouped_items(placed, groups), "tables-items")
     columns = columns_of(mine, o)
-    refined = refine(columns)
+    refined = materialise(refine(columns), "tables-columns")
     valid = validate(mine, refined, o)
     return Detected(mine, groups, columns, refined, valid, cells(mine, groups, refined, valid, o))
 

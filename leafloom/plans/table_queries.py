@@ -61,8 +61,15 @@ def items(spark, sf):
     return order_pages(table(spark, sf, "lineitem"))
 
 
+_DETECTED: dict = {}
+
+
 def detected(spark, sf) -> B.Detected:
-    return B.detect(items(spark, sf))
+    """One detection for each session and input: its stages are tables in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DETECTED:
+        _DETECTED[key] = B.detect(items(spark, sf))
+    return _DETECTED[key]
 
 
 def headed(spark, sf):
@@ -132,8 +139,7 @@ def table_summary(spark, sf):
 @query("""SELECT p.doc_id, p.n AS pages_processed, coalesce(t, 0) AS table_count, coalesce(f, 0) AS filtered_candidates FROM (SELECT doc_id, count(DISTINCT page) AS n FROM items_ GROUP BY doc_id) p
 LEFT JOIN (SELECT doc_id, count(*) FILTER (valid) AS t, count(*) FILTER (NOT valid) AS f FROM valid_ GROUP BY doc_id) v USING (doc_id)""")
 def table_result(spark, sf):
-    x = items(spark, sf)
-    return B.result(B.detect(x), x)
+    return B.result(detected(spark, sf), items(spark, sf))
 
 
 @query("SELECT doc_id, page, grp, string_agg(line, chr(10) ORDER BY table_row) AS csv FROM csvrow GROUP BY ALL")
