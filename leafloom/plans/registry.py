@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafloom.plans import table_queries, text_queries
+from leafloom.plans import stream_queries, table_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES, **table_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **table_queries.QUERIES, **stream_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **table_queries.ORACLES, **stream_queries.ORACLES}
