@@ -100,8 +100,8 @@ def page_ranges(spec: Column, total: Column) -> Column:
         ends = F.split(part, "-")
         low = F.trim(F.get(ends, F.lit(0))).try_cast("int")
         high = F.coalesce(F.trim(F.get(ends, F.lit(1))).try_cast("int"), low)
-        low, high = F.greatest(low, F.lit(1)), F.least(high, total)
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        first, last = F.greatest(low, F.lit(1)), F.least(high, total)
+        return F.when(low.isNotNull() & high.isNotNull() & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(spec, ","), one))))
 
