@@ -1,10 +1,11 @@
 """Distributed prefix sums: running totals within a key, without a task that holds a key.
 
-A window over a whole key would sort a hot key in one task. Here each key is
-cut into about sqrt(rows)/4 buckets by a uniform hash, buckets are summed
-before the shuffle, the offsets of the buckets come from a window over the
-bucket sums alone, and only a bucket is sorted in a task. The order within a
-key is (hash, tie-breakers): random, the same on every run.
+A window over a whole key would sort a hot key in one task. Here the rows of
+every key are cut into BUCKETS ranges of a uniform hash. The ranges are summed
+before the shuffle, their offsets come from a window over these sums (BUCKETS
+rows a key at most, whatever the key's size), and only a range is sorted in a
+task. Rows are never dealt by their key alone. The order within a key is (hash,
+tie-breakers): random, the same on every run.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a key. A key of 3e10 rows has 7 million in each.
+BUCKETS = 4096
 #: Half of the range of a signed 64-bit hash, as a double.
 _HALF = float(2**63)
 
@@ -23,29 +26,23 @@ def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     return (F.xxhash64(F.lit(seed), *cols).cast("double") / F.lit(_HALF) + 1.0) / 2.0
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], seed: int = 0, density: float = 4.0, few_keys: bool = False, at: Column | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], seed: int = 0, at: Column | None = None) -> DataFrame:
     """Add, for each (value column: name), the sum over the rows before this one in its key.
 
     ``order`` holds columns that tell rows apart; rows that agree in all of
     them are interchangeable and still get distinct sums. Null keys form a
-    group of their own. Added columns beside those named: none. ``few_keys``
-    states that the number of distinct keys has a proven bound (a constant, or
-    lengths below a window's size); their row counts are then broadcast. ``at``
-    replaces the hash of the order columns: a number in [0, 1), never null.
-    Exchanges carry one row per (key, bucket) and the rows once.
+    group of their own. Added columns beside those named: none. ``at`` replaces
+    the hash of the order columns: a number in [0, 1), never null.
     """
     hashed = unit_hash(*order, seed=seed) if at is None else at
-    at, by = "__pfx_at", [f"__pfx_k{i}" for i in range(len(keys))]
-    keyed = df.withColumns({at: hashed} | {k: F.struct(F.col(c)) for k, c in zip(by, keys, strict=True)})
-    one = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("__pfx_n"))
-    size = one.withColumn("__pfx_b", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("__pfx_n").cast("double")) / F.lit(density)))).drop("__pfx_n")
-    keyed = keyed.join(F.broadcast(size) if few_keys else size, by, "inner")
-    keyed = keyed.withColumn("__pfx_i", F.floor(F.col(at) * F.col("__pfx_b"))).drop("__pfx_b")
+    by = [f"__pfx_k{i}" for i in range(len(keys))]
+    keyed = df.withColumns({"__pfx_at": hashed} | {k: F.struct(F.col(c)) for k, c in zip(by, keys, strict=True)})
+    keyed = keyed.withColumn("__pfx_i", F.floor(F.col("__pfx_at") * BUCKETS).cast("int"))
     sums = keyed.groupBy(*by, "__pfx_i").agg(*(F.sum(c).alias(f"__pfx_s{j}") for j, c in enumerate(values)))
     before = Window.partitionBy(*by).orderBy("__pfx_i").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*by, "__pfx_i", *(F.coalesce(F.sum(f"__pfx_s{j}").over(before), F.lit(0)).alias(f"__pfx_o{j}") for j in range(len(values))))
     joined = keyed.join(offsets, [*by, "__pfx_i"], "inner")
-    inside = Window.partitionBy(*by, "__pfx_i").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__pfx_i").orderBy("__pfx_at", *order).rowsBetween(Window.unboundedPreceding, -1)
     for j, (c, name) in enumerate(values.items()):
         joined = joined.withColumn(name, F.col(f"__pfx_o{j}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return joined.drop(at, "__pfx_i", *by, *(f"__pfx_o{j}" for j in range(len(values))))
+    return joined.drop("__pfx_at", "__pfx_i", *by, *(f"__pfx_o{j}" for j in range(len(values))))
