@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     places = F.broadcast(spark.createDataFrame(rows, PLAN).coalesce(1))
     order = ["doc_id", "doc_tokens", "rem_crc"]
     tails = read.filter("rem > 0").select("rem", *order, "cut_crc", F.lit(1).alias("one"))
-    ranked = prefix_sums(tails, ["rem"], order, {"one": "rank"}, few_keys=True)
+    ranked = prefix_sums(tails, ["rem"], order, {"one": "rank"})
     met = ranked.join(places, "rem", "inner").filter("rank >= first and rank < last")
     unit = F.col("unit") + F.col("rank") - F.col("first")
     whole = F.col("piece") == WHOLE
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
         (F.col("base") + unit % F.col("per") * F.col("size")).cast("bigint").alias("offset"),
     )
     big = read.filter(F.size("full") > 0).select(*order, "full", F.size("full").alias("windows"), F.lit(0).alias("all"))
-    big = prefix_sums(big, ["all"], [*order, "full"], {"windows": "windows_before"}, few_keys=True)
+    big = prefix_sums(big, ["all"], [*order, "full"], {"windows": "windows_before"})
     big = big.select("doc_id", "doc_tokens", "windows_before", F.posexplode("full").alias("k", "ids_crc32"))
     large = big.select("doc_id", (F.col("k").cast("bigint") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("length"), "ids_crc32", "doc_tokens", (F.col("windows_before") + F.col("k") + sequences).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     return small.unionByName(large)
