@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.llm import darts
-from leafloom.llm.components import components
+from leafloom.llm.components import grow
 from leafloom.session import materialise
 
 WIDTH, SIMILAR = 5, 0.8
@@ -148,13 +148,6 @@ def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return rare.withColumn("rank", rank).join(members, "key").filter(F.col("rank") <= most).select("key", "n", "comp", "shingle", "rank")
 
 
-def _components(links: list[DataFrame]) -> DataFrame:
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionByName(x)
-    return components(every, "near-components")
-
-
 def link_nodes(sketches: DataFrame) -> DataFrame | None:
     """(key, comp) of the nodes that have a link; None if there is no candidate."""
     nodes = sketches.filter("n > 0").select("key", "n", "bands").dropDuplicates(["key"])
@@ -163,7 +156,7 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
     rows = materialise(bucket.join(shared, "bucket"), "near-buckets")
     sets = sketches.join(rows.select("key").distinct(), "key", "left_semi").select("key", "shingles").dropDuplicates(["key"])
     sets = materialise(sets, "near-sets")
-    tried, links, comp = None, [], None
+    tried, comp = None, None
 
     def placed() -> DataFrame:
         if comp is None:
@@ -182,8 +175,7 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = _verified(pairs, sets, "near-links")
         if not found.isEmpty():
-            links.append(found)
-            comp = _components(links)
+            comp = grow(comp, found, "near-components")
     at = placed()
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
     left = materialise(at.join(open_, "bucket"), "near-open")
@@ -199,8 +191,7 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
         rest = rest.unionByName(pre.alias("x").join(other(pre).alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & early).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()).distinct()
     found = _verified(rest.join(tried, ["a", "b"], "left_anti"), sets, "near-links")
     if not found.isEmpty():
-        links.append(found)
-        comp = _components(links)
+        comp = grow(comp, found, "near-components")
     return comp
 
 
