@@ -74,3 +74,9 @@ def with_variants(base: DataFrame, variants: DataFrame) -> DataFrame:
     """Rendered pages and their quality variants: variants without a base page go, the others nest in order of quality."""
     nested = variants.groupBy("doc_id", "page").agg(F.array_join(in_order("path", "quality"), ",").alias("variants"))
     return base.join(nested, ["doc_id", "page"], "left").select("doc_id", "page", "path", F.coalesce("variants", F.lit("")).alias("variants"))
+
+
+def saved(sizes: DataFrame) -> DataFrame:
+    """(doc_id, images, original_bytes, saved_bytes, saved_percent) from sizes (doc_id, before, after) of optimised images."""
+    agg = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"), F.sum("before").alias("original_bytes"), F.sum(F.col("before") - F.col("after")).alias("saved_bytes"))
+    return agg.withColumn("saved_percent", T.half_up(100 * F.col("saved_bytes"), F.col("original_bytes")))

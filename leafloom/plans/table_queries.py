@@ -193,3 +193,18 @@ def text_stream(spark, sf):
 @query("SELECT doc_id, page, string_agg(str, ' ' ORDER BY idx) AS text FROM items_ GROUP BY ALL")
 def text_flat(spark, sf):
     return L.flat_text(items(spark, sf))
+
+
+@query(""", t AS (SELECT c.doc_id, c.page, c.grp, min(c.x) AS x, min(c.y) AS y, max(c.x + c.width) - min(c.x) AS w, max(c.y + c.height) - min(c.y) AS h FROM cells_ c GROUP BY ALL),
+s AS (SELECT doc_id, page, 'a' || grp AS id, x, y, w, h FROM t UNION ALL SELECT doc_id, page, 'b' || grp, x + 20 * (doc_id % 9), y, w, h FROM t)
+SELECT p.doc_id, p.page, p.id AS table_id_a, q.id AS table_id_b FROM s p JOIN s q ON p.doc_id = q.doc_id AND p.page = q.page AND p.id < q.id
+WHERE greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) >= 0.5 * least(p.w * p.h, q.w * q.h)""")
+def table_overlap(spark, sf):
+    """Tables against copies of themselves that are moved to the right."""
+    cells = detected(spark, sf).cells
+    t = cells.groupBy(*B.GROUP).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("t"))
+    t = t.select("doc_id", "page", "grp", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("t") - F.col("y")).alias("height"))
+    name = lambda p: F.concat(F.lit(p), F.col("grp").cast("string")).alias("table_id")
+    a = t.select("doc_id", "page", name("a"), "x", "y", "width", "height")
+    b = t.select("doc_id", "page", name("b"), (F.col("x") + 20 * (F.col("doc_id") % 9)).alias("x"), "y", "width", "height")
+    return B.overlap(a.unionByName(b))

@@ -313,3 +313,19 @@ def unit_formats(spark, sf):
         T.page_file("page-{page}-of-{total}", page=k % 1000, total=F.lit(1000), name=F.lit(""), ext=F.lit("")).alias("file"),
         T.data_url(F.lit("text/plain"), F.encode(k.cast("string"), "UTF-8")).alias("url"),
     )
+
+
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page FROM lineitem WHERE l_linenumber < 5), v AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, CAST(10 * (l_suppkey % 9) AS BIGINT) AS quality FROM lineitem)
+SELECT b.doc_id, b.page, 'p' || b.page || '.png' AS path, coalesce(string_agg('png-q' || quality, ',' ORDER BY quality), '') AS variants FROM b LEFT JOIN v USING (doc_id, page) GROUP BY ALL""")
+def page_variants(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page"), (10 * (F.col("l_suppkey") % 9)).alias("quality"))
+    base = x.filter("page < 5").select("doc_id", "page").distinct().withColumn("path", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png")))
+    variants = x.distinct().withColumn("path", F.concat(F.lit("png-q"), F.col("quality").cast("string")))
+    return I.with_variants(base, variants)
+
+
+@query("""SELECT l_orderkey AS doc_id, count(*) AS images, CAST(sum(l_partkey) AS BIGINT) AS original_bytes, CAST(sum(l_partkey - least(l_suppkey, l_partkey)) AS BIGINT) AS saved_bytes,
+CAST((200 * sum(l_partkey - least(l_suppkey, l_partkey)) + sum(l_partkey)) // nullif(2 * sum(l_partkey), 0) AS BIGINT) AS saved_percent FROM lineitem GROUP BY l_orderkey""")
+def optimise_totals(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("before"), F.least("l_suppkey", "l_partkey").alias("after"))
+    return I.saved(x)
