@@ -42,6 +42,15 @@ def test_quality_counts(spark):
     assert quality.judge(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_quality_judges_short_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality.judge(docs.select("doc_id", "lang", "text")).join(labels, "doc_id")
+    held = judged.filter("crc32(cast(doc_id as string)) % 2 = 1 and n_words between 50 and 149 and not base_failed")  # the thresholds come from the others
+    n = {(r.quality, r.kept): r["count"] for r in held.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] >= 0.8 * (n[0, False] + n.get((0, True), 0))
+    assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0))
+
+
 def test_tool_calls(spark):
     calls = [(1, "a", 0, "add", '{"y":2,"x":1}', ["b"]), (1, "b", 1, "add", '{"x":1.5}', []), (1, "c", 2, "add", '{"x":', ["d"]), (1, "d", 2, "other", "{}", ["c"]), (2, "a", 0, "add", '{"x":1,"y":2}', []), (2, "a", 0, "add", '{"x":1,"y":3}', [])] + [(None, "n", None, None, None, None)]
     results = [(1, "a", 3, "three"), (2, "a", 1, "first"), (2, "a", 2, "second"), (3, "z", 1, "lost")]
