@@ -7,9 +7,13 @@ commas and stops, whether it looks like a notice) gives the cost of calling it c
 of calling it boilerplate. These costs are the terminal capacities of a graph;
 neighbours in page order, and blocks that share a deep container, are joined by
 smoothness edges. The minimum cut (Dinic's maximum flow) is the labelling of
-least total cost. Elements whose meaning is fixed (nav, footer, form, script,
-comments and the like, by tag, role or class name) have capacities that
-no smoothness outweighs.
+least total cost. Elements whose meaning is fixed (nav, footer, form and the
+like, by tag or role, and what is hidden) have capacities that no smoothness
+outweighs. Class names and ids (comments, sidebar) only add a cost: what they
+mark may be a wrapper of the page. main, and an article that alone holds an h1
+or has more than half of the page's text, clear the mark of the elements around
+them; a marked element with an h1 and more text than is outside of marks, or
+with all text, keeps a small cost.
 
 Defined results
   null html        the empty page: no text
@@ -41,6 +45,11 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 # Words in class names and ids that tell what an element is for.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related recommended replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget".split())
 GOOD_WORDS = frozenset("article content entry main post story text body".split())
+# Words before a bad one that make a name tell of a state or subject (has-sidebar, no-comments, tag-cookies) ...
+STATE_WORDS = frozenset("has no not with without hide show category tag type format status".split())
+# ... of layout, next to a good word (content-sidebar-wrap), and of what a header is the title of (entry-header).
+WRAP_WORDS = frozenset("wrap wrapper container layout outer inner grid row columns".split())
+TITLED_WORDS = frozenset("article content entry post story".split())
 NOTICE = re.compile(r"©|\b(?:all rights reserved|cookies?|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|newsletter|advertisement|sponsored)\b", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -52,18 +61,28 @@ _SPACE = re.compile(r"\s+")
 #: A capacity above anything the other edges add up to at a block.
 CERTAIN = 1000.0
 ADJACENT, NEAR = 0.6, 0.9
+#: Costs of calling content what a class name marks; of a mark on what looks like the page's wrapper.
+MARKED, MARKED_WRAPPER = 8.0, 1.0
 #: Blocks of one container that are tied to the container's previous blocks, each.
 TIES = 2
 
 
+#: What main and article say about being a content container; class words say 1.
+MAIN, ARTICLE = 2.5, 2.0
+
+
 class _Element:
-    __slots__ = ("bad", "good", "name", "number", "depth", "parent", "link")
+    __slots__ = ("bad", "good", "name", "number", "depth", "parent", "link", "mark", "article")
 
-    def __init__(self, name: str, number: int, parent: _Element | None, bad: bool, good: float) -> None:
+    def __init__(self, name: str, number: int, parent: _Element | None, bad: bool, good: float, marked: bool = False) -> None:
         self.name, self.number, self.parent = name, number, parent
         self.depth = parent.depth + 1 if parent else 0
         self.bad = bad or bool(parent and parent.bad)
-        self.good = max(good, parent.good if parent else 0.0)
+        marked = marked and not (name == "article" and not (parent and parent.mark))
+        #: The nearest element that class words mark; the article between it and here.
+        self.mark = self if marked else parent.mark if parent and good < MAIN else None
+        self.article = None if marked or not parent else self if good == ARTICLE else parent.article
+        self.good = 0.0 if marked else max(good, parent.good if parent else 0.0)
         self.link = name == "a" or bool(parent and parent.link)
 
 
@@ -74,25 +93,43 @@ class Block:
         self.text, self.owner, self.linked, self.heading = text, owner, linked, heading
 
 
-def _nature(name: str, attrs: str, inside_article: bool) -> tuple[bool, float]:
-    """(surely boilerplate, how much it looks like a content container)"""
-    good = 2.0 if name in ("article", "main") else 0.0
+def _name_says(name: str, inside_article: bool) -> int:
+    """-1, 0 or 1: a class name or id tells of boilerplate, nothing or content."""
+    words = [w.lower() for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", name))]
+    bad = [k for k, w in enumerate(words) if w in BAD_WORDS]
+    good = [k for k, w in enumerate(words) if w in GOOD_WORDS]
+    if not bad:
+        return 1 if good else 0
+    before = words[: bad[0]]
+    if not STATE_WORDS.isdisjoint(before) or good and not WRAP_WORDS.isdisjoint(words):
+        return 0
+    if {words[k] for k in bad} == {"header"} and (inside_article or not TITLED_WORDS.isdisjoint(before)):
+        return 0
+    return -1
+
+
+def _nature(name: str, attrs: str, inside_article: bool) -> tuple[bool, float, bool]:
+    """(surely boilerplate, how much it looks like a content container, marked by class words)"""
+    good = MAIN if name == "main" else ARTICLE if name == "article" else 0.0
     bad = name in NEVER or (name == "header" and not inside_article)
+    marked = False
     if attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
                 bad |= value.lower() in BAD_ROLES
-                good = max(good, 2.0 if value.lower() in ("main", "article") else 0.0)
+                good = max(good, {"main": MAIN, "article": ARTICLE}.get(value.lower(), 0.0))
             elif key in ("class", "id"):
-                words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", value))}
-                if words & BAD_WORDS and name not in ("body", "html", "article", "main"):
-                    bad = True
-                elif words & GOOD_WORDS:
+                says = {_name_says(x, inside_article) for x in value.split()}
+                if -1 in says:
+                    marked = True
+                elif 1 in says:
                     good = max(good, 1.0)
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 bad = True
-    return bad, good
+    if name in ("body", "html") or good == MAIN:
+        marked = False
+    return bad, good, marked
 
 
 def blocks(page: str) -> list[Block]:
@@ -181,14 +218,46 @@ def blocks(page: str) -> list[Block]:
         while up:
             inside |= up.name in ("article", "main")
             up = up.parent
-        bad, good = _nature(name, m[3], inside)
-        top = _Element(name, number, top, bad, good)
+        top = _Element(name, number, top, *_nature(name, m[3], inside))
     close(root)
     end()
     return made
 
 
-def costs(block: Block) -> tuple[float, float]:
+def marks(found: list[Block]) -> list[float]:
+    """For each block, the cost that class words put on calling it content."""
+    out = [0.0] * len(found)
+    if all(b.owner.mark is None for b in found):
+        return out
+    size: dict[int, int] = {}
+    titled = set()
+    total = plain = 0  # of all text, of what no class word marks
+    for b in found:
+        if b.owner.bad:
+            continue
+        n = len(b.text) - b.linked
+        total += n
+        plain += n if b.owner.mark is None else 0
+        mark, over = b.owner.mark, [b.owner.article] if b.owner.article else []
+        while mark:
+            over.append(mark)
+            mark = mark.parent.mark
+        for e in over:
+            size[e.number] = size.get(e.number, 0) + n
+            if b.owner.name == "h1":
+                titled.add(e.number)
+    articles = {b.owner.article.number for b in found if b.owner.article and not b.owner.bad}
+    clear = {k for k in articles if 2 * size[k] > total} or (titled & articles if len(titled & articles) == 1 else set())
+    for i, b in enumerate(found):
+        mark, article = b.owner.mark, b.owner.article
+        if mark and not (article and article.number in clear):
+            held = size.get(mark.number, 0)
+            wrapper = held > plain and (mark.number in titled or held == total)
+            out[i] = MARKED_WRAPPER if wrapper else MARKED
+    return out
+
+
+def costs(block: Block, mark: float = 0.0) -> tuple[float, float]:
     """(cost of calling it boilerplate, cost of calling it content), by a linear classifier.
 
     The weights are fixed values of this operator.
@@ -197,7 +266,8 @@ def costs(block: Block) -> tuple[float, float]:
         return 0.0, CERTAIN
     words = block.text.count(" ") + 1
     density = block.linked / len(block.text)
-    score = 0.4 + 1.5 * block.owner.good - 4.0 * density + 0.06 * min(words, 40) + 0.15 * min(sum(map(block.text.count, ".,;:!?")), 6)
+    good = 0.0 if mark == MARKED else min(block.owner.good, 2.0)
+    score = 0.4 + 1.5 * good - mark - 4.0 * density + 0.06 * min(words, 40) + 0.15 * min(sum(map(block.text.count, ".,;:!?")), 6)
     score += 0.8 * block.heading + 0.5 * (block.owner.name == "p") - 1.0 * (block.owner.name == "li" and density > 0.5)
     if words < 25 and NOTICE.search(block.text) and block.owner.good < 2.0:
         score -= 3.0
@@ -271,14 +341,15 @@ def cut(keep: list[float], drop: list[float], edges: list[tuple[int, int, float]
                 break
 
 
-def _edges(found: list[Block]) -> list[tuple[int, int, float]]:
+def _edges(found: list[Block], marked: list[float]) -> list[tuple[int, int, float]]:
     edges = []
     last: dict[int, list[int]] = {}
+    alone = [b.owner.bad or m == MARKED for b, m in zip(found, marked, strict=True)]
     for i, b in enumerate(found):
-        if i and not (b.owner.bad or found[i - 1].owner.bad):
+        if i and not (alone[i] or alone[i - 1]):
             edges.append((i - 1, i, ADJACENT if b.owner.parent is found[i - 1].owner.parent else ADJACENT / 3))
         up = b.owner.parent
-        if up is not None and not b.owner.bad and up.name not in ("body", "html", "#"):
+        if up is not None and not alone[i] and up.name not in ("body", "html", "#"):
             before = last.setdefault(up.number, [])
             edges.extend((j, i, NEAR / (1 + k)) for k, j in enumerate(reversed(before)) if j != i - 1 or k)
             before.append(i)
@@ -291,8 +362,9 @@ def extract(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    pairs = [costs(b) for b in found]
-    stays = cut([k for k, _ in pairs], [d for _, d in pairs], _edges(found))
+    marked = marks(found)
+    pairs = [costs(b, m) for b, m in zip(found, marked, strict=True)]
+    stays = cut([k for k, _ in pairs], [d for _, d in pairs], _edges(found, marked))
     return "\n".join(b.text for b, ok in zip(found, stays, strict=True) if ok)
 
 

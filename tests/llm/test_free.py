@@ -99,6 +99,29 @@ def test_html(spark):
     assert len(got) == 6 and texts[1] == (want, len(want)) and texts[2] == ("", 0) and texts[None] == ("", 0)
 
 
+def test_html_class_words_do_not_decide_alone():
+    title, a, b = "A title", "The first paragraph says something, and it is long enough to be read.", "The second one goes on, and ends here."
+    body = f"<h1>{title}</h1><p>{a}</p><p>{b}</p>"
+    want = f"{title}\n{a}\n{b}"
+    extra = "<div class='comments'><div class='comment-body'><p>A long comment, which says that it is nice, very nice, and so on, and on, and on, and more of it. It has a second sentence, too.</p></div></div>"
+    for page in (
+        f"<div class='content-sidebar-wrap'><main><article>{body}</article></main></div>",
+        f"<div class='has-sidebar'><div>{body}</div></div>",
+        f"<div class='post no-comments tag-cookies'>{body}</div>",
+        f"<article><div class='entry-header'><h1>{title}</h1></div><p>{a}</p><p>{b}</p></article>",
+        f"<div class='post'><div class='entry-header'><h1>{title}</h1></div><p>{a}</p><p>{b}</p></div>",
+        f"<div id='sidebar'><main>{body}</main></div>",
+        f"<div class='widget'><article>{body}</article></div>",
+        f"<div class='social'><div>{body}</div></div>",
+        f"<div class='noSidebar'><article class='post sponsored'>{body}</article></div>",
+    ):
+        assert html_text.extract(f"<body>{page}</body>") == want, page
+        assert html_text.extract(f"<body>{page}{extra}<div class='ad'>Buy this now.</div></body>") == want, page
+    teaser = "<article><h3>Another</h3><p>A text about another thing, short, but with commas.</p></article>"
+    page = f"<body><article>{body}</article><div class='related'>{teaser}{teaser}</div><ol class='comment-list'><li class='comment'><article class='comment-body'><p>Well said, {a}</p></article></li></ol></body>"
+    assert html_text.extract(page) == want
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
