@@ -17,7 +17,8 @@ with all text, keeps a small cost.
 
 Defined results
   null html        the empty page: no text
-  unclosed tags    closed where HTML closes them: p, li, td, ... by their next sibling, others with their parent
+  unclosed tags    closed where HTML closes them: p, li, td, ... by their next sibling, others with their parent;
+                   svg, object, select, noscript without end tag are ignored as tags
   very long pages  whole; proximity edges per block are bounded, so the graph grows with the page
   repeated rows    one result row each
   empty table      no rows
@@ -36,11 +37,13 @@ from pyspark.sql import DataFrame
 
 # Element names by what they do here.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas iframe".split())
-RAW = frozenset("script style noscript template textarea title svg object iframe noembed noframes xmp select".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
+#: Elements with markup inside that are skipped from start tag to end tag; a start tag without an end tag is ignored.
+SKIPPED = frozenset("svg object select noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select", "datalist"}}
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "video", "audio", "canvas", "iframe", "td", "th", "tr", "tbody", "thead", "tfoot"}
-NEVER = frozenset("nav footer aside form menu dialog button search".split())
+NEVER = frozenset("nav footer aside form menu dialog button search option optgroup".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 # Words in class names and ids that tell what an element is for.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion related recommended replies reply respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar topbar widget".split())
@@ -54,6 +57,7 @@ NOTICE = re.compile(r"©|\b(?:all rights reserved|cookies?|privacy policy|terms
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_SKIPPED = re.compile(f"<(?:{'|'.join(sorted(SKIPPED))})", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPACE = re.compile(r"\s+")
@@ -132,6 +136,33 @@ def _nature(name: str, attrs: str, inside_article: bool) -> tuple[bool, float, b
     return bad, good, marked
 
 
+def _skips(page: str) -> dict[int, int]:
+    """Where SKIPPED elements start, and where each one ends; a start tag without an end tag ends at once."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in SKIPPED}
+    if not _SKIPPED.search(page):
+        return found
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in SKIPPED:
+            if m[1]:
+                if opened[name]:
+                    found[opened[name].pop()] = at
+            else:
+                found[m.start()] = at
+                if not (name == "svg" and m[3].endswith("/")):
+                    opened[name].append(m.start())
+        elif name in RAW and not m[1] and not (opened["svg"] and m[3].endswith("/")):
+            at = _raw_end(page, name, at)
+    return found
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return stop.end() if stop else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; inline tags stay inside a block, block-level ones and line breaks of two end it."""
     root = _Element("#", 0, None, False, 0.0)
@@ -165,6 +196,7 @@ def blocks(page: str) -> list[Block]:
                 end()
             top = top.parent
 
+    skips = _skips(page)
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
@@ -176,6 +208,9 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         name = m[2].lower()
+        if name in SKIPPED:
+            at = skips.get(m.start(), at)
+            continue
         if m[1]:
             found = top
             while found and found.name != name:
@@ -186,8 +221,7 @@ def blocks(page: str) -> list[Block]:
                 close(found.parent)
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
+            at = _raw_end(page, name, at)
             if name in BLOCK:
                 end()
             continue
@@ -203,6 +237,8 @@ def blocks(page: str) -> list[Block]:
                 p = p.parent
             if p and p.parent:
                 close(p.parent)
+        while name in BLOCK and name not in ("option", "optgroup", "hr") and top.name in ("option", "optgroup"):
+            close(top.parent)
         if name in CLOSED_BY_SELF:
             same = top
             while same and same.name not in CLOSED_BY_SELF[name] and same.name != name:

@@ -122,6 +122,17 @@ def test_html_class_words_do_not_decide_alone():
     assert html_text.extract(page) == want
 
 
+def test_html_elements_without_end_tag_take_nothing_else():
+    a, b = "The first paragraph says something, and it is long enough to be read.", "The second one goes on, and ends here, too."
+    article, want = f"<article><p>{a}</p><p>{b}</p></article>", f"{a}\n{b}"
+    svg = "<svg class='i'><title/><style/><svg><text>inner</text></svg><text>icon</text></svg>"
+    select = "<select><option>One<option>Two</select>"
+    for before in ("", "<svg viewBox='0 0 1 1'/>", "<svg/>", "<svg><path d='M0'/>", "<object data='x'>", "<select><option>One<option>Two", "<div><noscript></div>", svg, select, "<object><object>x</object>y</object>", "<noscript><p>Please enable it.</p></noscript>", "<script>'<svg>'</script>", "<!-- <svg> -->"):
+        for after in ("", svg, select, "<object>x</object>", "<noscript>x</noscript>"):
+            assert html_text.extract(f"<body>{before}{article}{after}</body>") == want, (before, after)
+    assert html_text.extract(f"<p>{a} <svg/>and <svg><text>icon</text></svg>more</p>") == f"{a} and more"
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
