@@ -4,13 +4,16 @@ The vocabulary's pre-tokenizer never joins what ASCII white space separates,
 so a text's ids are those of its words, one after the other. Words are looked
 up in a bounded cache. A word of plain ASCII or Latin-1 letters that is not
 there is split as the pre-tokenizer would and merged by a byte-pair encoder
-over the same merges; any other word goes to the tokenizer itself.
+over the same merges; any other word goes to the tokenizer itself, as does one
+that holds an added token of the file (<|endoftext|>), and the whole text where
+an added token holds white space.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 
 END = b"\xff"  # stands for the end of a word; no UTF-8 text holds it
 CACHE = 400_000
@@ -25,6 +28,12 @@ def _byte_of() -> dict[str, int]:
     return out | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
+def _any_of(tokens: Iterable[str]) -> re.Pattern | None:
+    """Finds any of the tokens in any case (the vocabulary may match them in lower case), any run of spaces as one."""
+    parts = [r"\s+".join(map(re.escape, re.split(r"\s+", t))) for t in tokens]
+    return re.compile("|".join(parts), re.I) if parts else None
+
+
 class WordIds:
     """ids(text): little-endian unsigned 32-bit ids as bytes."""
 
@@ -33,9 +42,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        added = [t["content"] for t in file.get("added_tokens", [])]
+        self.added = _any_of(t for t in added if not re.search(r"\s", t))
+        self.added_spaced = _any_of(t for t in added if re.search(r"\s", t))
         vocab, byte_of = model["vocab"], _byte_of()
 
         def raw(token: str) -> bytes:
@@ -54,12 +66,17 @@ class WordIds:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
-        if len(text) < 200 and _PLAIN.fullmatch(text):
+        if len(text) < 200 and _PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             ids = self.rank_to_id
             return b"".join([ids[r] for p in _PIECES.findall(text.lower()) for r in self.merge(p.encode() + END)])
+        return self._exact(text)
+
+    def _exact(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.exact.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
+        if self.added_spaced and self.added_spaced.search(text):
+            return self._exact(text)
         words, cache = text.encode("utf-8", "surrogatepass").split(), self.cache
         new = set(words).difference(cache)
         if len(cache) + len(new) > CACHE:

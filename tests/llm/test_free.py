@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 from leafloom.llm import darts, html_text, langid, near_dedup, packing, quality, tool_calls
 from leafloom.llm.queries import tokenizer_path
@@ -241,3 +242,21 @@ def test_packing_round_trip(spark):
     twice = packing.pack(frame(spark, [(None, "a b", None), (None, "a b", None)]), tokenizer_path())
     assert twice.agg(F.sum("length")).first()[0] == 6
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    exact = Tokenizer.from_file(tokenizer_path())
+    plain = lambda tok, t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    texts = [f"a {end} b", f"a{end}b", end, f"{end}{start}", f"x {end}, it's{start}{end} é{end}ü 日{end}本", f"{'w' * 250}{end}", "<|ENDOFTEXT|> <|endoftext| > <|endof text|>", f"\n{start}\tq {end}\n", "no token"]
+    ids = word_ids(tokenizer_path())
+    for t in texts:
+        assert ids.ids(t) == plain(exact, t), t
+    assert plain(exact, texts[0]) == np.array([320, 49407, 321], "<u4").tobytes()
+    packed = {r.doc_id: r for r in packing.pack(frame(spark, [(1, texts[0], None)]), tokenizer_path()).collect()}
+    assert packed[1].doc_tokens == 4 and packed[1].ids_crc32 == zlib.crc32(np.array([320, 49407, 321, 1], "<u4").tobytes())
+    exact.add_tokens([AddedToken("two words", normalized=True), AddedToken("Mixed", normalized=True)])
+    exact.save(str(tmp_path / "more.json"))
+    more, ids = Tokenizer.from_file(str(tmp_path / "more.json")), word_ids(str(tmp_path / "more.json"))
+    for t in [*texts, "a two words b", "two  Words", "say MIXED mixedxMixed", "two word s"]:
+        assert ids.ids(t) == plain(more, t), t
