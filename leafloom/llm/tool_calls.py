@@ -22,7 +22,12 @@ Defined results
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -43,38 +48,173 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """What of a JSON value breaks a schema (type, enum, const, bounds, properties, items)."""
+#: Keywords that are checked, by what they hold: one schema, a list, a map of schemas, other values.
+_ONE = frozenset("additionalProperties contains else if items not propertyNames then".split())
+_MANY = frozenset("allOf anyOf oneOf prefixItems".split())
+_MAPS = frozenset("$defs definitions dependentSchemas patternProperties properties".split())
+_PLAIN = frozenset("$ref const dependentRequired enum exclusiveMaximum exclusiveMinimum maxContains maxItems maxLength maxProperties maximum minContains minItems minLength minProperties minimum multipleOf pattern required type uniqueItems".split())
+#: Keywords that demand nothing (format only describes, as JSON Schema has it by default).
+_NOTES = frozenset("$comment $id $schema contentEncoding contentMediaType default deprecated description examples format readOnly title writeOnly".split())
+_KNOWN = _ONE | _MANY | _MAPS | _PLAIN | _NOTES
+
+
+def check_schema(schema, root=None, at: str = "#") -> None:
+    """Raises ValueError on what ``violations`` doesn't check: unknown keywords, references out of the schema, patterns re can't read."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: not a schema")
+    for key, x in schema.items():
+        if key not in _KNOWN and not key.startswith("x-"):
+            raise ValueError(f"{at}: keyword {key} is not checked")
+        if key == "$id" and schema is not root or key.startswith("exclusive") and isinstance(x, bool):
+            raise ValueError(f"{at}: {key} {x} is not checked")
+        if key == "items" and isinstance(x, list):
+            raise ValueError(f"{at}: a list of items is written prefixItems")
+        if key in _ONE:
+            check_schema(x, root, f"{at}/{key}")
+        elif key in _MANY or key in _MAPS:
+            for k, part in enumerate(x) if key in _MANY else x.items():
+                check_schema(part, root, f"{at}/{key}/{k}")
+        elif key == "$ref":
+            if not isinstance(_target(root, x), dict | bool):
+                raise ValueError(f"{at}: {x} is not a schema")
+        elif key == "type" and not ({x} if isinstance(x, str) else set(x)) <= _KINDS.keys() | {"integer", "number"}:
+            raise ValueError(f"{at}: type {x}")
+    for p in [*([schema["pattern"]] if "pattern" in schema else []), *schema.get("patternProperties", {})]:
+        try:
+            _pattern(p)
+        except re.error as e:
+            raise ValueError(f"{at}: pattern {p}: {e}") from e
+
+
+def _target(root, ref: str):
+    """What a reference into the schema (# or #/a/b) names."""
+    if ref != "#" and not ref.startswith("#/"):
+        raise ValueError(f"reference {ref} is not into the schema")
+    for part in unquote(ref[2:]).split("/") if ref != "#" else []:
+        part = part.replace("~1", "/").replace("~0", "~")
+        try:
+            root = root[int(part)] if isinstance(root, list) else root[part]
+        except (KeyError, IndexError, ValueError, TypeError) as e:
+            raise ValueError(f"reference {ref} names nothing") from e
+    return root
+
+
+@lru_cache(1024)
+def _pattern(text: str) -> re.Pattern:
+    """As JSON Schema reads it: ASCII classes, $ is the very end."""
+    return re.compile(re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]|\$", lambda m: r"\Z" if m[0] == "$" else m[0], text, flags=re.S), re.ASCII)
+
+
+def _key(value):
+    """Equal for equal JSON values only: 1 and 1.0 are, 1 and true are not."""
+    if isinstance(value, dict):
+        return "object", frozenset((k, _key(v)) for k, v in value.items())
+    if isinstance(value, list):
+        return "array", tuple(map(_key, value))
+    return "boolean" if isinstance(value, bool) else "other", value
+
+
+def _multiple(value, step) -> bool:
+    return (isinstance(value, int) or math.isfinite(value)) and Fraction(str(value)) % Fraction(str(step)) == 0
+
+
+def violations(value, schema, at: str = "$", root=None, refs: frozenset = frozenset()) -> list[str]:
+    """What of a JSON value breaks a schema; ValueError on a keyword that isn't checked."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    if not schema.keys() <= _KNOWN:
+        for k in schema.keys() - _KNOWN:
+            if not k.startswith("x-"):
+                raise ValueError(f"keyword {k} is not checked")
+    root = schema if root is None else root
     out, kinds = [], schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
+    number = isinstance(value, int | float) and not isinstance(value, bool)
 
     def is_a(kind: str) -> bool:
-        number = isinstance(value, int | float) and not isinstance(value, bool)
         if kind == "integer":
-            return number and value == int(value)
+            return number and (isinstance(value, int) or value.is_integer())
         return number if kind == "number" else isinstance(value, _KINDS[kind])
 
+    def breaks(part) -> list[str]:
+        return violations(value, part, at, root, refs)
+
+    def inner(x, part, name: str) -> list[str]:
+        return violations(x, part, at + name, root)
+
     if kinds and not any(map(is_a, kinds)):
         return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    if "enum" in schema and _key(value) not in map(_key, schema["enum"]) or "const" in schema and _key(value) != _key(schema["const"]):
         out.append(f"{at}: not one of the values")
-    for key, size, bad in (("minLength", str, lambda n: len(value) < n), ("maxLength", str, lambda n: len(value) > n), ("minItems", list, lambda n: len(value) < n), ("maxItems", list, lambda n: len(value) > n), ("minimum", int | float, lambda n: value < n), ("maximum", int | float, lambda n: value > n)):
-        if key in schema and isinstance(value, size) and not isinstance(value, bool) and bad(schema[key]):
+    for key, size, bad in _BOUNDS:
+        if key in schema and isinstance(value, size) and not isinstance(value, bool) and bad(value, schema[key]):
             out.append(f"{at}: {key} {schema[key]}")
+    if "$ref" in schema and schema["$ref"] not in refs:
+        out += violations(value, _target(root, schema["$ref"]), at, root, refs | {schema["$ref"]})
+    for part in schema.get("allOf", []):
+        out += breaks(part)
+    if "anyOf" in schema and all(map(breaks, schema["anyOf"])):
+        out.append(f"{at}: anyOf")
+    if "oneOf" in schema and sum(not breaks(part) for part in schema["oneOf"]) != 1:
+        out.append(f"{at}: oneOf")
+    if "not" in schema and not breaks(schema["not"]):
+        out.append(f"{at}: not")
+    if "if" in schema:
+        out += breaks(schema.get("else" if breaks(schema["if"]) else "then", True))
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, shaped = schema.get("properties", {}), schema.get("patternProperties", {})
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
+        out += [f"{at}.{n}: missing" for k, needs in schema.get("dependentRequired", {}).items() if k in value for n in needs if n not in value]
+        for k, part in schema.get("dependentSchemas", {}).items():
+            if k in value:
+                out += breaks(part)
         for k, v in value.items():
-            if k in known:
-                out += violations(v, known[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            parts = [known[k]] if k in known else []
+            parts += [x for p, x in shaped.items() if _pattern(p).search(k)]
+            for part in parts:
+                out += inner(v, part, f".{k}")
+            if not parts and schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
+            elif not parts and "additionalProperties" in schema:
+                out += inner(v, schema["additionalProperties"], f".{k}")
+            if "propertyNames" in schema and violations(k, schema["propertyNames"], at, root):
+                out.append(f"{at}.{k}: propertyNames")
+    if isinstance(value, list):
+        first = schema.get("prefixItems", [])
         for k, v in enumerate(value):
-            out += violations(v, schema["items"], f"{at}[{k}]")
+            if k < len(first):
+                out += inner(v, first[k], f"[{k}]")
+            elif "items" in schema:
+                out += inner(v, schema["items"], f"[{k}]")
+        if schema.get("uniqueItems") and len(set(map(_key, value))) < len(value):
+            out.append(f"{at}: uniqueItems")
+        if "contains" in schema:
+            met = sum(not inner(v, schema["contains"], f"[{k}]") for k, v in enumerate(value))
+            if not schema.get("minContains", 1) <= met <= schema.get("maxContains", len(value)):
+                out.append(f"{at}: contains")
     return out
 
 
+_NUMBER = int | float
+_BOUNDS = (
+    ("minLength", str, lambda x, n: len(x) < n),
+    ("maxLength", str, lambda x, n: len(x) > n),
+    ("pattern", str, lambda x, p: not _pattern(p).search(x)),
+    ("minItems", list, lambda x, n: len(x) < n),
+    ("maxItems", list, lambda x, n: len(x) > n),
+    ("minProperties", dict, lambda x, n: len(x) < n),
+    ("maxProperties", dict, lambda x, n: len(x) > n),
+    ("minimum", _NUMBER, lambda x, n: x < n),
+    ("maximum", _NUMBER, lambda x, n: x > n),
+    ("exclusiveMinimum", _NUMBER, lambda x, n: x <= n),
+    ("exclusiveMaximum", _NUMBER, lambda x, n: x >= n),
+    ("multipleOf", _NUMBER, lambda x, n: not _multiple(x, n)),
+)
+
+
 def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) from messages (conv_id, turn, role, text) whose texts hold them as JSON.
 
@@ -175,8 +315,10 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """One row per call or orphaned result: conv_id, call_id, name, call_turn, result_turn, status, position, valid, errors, json.
 
     position: 1, 2, ... of the calls of a conversation in topological order;
-    null for orphans.
+    null for orphans. ValueError where a schema has a keyword that isn't checked.
     """
+    for schema in schemas.values():
+        check_schema(schema)
     use = lambda last: F.row_number().over(Window.partitionBy("conv", "call_id").orderBy("turn", last))
     left = calls.withColumn("conv", F.struct("conv_id")).drop("conv_id").withColumn("use", use("arguments"))
     right = results.select(F.struct("conv_id").alias("conv"), "call_id", F.col("turn").alias("result_turn"), "content", F.row_number().over(Window.partitionBy(F.struct("conv_id"), "call_id").orderBy("turn", "content")).alias("use"))

@@ -73,6 +73,38 @@ def test_tool_calls(spark):
     assert tool_calls.link(c, r, tool_calls.TURN_SCHEMAS).count() == 0
 
 
+def test_schema_keywords():
+    tree = {"$defs": {"node": {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "next": {"$ref": "#/$defs/node"}}}}, "$ref": "#/$defs/node"}
+    for schema, good, bad in (
+        ({"pattern": "^a\\d$"}, ["a1", 5], ["b1", "a1\n", "a٣"]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["x", 3], [2]),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [1, 3.5], [4, 1.5]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1], [0, 3]),
+        ({"not": {"type": "null"}}, [0], [None]),
+        (tree, [{"v": 1, "next": {"v": 2}}], [{"v": 1, "next": {"v": "x"}}, {"next": {"v": 1}}]),
+        ({"$ref": "#"}, [1], []),
+        ({"exclusiveMinimum": 0, "exclusiveMaximum": 2}, [1, True], [0, 2]),
+        ({"multipleOf": 0.1}, [0.3, 7, 10**400], [0.35, float("inf")]),
+        ({"uniqueItems": True}, [[1, True, "1"]], [[1, 1.0], [{"a": [1]}, {"a": [1]}]]),
+        ({"additionalProperties": {"type": "string"}, "properties": {"n": True}}, [{"n": 1, "a": "x"}], [{"a": 1}]),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, [{"x1": 1}], [{"x1": "1"}, {"y": 1}]),
+        ({"propertyNames": {"maxLength": 1}, "minProperties": 1, "maxProperties": 2}, [{"a": 1}], [{}, {"ab": 1}, {"a": 1, "b": 2, "c": 3}]),
+        ({"dependentRequired": {"a": ["b"]}, "dependentSchemas": {"c": {"required": ["d"]}}}, [{"b": 1}, {"a": 1, "b": 1}], [{"a": 1}, {"c": 1}]),
+        ({"if": {"type": "string"}, "then": {"minLength": 2}, "else": {"minimum": 5}}, ["ab", 5], ["a", 4]),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1]], [[1], ["a", "b"]]),
+        ({"contains": {"const": 1}, "maxContains": 2}, [[1, 2], [1, 1]], [[2], [True], [1, 1, 1]]),
+        ({"enum": [1, "a"]}, [1, 1.0, "a"], [True]),
+        ({"type": "integer"}, [1, 2.0], [float("inf"), 1.5]),
+        (False, [], [1]),
+    ):
+        tool_calls.check_schema(schema)
+        assert not [x for x in good if tool_calls.violations(x, schema)], schema
+        assert not [x for x in bad if not tool_calls.violations(x, schema)], schema
+    for schema in ({"unevaluatedProperties": False}, {"items": [{}]}, {"properties": {"a": {"nullable": True}}}, {"$ref": "other.json"}, {"$ref": "#/$defs/none"}, {"pattern": "("}, {"type": "text"}, {"minimum": 0, "exclusiveMinimum": True}, {"items": {"$id": "x"}}):
+        with pytest.raises(ValueError):
+            tool_calls.link(None, None, {"t": schema})
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
     model = langid.train(docs)
