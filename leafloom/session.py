@@ -1,4 +1,4 @@
-"""Session defaults and the shared scratch folder."""
+"""Session defaults, the shared scratch folder, tables written to it."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where spark.checkpoint.dir is unset (tests, local runs).
+#: Used only by local sessions (tests, benches) in which spark.checkpoint.dir is unset.
 LOCAL_SCRATCH = "/tmp/checkpoints/leafloom"
+#: What a batch between the JVM and Python may hold, where the session says nothing else: texts are long.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,10 +28,27 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by bytes, unless the session sets its own bounds."""
+    for key, value in BATCH_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; RuntimeError on a cluster that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master == "local" or master.startswith("local["):
+        return LOCAL_SCRATCH
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/leafloom/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared folder."""
+    return f"{shared_folder(spark)}/leafloom/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -42,7 +61,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.leafloom_path = path
+    return made
+
+
+def discard(*made: DataFrame | None) -> None:
+    """Empty the tables that ``materialise`` returned; what reads them later fails, so nothing that is still to run may.
+
+    Only the public writer is used: an overwrite without rows drops a table's files.
+    """
+    for df in made:
+        path = getattr(df, "leafloom_path", None)
+        if path:
+            df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
