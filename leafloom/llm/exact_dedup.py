@@ -1,44 +1,59 @@
 """Exact deduplication with a stateful stream (operator 10, native).
 
 A text's digest is the key of a streaming aggregation whose state lives in
-RocksDB on the executors' disks and never expires. Per digest the state holds
-the stable identifier that stays (the largest doc_id), the content locator of
-that row, and the number of rows. Arrivals are (digest, doc_id, locator) rows,
-so texts do not move through the stream; each micro-batch appends the changed
-entries to a ledger table, and a restart from the same checkpoint goes on with
-the same state. Digests alone decide nothing: every hit (a row whose digest is
-held by another row) is joined to the row that stays and the normalised texts
-are compared in full. Texts that differ under one digest are grouped anew by
-the text itself.
+RocksDB on the executors' disks and never expires. Per key the state holds the
+stable identifier that stays (the largest doc_id), the content locator of that
+row (number of the ingest, row in it), and the number of rows. Arrivals are
+(key, doc_id, locator) rows, so texts do not move through the stream; each
+micro-batch appends the changed entries to a table, and a restart from the same
+checkpoint goes on with the same state.
+
+Digests alone decide nothing. Before rows arrive, the texts under each digest
+are compared in full, with each other and with the text that an earlier ingest
+left in the ledger's content store (one text for each digest). A text other
+than the digest's first one is keyed by digest and whole text together, so it
+is a group of its own, now and in later ingests.
 
 Defined results
   null text       counts as the empty text
   null doc_id     sorts below every number; a group of nulls only keeps a null
   repeated rows   rows with equal doc_id and text: one of them stays
+  later ingests   results hold as of the ingest; a row that an earlier ingest
+                  had with the same doc_id goes on to stay, not the new one
+  very long texts compared whole
   empty table     no rows
   other columns   ignored by ``exact_groups``; ``keep_first`` keeps them all
-Hot groups: the stream and the ledger combine rows before each shuffle; the
-check of a group's texts deals the rows of a group over ceil(size / 64) salts.
+Hot groups: the stream, the ledger and the comparison of texts combine equal
+rows before each shuffle, so a task sends one row for a group, however large.
+Groups with more than 1/HOT of all rows (fewer than HOT of them) are joined to
+their rows by broadcast, which needs no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leafloom.llm.common import ascii_lower
-from leafloom.session import materialise, scratch_path
+from leafloom.session import discard, materialise, scratch_path
 
-#: State on the executors' disks; what many small stores would reserve ahead is not taken, and commits upload changes only.
+#: State on the executors' disks: small bounded buffers, no disk reserved ahead, commits upload changes only, and a store is closed when its batch is done.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-ARRIVAL = "digest binary, doc_id bigint, locator bigint"
-#: Rows of a group that share one copy of the text they are compared with.
-SALT_ROWS = 64
+ARRIVAL = "digest binary, doc_id bigint, ingest bigint, locator bigint"
+KEEP = "struct<doc_id:bigint,earlier:bigint,locator:bigint>"
+#: A group is hot with more than this part of all rows.
+HOT = 256
 
 
 def normalised(text: Column) -> Column:
@@ -50,10 +65,10 @@ def sha256(text: Column) -> Column:
 
 
 class Ledger:
-    """The stream's state and its table of (digest, keep, size) in the shared folder.
+    """The stream's state, its table of (digest, keep, size) and the content store, in the shared folder.
 
     ``ingest`` may be called again with more arrivals: the stream resumes from
-    its checkpoint. ``entries`` is the latest version of each digest.
+    its checkpoint. ``entries`` is the latest version of each key.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, state_partitions: int | None = None) -> None:
@@ -64,10 +79,12 @@ class Ledger:
     def arrivals(self) -> str:
         return f"{self.root}/arrivals"
 
-    def ingest(self, arrivals: DataFrame) -> None:
-        """Append (digest, doc_id, locator) rows and run the stream over what is new."""
-        arrivals.select("digest", "doc_id", "locator").write.mode("append").parquet(self.arrivals)
+    def ingest(self, arrivals: DataFrame) -> int:
+        """Append (digest, doc_id, locator) rows and run the stream over what is new; the number of the ingest."""
+        number = time.time_ns()
+        arrivals.select("digest", "doc_id", F.lit(number).alias("ingest"), "locator").write.mode("append").parquet(self.arrivals)
         self._stream().awaitTermination()
+        return number
 
     def _stream(self) -> StreamingQuery:
         spark, table = self.spark, f"{self.root}/entries"
@@ -75,7 +92,7 @@ class Ledger:
         before = {k: spark.conf.get(k, None) for k in conf}
         for k, v in conf.items():
             spark.conf.set(k, v)
-        keep = F.max(F.struct("doc_id", "locator"))
+        keep = F.max(F.struct("doc_id", (-F.col("ingest")).alias("earlier"), "locator"))
         state = spark.readStream.schema(ARRIVAL).parquet(self.arrivals).groupBy("digest").agg(keep.alias("keep"), F.count(F.lit(1)).alias("size"))
 
         def append(changed: DataFrame, batch: int) -> None:
@@ -88,62 +105,86 @@ class Ledger:
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def entries(self) -> DataFrame:
-        schema = "digest binary, keep struct<doc_id:bigint,locator:bigint>, size bigint, version int"
-        found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/entries")
+        found = self.spark.read.schema(f"digest binary, keep {KEEP}, size bigint, version int").option("recursiveFileLookup", "true").parquet(f"{self.root}/entries")
         last = found.groupBy("digest").agg(F.max_by(F.struct("keep", "size"), "version").alias("e"))
         return last.select("digest", "e.keep", "e.size")
 
+    def contents(self) -> DataFrame:
+        """(digest, norm): the first text that came under each digest."""
+        path = f"{self.root}/contents"
+        # An append without rows makes the folder, if there is none yet.
+        self.spark.createDataFrame([], "digest binary, norm string").write.mode("append").parquet(path)
+        return self.spark.read.schema("digest binary, norm string").parquet(path)
+
+    def store(self, texts: DataFrame) -> None:
+        texts.select("digest", "norm").write.mode("append").parquet(f"{self.root}/contents")
+
 
 def exact_groups(docs: DataFrame, digest=sha256, ledger: Ledger | None = None) -> DataFrame:
     """One row per row of docs: doc_id, locator, digest, keep_id, keep_locator, group_size, kept.
 
     ``digest`` maps the normalised text to a binary column; a weak one is
-    allowed, as texts under one digest are compared.
+    allowed, as texts under one digest are compared. With a ``ledger``, groups
+    hold the rows of its earlier ingests, too, and its content store gets the
+    texts that are new.
     """
     spark = docs.sparkSession
-    ledger = ledger or Ledger(spark)
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("locator"), normalised(F.col("text")).alias("norm"))
-    seen = materialise(read.select(digest(F.col("norm")).alias("digest"), "doc_id", "locator"), "dedup-seen")
-    ledger.ingest(seen)
-    entries = materialise(ledger.entries(), "dedup-entries")
-    groups = seen.join(entries, "digest", "inner")
-    bad = materialise(_differing(read, entries, digest), "dedup-bad")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+    read = read.select(digest(F.col("norm")).alias("digest"), "doc_id", "norm")
+    seen = materialise(read.select("digest", "doc_id", F.monotonically_increasing_id().alias("locator")), "dedup-seen")
+    bad, first = _colliding(read, ledger)
     if not bad.isEmpty():
-        groups = _split(groups, read, bad, digest)
-    return groups.select("doc_id", "locator", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator"), F.col("size").alias("group_size"), (F.col("locator") == F.col("keep.locator")).alias("kept"))
-
+        seen = materialise(_rekeyed(seen, read, bad, first), "dedup-rekeyed")
+    else:
+        seen = seen.withColumn("key", F.col("digest"))
+    ledger = ledger or Ledger(spark)
+    number = ledger.ingest(seen.select(F.col("key").alias("digest"), "doc_id", "locator"))
+    entries = materialise(ledger.entries().withColumnRenamed("digest", "key"), "dedup-entries")
+    total = entries.agg(F.sum("size")).first()[0] or 0
+    hot = F.broadcast(entries.filter(F.col("size") * HOT > total))  # fewer than HOT rows
+    rest = seen.join(hot.select("key"), "key", "left_anti").join(entries, "key")
+    groups = seen.join(hot, "key").unionByName(rest)
+    kept = (F.col("keep.earlier") == -number) & (F.col("locator") == F.col("keep.locator"))
+    return groups.select("doc_id", "locator", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.locator").alias("keep_locator"), F.col("size").alias("group_size"), kept.alias("kept"))
 
-def _differing(read: DataFrame, entries: DataFrame, digest) -> DataFrame:
-    """Digests under which some row's text differs from that of the row that stays."""
-    hits = entries.filter("size > 1").withColumn("salts", F.ceil(F.col("size") / F.lit(SALT_ROWS)).cast("int"))
-    text = read.withColumn("digest", digest(F.col("norm")))
-    # Only members of groups carry their text on; the small side has the digests alone.
-    member = text.join(hits.select("digest", "keep", "salts"), "digest", "inner").withColumn("salt", F.pmod(F.xxhash64("locator"), F.col("salts")).cast("int"))
-    # Written once, as it is read twice; by doc_id, as a second read may number its rows otherwise; repeated rows with that id count once.
-    member = member.select("digest", "salt", "norm", "salts", F.col("doc_id").eqNullSafe(F.col("keep.doc_id")).alias("stays"))
-    member = materialise(member, "dedup-members")
-    kept = member.filter("stays").select("digest", "norm", "salts").distinct().select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("kept_norm"))
-    other = member.select("digest", "salt", "norm")
-    return other.join(kept, ["digest", "salt"], "inner").filter("norm <> kept_norm").select("digest").distinct()
 
+def _colliding(read: DataFrame, ledger: Ledger | None) -> tuple[DataFrame, DataFrame]:
+    """(digest) of the digests under which texts differ, (digest, norm) of the first text of each of them; new texts go to the ledger.
 
-def _split(groups: DataFrame, read: DataFrame, bad: DataFrame, digest) -> DataFrame:
-    """Group the rows under the digests in ``bad`` by their texts."""
-    text = read.withColumn("digest", digest(F.col("norm"))).join(bad, "digest", "left_semi").select("digest", "norm", "doc_id", "locator")
-    exact = text.groupBy("digest", "norm").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("size"))
-    rows = text.join(exact, ["digest", "norm"], "inner").select("digest", "doc_id", "locator", "keep", "size")
-    return groups.join(bad, "digest", "left_anti").select("digest", "doc_id", "locator", "keep", "size").unionByName(rows)
+    Equal texts are combined by each task, in full, before any is sent.
+    """
+    texts, known = read.select("digest", "norm").distinct(), None
+    if ledger is not None:
+        texts, known = materialise(texts, "dedup-texts"), ledger.contents()
+        texts = texts.unionByName(known.join(texts.select("digest").distinct(), "digest", "left_semi")).distinct()
+    bad = materialise(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "dedup-bad")
+    least = texts.join(bad, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("norm"))
+    if known is None:
+        return bad, least
+    # Written before anything is appended, as both read the store.
+    new = texts.join(bad, "digest", "left_anti").unionByName(least).join(known.select("digest"), "digest", "left_anti")
+    new = materialise(new, "dedup-new")
+    stored = known.join(bad, "digest", "left_semi").unionByName(new.join(bad, "digest", "left_semi"))
+    stored = materialise(stored, "dedup-first")
+    ledger.store(new)
+    discard(new)
+    return bad, stored
+
+
+def _rekeyed(seen: DataFrame, read: DataFrame, bad: DataFrame, first: DataFrame) -> DataFrame:
+    """seen with ``key``: rows of colliding digests are read again, those with another text than the first are keyed by it."""
+    again = read.join(first.select("digest", F.col("norm").alias("first_norm")), "digest")
+    key = F.when(F.col("norm") == F.col("first_norm"), F.col("digest")).otherwise(F.concat("digest", F.col("norm").cast("binary")))
+    again = again.select("digest", "doc_id", (-1 - F.monotonically_increasing_id()).alias("locator"), key.alias("key"))
+    return seen.join(bad, "digest", "left_anti").withColumn("key", F.col("digest")).unionByName(again)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all their columns as they are.
 
-    Joined on (doc_id, digest), which no group shares; of fully repeated rows
-    the first stays.
+    Joined on (doc_id, digest), which no group shares; fully repeated rows are
+    combined before the shuffle, any one of them stays.
     """
-    groups = exact_groups(docs)
-    stay = groups.filter("kept").select(F.struct("doc_id").alias("__dd_id"), F.col("digest").alias("__dd_digest"))
+    stay = exact_groups(docs).filter("kept").select(F.struct("doc_id").alias("__dd_id"), F.col("digest").alias("__dd_digest"))
     keyed = docs.withColumns({"__dd_id": F.struct(F.col("doc_id").cast("bigint").alias("doc_id")), "__dd_digest": sha256(normalised(F.col("text")))})
-    met = keyed.join(stay, ["__dd_id", "__dd_digest"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__dd_id", "__dd_digest").orderBy(F.lit(1)))
-    return met.withColumn("__dd_n", first).filter("__dd_n = 1").drop("__dd_id", "__dd_digest", "__dd_n")
+    return keyed.dropDuplicates(["__dd_id", "__dd_digest"]).join(stay, ["__dd_id", "__dd_digest"], "left_semi").drop("__dd_id", "__dd_digest")

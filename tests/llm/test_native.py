@@ -119,3 +119,24 @@ def test_mixing(spark):
     assert mixed.columns == docs.columns
     assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in got)
     assert mixing.takes(docs.limit(0)).count() == 0
+
+
+def test_two_ingests_compare_texts(spark):
+    """A weak digest under which all texts meet: later ingests compare with the text that an earlier one left."""
+    same = lambda t: F.lit("00").cast("binary")
+    ledger = exact_dedup.Ledger(spark)
+    first = exact_dedup.exact_groups(frame(spark, [(9, "alpha", "a"), (2, "Alpha", "a")]), same, ledger).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first} == {(9, 9, 2, True), (2, 9, 2, False)}
+    second = exact_dedup.exact_groups(frame(spark, [(1, "beta", "a"), (3, "ALPHA", "a"), (9, "alpha", "a")]), same, ledger).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in second} == {(1, 1, 1, True), (3, 9, 4, False), (9, 9, 4, False)}
+    third = exact_dedup.exact_groups(frame(spark, [(5, "Beta", "a"), (4, "gamma", "a"), (4, "gamma", "a")]), same, ledger).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in third) == [(4, 4, 2, False), (4, 4, 2, True), (5, 5, 2, True)]
+    assert exact_dedup.exact_groups(frame(spark, []), same, ledger).count() == 0
+
+
+def test_exact_dedup_of_repeated_null_ids_and_long_texts(spark):
+    rows = [(None, "copy", "a")] * 50 + [(None, "Copy", "b"), (7, "y" * 300_000, "a"), (8, "Y" * 300_000, "a")]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    assert sum(r.kept for r in got) == 2 and {r.group_size for r in got if r.doc_id is None} == {51}
+    kept = exact_dedup.keep_first(frame(spark, rows)).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["8", "None"]
