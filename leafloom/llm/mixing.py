@@ -1,6 +1,7 @@
 """Mixing sources to target weights (operator 5, native).
 
-Every document gets a hash-random key in [0, 1) (from the MD5 of its doc_id),
+Every document gets a hash-random key in [0, 1) (from the MD5 of its doc_id, or
+of its text's digest if it has none),
 each source is sorted by it, and running totals of sizes tell where the
 source's budget ends. A budget above the source's size repeats whole epochs;
 the rest is cut exactly, within one document of each source if need be. The
@@ -15,7 +16,7 @@ sources sorted by cap * size / weight. This part handles one row for each
 source.
 
 Defined results
-  null text or doc_id   size 0; the key of the text 'null'
+  null text, null id    size 0; the key of the text's digest
   null source           a source of its own, after the others
   repeated rows         documents like others, next to each other in the order
   empty table, no words no rows; targets of 0
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.llm.common import WORD
-from leafloom.operators.prefix import prefix_sums
+from leafloom.operators.prefix import prefix_sums, ranges_for
 from leafloom.session import materialise
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
@@ -40,9 +41,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def random_key(doc_id: Column) -> Column:
-    """52 bits of the MD5 of doc_id as text, in [0, 1)."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")))
+def random_key(doc_id: Column, text_digest: Column) -> Column:
+    """52 bits of the MD5 of doc_id as text (of the text's digest if it is null), in [0, 1)."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), text_digest))
     return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") / F.lit(float(2**52))
 
 
@@ -63,10 +64,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def takes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, extra: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: doc_id, *extra, size, source_size, target, taken."""
-    rows = docs.select("doc_id", "source", *extra, words(F.col("text")).alias("size"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "source", *extra, words(F.col("text")).alias("size"), random_key(F.col("doc_id"), digest).alias("__mix_at"))
     rows = materialise(rows, "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    summed = prefix_sums(rows, ["source"], ["doc_id", "size", *extra], {"size": "before"}, at=random_key(F.col("doc_id")))
+    summed = prefix_sums(rows, ["source"], ["doc_id", "size", *extra], {"size": "before"}, at=F.col("__mix_at"), ranges=ranges_for(rows.count()))
     met = summed.withColumn("__s", F.struct("source")).join(aims.withColumn("__s", F.struct("source")).drop("source"), "__s", "inner")
     budget = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint")
@@ -99,7 +101,7 @@ def apply(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS size,
-         CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 13) AS BIGINT) / CAST({2**52} AS DOUBLE) AS h
+         CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 13) AS BIGINT) / CAST({2**52} AS DOUBLE) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [{', '.join(f'{float(w)}::DOUBLE' for w in WEIGHTS)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}] AS weight,
