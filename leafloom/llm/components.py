@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.session import materialise
+from leafloom.session import discard, materialise
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     none is the end. Least neighbours are combined before the shuffle, so a key
     with very many links is no obstacle. Rounds are written to the shared folder.
     """
-    edges, total, turn = materialise(_edges(links), f"{label}-links"), None, 0
+    edges, total, turn, base = materialise(_edges(links), f"{label}-links"), None, 0, None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("key"), F.least("a", "low").alias("up")), f"{label}-up{turn}")
@@ -32,14 +32,18 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         steps = materialise(steps.select("key", F.col("two").alias("comp"), F.col("three").alias("then")), f"{label}-{turn}")
         side = lambda c: steps.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}"))
         moved = edges.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        edges = materialise(_edges(moved.unionByName(steps.select(F.col("comp").alias("a"), F.col("then").alias("b")))), f"{label}-links")
+        before, edges = edges, materialise(_edges(moved.unionByName(steps.select(F.col("comp").alias("a"), F.col("then").alias("b")))), f"{label}-links")
         if total is None:
-            total = steps.select("key", "comp")
+            total, base = steps.select("key", "comp"), steps
         else:
             further = steps.select(F.col("key").alias("comp"), F.col("comp").alias("to"))
             total = materialise(total.join(further, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")), f"{label}-keys")
+            discard(base, steps)
+            base = total
         turn += 1
+        discard(before, up)
         if edges.isEmpty():
+            discard(edges)
             return total
 
 

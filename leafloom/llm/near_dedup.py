@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import darts
 from leafloom.llm.components import grow
-from leafloom.session import materialise
+from leafloom.session import bound_batches, discard, materialise
 
 WIDTH, SIMILAR = 5, 0.8
 K, ROWS = 130, 5
@@ -145,7 +145,9 @@ def _prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
     # Of a similar pair of sizes m <= n, at least SIMILAR * n shingles are shared, so fewer than this many of either set are not.
     most = F.col("n") - F.ceil(F.lit(SIMILAR) * F.col("n") - F.lit(1e-9)) + 1
-    return rare.withColumn("rank", rank).join(members, "key").filter(F.col("rank") <= most).select("key", "n", "comp", "shingle", "rank")
+    made = materialise(rare.withColumn("rank", rank).join(members, "key").filter(F.col("rank") <= most).select("key", "n", "comp", "shingle", "rank"), "near-prefixes")
+    discard(tokens)
+    return made
 
 
 def link_nodes(sketches: DataFrame) -> DataFrame | None:
@@ -156,7 +158,7 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
     rows = materialise(bucket.join(shared, "bucket"), "near-buckets")
     sets = sketches.join(rows.select("key").distinct(), "key", "left_semi").select("key", "shingles").dropDuplicates(["key"])
     sets = materialise(sets, "near-sets")
-    tried, comp = None, None
+    tried, comp, used = None, None, [rows, sets]
 
     def placed() -> DataFrame:
         if comp is None:
@@ -173,18 +175,22 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        used.append(pairs)
         found = _verified(pairs, sets, "near-links")
         if not found.isEmpty():
             comp = grow(comp, found, "near-components")
+        discard(found)
     at = placed()
     open_ = at.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
     left = materialise(at.join(open_, "bucket"), "near-open")
+    used.append(left)
     few, many = left.filter(F.col("members") <= PAIRS), left.filter(F.col("members") > PAIRS)
     other = lambda df: df.select(*(F.col(c).alias(f"{c}_") for c in df.columns if c not in ("bucket", "shingle", "members")), *(c for c in df.columns if c in ("bucket", "shingle")))
     apart = (F.col("key") < F.col("key_")) & (F.col("comp") != F.col("comp_")) & _alike("n", "n_")
     rest = few.alias("x").join(other(few).alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct()
     if not many.isEmpty():
-        pre = materialise(_prefixes(many.select("key", "n", "comp").distinct(), sets), "near-prefixes")
+        pre = _prefixes(many.select("key", "n", "comp").distinct(), sets)
+        used.append(pre)
         # A similar pair shares at least this many; the first shingle it shares stands no later than that leaves room for.
         least = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("n") + F.col("n_")) - F.lit(1e-9))
         early = (F.col("rank") + least <= F.col("n") + 1) & (F.col("rank_") + least <= F.col("n_") + 1)
@@ -192,6 +198,7 @@ def link_nodes(sketches: DataFrame) -> DataFrame | None:
     found = _verified(rest.join(tried, ["a", "b"], "left_anti"), sets, "near-links")
     if not found.isEmpty():
         comp = grow(comp, found, "near-components")
+    discard(found, *used)
     return comp
 
 
@@ -201,6 +208,7 @@ def classes(docs: DataFrame, weights: str | None = None) -> DataFrame:
     class_id is the least doc_id of the class; ``kept`` marks the row that has
     it (of several such, those with the least digest).
     """
+    bound_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text")
     sketches = materialise(read.mapInArrow(_sketches(weights), SKETCH), "near-sketches")
     comp = link_nodes(sketches)
@@ -211,6 +219,7 @@ def classes(docs: DataFrame, weights: str | None = None) -> DataFrame:
         rows = rows.withColumn("comp", F.lit(None).cast("binary"))
     alone = F.struct(F.coalesce("comp", "key").alias("k"), F.when(F.col("n") == 0, F.struct("doc_id", "digest")).alias("id"))
     rows = materialise(rows.select("doc_id", "digest", alone.alias("class")), "near-classes")
+    discard(sketches)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("digest")))
     groups = rows.groupBy("class").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
@@ -221,5 +230,5 @@ def keep_one(docs: DataFrame, weights: str | None = None) -> DataFrame:
     """The rows of docs of which one stays for each class, all their columns as they are."""
     stay = classes(docs, weights).filter("kept").select(F.struct("doc_id").alias("__nd_id"), F.col("digest").alias("__nd_digest"))
     keyed = docs.withColumns({"__nd_id": F.struct(F.col("doc_id").cast("bigint").alias("doc_id")), "__nd_digest": F.unhex(F.md5(F.coalesce("text", F.lit(""))))})
-    first = F.row_number().over(Window.partitionBy("__nd_id", "__nd_digest").orderBy(F.lit(1)))
-    return keyed.join(stay, ["__nd_id", "__nd_digest"], "left_semi").withColumn("__nd_n", first).filter("__nd_n = 1").drop("__nd_id", "__nd_digest", "__nd_n")
+    # Fully repeated rows are combined before the shuffle.
+    return keyed.dropDuplicates(["__nd_id", "__nd_digest"]).join(stay, ["__nd_id", "__nd_digest"], "left_semi").drop("__nd_id", "__nd_digest")
