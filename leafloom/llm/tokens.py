@@ -16,7 +16,8 @@ import re
 from collections.abc import Iterable
 
 END = b"\xff"  # stands for the end of a word; no UTF-8 text holds it
-CACHE = 400_000
+#: Bytes of words and ids that a process keeps, about; a word costs ENTRY beside them.
+CACHE, ENTRY = 24 << 20, 150
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
@@ -63,6 +64,7 @@ class WordIds:
         self.rank_to_id = [known[b].to_bytes(4, "little") if b in known else b"" for b in order]
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=order, special_tokens={})._core_bpe.encode_single_piece
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
@@ -79,11 +81,12 @@ class WordIds:
             return self._exact(text)
         words, cache = text.encode("utf-8", "surrogatepass").split(), self.cache
         new = set(words).difference(cache)
-        if len(cache) + len(new) > CACHE:
+        if self.held > CACHE:
             cache.clear()
-            new = set(words)
+            self.held, new = 0, set(words)
         for w in new:
-            cache[w] = self._word(w)
+            cache[w] = found = self._word(w)
+            self.held += len(w) + len(found) + ENTRY
         return b"".join([cache[w] for w in words])
 
 
