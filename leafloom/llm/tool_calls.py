@@ -6,8 +6,9 @@ multiply. Calls are put into a topological order of what they need. Where every
 need is an earlier turn, the order of turns is one; only conversations with a
 forward need go through Kahn's rounds (a join for each level), and what never
 gets free is on a cycle. Arguments are validated against JSON schemas and
-written as canonical JSON (sorted keys, no spaces, shortest numbers, no
-escapes but those that JSON demands).
+written as canonical JSON (sorted keys, no spaces, no escapes but those that
+JSON demands; an integral number below 1e21 has neither point nor exponent,
+any other the fewest digits that read back as the same double).
 
 Defined results
   null conv_id, turn, text  values like others; a null identifier is the text 'null'
@@ -15,8 +16,14 @@ Defined results
   result without call       status orphan: no arguments, not valid
   repeated rows, ties       the k-th call of an identifier has its k-th result, by turn and text
   unknown tool, bad JSON    not valid; the arguments stay as a JSON string
+  NaN, 1e999, very deep     bad JSON, as JSON has no such numbers and nothing here reads nesting beyond Python's limit
+  lone surrogates           escaped in the canonical form (\\udXXX), as backslash escapes in names and errors
+  very long texts           whole
   empty tables              no rows
-  other columns             ignored
+  other columns             ignored, whatever their names
+``turns_as_calls`` takes turns of the roles user and assistant only; other
+turns are neither calls nor results. A conversation may be as long as it likes:
+positions come from ranges of sorted calls, not from a window over all of it.
 """
 
 from __future__ import annotations
@@ -33,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafloom.session import materialise
+from leafloom.operators.prefix import sorted_ranks
+from leafloom.session import bound_batches, materialise
 
 #: The adapter's tool: a user's turn is a call, the assistant's next turn its result.
 TURN_SCHEMAS = {"reply": {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}, "required": ["prompt", "turn"], "additionalProperties": False}}
@@ -44,8 +52,38 @@ RESULTS = "conv_id bigint, call_id string, turn bigint, content string"
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _number(text: str) -> float | int:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is not a number of JSON's")
+    return int(value) if value.is_integer() and abs(value) < 1e21 else value
+
+
+def _no_constant(text: str):
+    raise ValueError(f"{text} is not JSON")
+
+
+def parse(text: str):
+    """A JSON value; ValueError for anything else, nesting that Python can't follow included."""
+    try:
+        value = json.loads(text, parse_float=_number, parse_constant=_no_constant)
+        canonical(value)  # whatever is read can be written
+        return value
+    except RecursionError as e:
+        raise ValueError("nested too deeply") from e
+
+
+def shown(text: str) -> str:
+    """text as UTF-8 can hold it."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
 #: Keywords that are checked, by what they hold: one schema, a list, a map of schemas, other values.
@@ -227,7 +265,7 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
             out = []
             for conv, turn, text in zip(b.column("conv_id").to_pylist(), b.column("turn").to_pylist(), b.column("text").to_pylist(), strict=True):
                 try:
-                    body = json.loads(text) if text and text.lstrip()[:1] == "{" else {}
+                    body = parse(text) if text and text.lstrip()[:1] == "{" else {}
                 except ValueError:
                     body = {}
                 listed = body.get("tool_calls")
@@ -235,10 +273,10 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
                     if isinstance(c, dict):
                         args = c.get("arguments", {})
                         needs = c.get("needs")
-                        out.append((conv, str(c.get("id")), turn, str(c.get("name")), args if isinstance(args, str) else canonical(args), [str(n) for n in needs] if isinstance(needs, list) else [], None))
+                        out.append((conv, shown(str(c.get("id"))), turn, shown(str(c.get("name"))), shown(args) if isinstance(args, str) else canonical(args), [shown(str(n)) for n in needs] if isinstance(needs, list) else [], None))
                 if "tool_call_id" in body:
                     content = body.get("content")
-                    out.append((conv, str(body["tool_call_id"]), turn, None, None, None, content if isinstance(content, str) else canonical(content)))
+                    out.append((conv, shown(str(body["tool_call_id"])), turn, None, None, None, shown(content) if isinstance(content, str) else canonical(content)))
             cols = list(zip(*out, strict=True)) or [[]] * 7
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "call_id", "turn", "name", "arguments", "needs", "content"])
@@ -293,18 +331,21 @@ def _checked(schemas: dict):
             for call, name, args, content, status in zip(*(b.column(c).to_pylist() for c in ("call_id", "name", "arguments", "content", "status")), strict=True):
                 wrong: list[str] = []
                 try:
-                    value = json.loads(args) if args is not None else None
+                    value = parse(args) if args is not None else None
                 except ValueError:
                     value, wrong = args, ["$: not JSON"]
                 if status == "orphan":
                     wrong = ["no call"]
                 elif name not in schemas:
                     wrong = wrong or ["unknown tool"]
-                else:
-                    wrong = wrong or violations(value, schemas[name])
+                elif not wrong:
+                    try:
+                        wrong = violations(value, schemas[name])
+                    except RecursionError:
+                        wrong = ["$: nested too deeply"]
                 valid.append(not wrong)
-                errors.append("; ".join(wrong))
-                texts.append(canonical({"arguments": value, "id": call, "name": name, "result": content}))
+                errors.append(shown("; ".join(wrong)))
+                texts.append(f'{{"arguments":{canonical(value)},{canonical({"id": call, "name": name, "result": content})[1:]}')
             keep = [c for c in b.schema.names if c not in ("arguments", "content")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(valid, pa.bool_()), pa.array(errors, pa.string()), pa.array(texts, pa.string())], [*keep, "valid", "errors", "json"])
 
@@ -320,11 +361,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     for schema in schemas.values():
         check_schema(schema)
     use = lambda last: F.row_number().over(Window.partitionBy("conv", "call_id").orderBy("turn", last))
-    left = calls.withColumn("conv", F.struct("conv_id")).drop("conv_id").withColumn("use", use("arguments"))
+    bound_batches(calls.sparkSession)
+    left = calls.select(F.struct("conv_id").alias("conv"), "call_id", "turn", "name", "arguments", "needs").withColumn("use", use("arguments"))
     right = results.select(F.struct("conv_id").alias("conv"), "call_id", F.col("turn").alias("result_turn"), "content", F.row_number().over(Window.partitionBy(F.struct("conv_id"), "call_id").orderBy("turn", "content")).alias("use"))
     left = left.join(_positions(left), ["conv", "call_id"])
-    order = Window.partitionBy("conv").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id", "use")
-    left = left.withColumn("position", F.row_number().over(order).cast("bigint"))
+    left = sorted_ranks(left.drop("needs"), ["conv"], [F.col("level").asc_nulls_last(), F.col("turn"), F.col("call_id"), F.col("use")], "position", "tool-positions")
     met = left.join(right.withColumn("answered", F.lit(True)), ["conv", "call_id", "use"], "full")
     status: Column = F.when(F.col("name").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").when(F.col("level").isNull(), "cycle").otherwise("linked")
     rows = met.select("conv.conv_id", "call_id", "name", F.col("turn").alias("call_turn"), "result_turn", status.alias("status"), "position", "arguments", "content")
