@@ -19,7 +19,10 @@ Defined results
   null html        the empty page: no text
   unclosed tags    closed where HTML closes them: p, li, td, ... by their next sibling, others with their parent;
                    svg, object, select, noscript without end tag are ignored as tags
-  very long pages  whole; proximity edges per block are bounded, so the graph grows with the page
+  broken tags      a quote starts a value only after =; one that is not closed is a character like others; a tag
+                   without > is text
+  very long pages  whole, in time that grows with the page; proximity edges per block are bounded, so the graph does, too
+  null page_id     a page like any other
   repeated rows    one result row each
   empty table      no rows
   other columns    ignored
@@ -29,12 +32,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leafloom.session import bound_batches
+
 # Element names by what they do here.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio canvas iframe".split())
 RAW = frozenset("script style template textarea title iframe noembed noframes xmp".split())
@@ -55,8 +60,14 @@ WRAP_WORDS = frozenset("wrap wrapper container layout outer inner grid row colum
 TITLED_WORDS = frozenset("article content entry post story".split())
 NOTICE = re.compile(r"©|\b(?:all rights reserved|cookies?|privacy policy|terms of (?:use|service)|subscribe|sign up|log ?in|newsletter|advertisement|sponsored)\b", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Possessive throughout: a tag is read once. A page in which many tags end only inside quotes is read without quotes from there on.
+_OTHER = r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(_OTHER + r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>", re.S)
+_LOOSE = re.compile(_OTHER + r"([^>]*+)>", re.S)
+LOOSE_TAGS = 20
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
+_BARE_SLASH = re.compile(r"=\s*[^\s\"'=]*/\Z")
 _SKIPPED = re.compile(f"<(?:{'|'.join(sorted(SKIPPED))})", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -76,11 +87,12 @@ MAIN, ARTICLE = 2.5, 2.0
 
 
 class _Element:
-    __slots__ = ("bad", "good", "name", "number", "depth", "parent", "link", "mark", "article")
+    """Of an open element: what it and those above it are, so that no question needs a walk up."""
+
+    __slots__ = ("bad", "good", "name", "number", "parent", "link", "mark", "article", "inside", "block", "p")
 
     def __init__(self, name: str, number: int, parent: _Element | None, bad: bool, good: float, marked: bool = False) -> None:
         self.name, self.number, self.parent = name, number, parent
-        self.depth = parent.depth + 1 if parent else 0
         self.bad = bad or bool(parent and parent.bad)
         marked = marked and not (name == "article" and not (parent and parent.mark))
         #: The nearest element that class words mark; the article between it and here.
@@ -88,6 +100,10 @@ class _Element:
         self.article = None if marked or not parent else self if good == ARTICLE else parent.article
         self.good = 0.0 if marked else max(good, parent.good if parent else 0.0)
         self.link = name == "a" or bool(parent and parent.link)
+        self.inside = name in ("article", "main") or bool(parent and parent.inside)
+        #: The nearest block-level element, and the p that no block-level element stands in.
+        self.block = self if name in BLOCK or not parent else parent.block
+        self.p = self if name == "p" else None if name in BLOCK or not parent else parent.p
 
 
 class Block:
@@ -118,7 +134,7 @@ def _nature(name: str, attrs: str, inside_article: bool) -> tuple[bool, float, b
     bad = name in NEVER or (name == "header" and not inside_article)
     marked = False
     if attrs:
-        for m in _ATTR.finditer(attrs):
+        for m in _ATTR.finditer(attrs) if _TELLING.search(attrs) else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
                 bad |= value.lower() in BAD_ROLES
@@ -136,14 +152,40 @@ def _nature(name: str, attrs: str, inside_article: bool) -> tuple[bool, float, b
     return bad, good, marked
 
 
+class _Tags:
+    """The page's tags and comments, one after the other."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.limit, self.loose = page, page.rfind(">") + 1, 0
+
+    def next(self, at: int) -> re.Match | None:
+        if self.loose > LOOSE_TAGS:
+            return _LOOSE.search(self.page, at, self.limit)
+        start = self.page.find("<", at, self.limit)
+        while start >= 0:
+            if m := _TOKEN.match(self.page, start, self.limit):
+                return m
+            if m := _LOOSE.match(self.page, start, self.limit):
+                self.loose += 1
+                return m
+            start = self.page.find("<", start + 1, self.limit)
+        # A comment that is not closed may start after the last >.
+        start = self.page.find("<!--", max(at, self.limit))
+        return _TOKEN.match(self.page, start) if start >= 0 else None
+
+    def raw_end(self, name: str, at: int) -> int:
+        stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(self.page, at, self.limit)
+        return stop.end() if stop else len(self.page)
+
+
 def _skips(page: str) -> dict[int, int]:
     """Where SKIPPED elements start, and where each one ends; a start tag without an end tag ends at once."""
     found: dict[int, int] = {}
     opened: dict[str, list[int]] = {name: [] for name in SKIPPED}
     if not _SKIPPED.search(page):
         return found
-    at = 0
-    while m := _TOKEN.search(page, at):
+    at, tags = 0, _Tags(page)
+    while m := tags.next(at):
         at, name = m.end(), (m[2] or "").lower()
         if name in SKIPPED:
             if m[1]:
@@ -154,20 +196,16 @@ def _skips(page: str) -> dict[int, int]:
                 if not (name == "svg" and m[3].endswith("/")):
                     opened[name].append(m.start())
         elif name in RAW and not m[1] and not (opened["svg"] and m[3].endswith("/")):
-            at = _raw_end(page, name, at)
+            at = tags.raw_end(name, at)
     return found
 
 
-def _raw_end(page: str, name: str, at: int) -> int:
-    stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-    return stop.end() if stop else len(page)
-
-
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; inline tags stay inside a block, block-level ones and line breaks of two end it."""
     root = _Element("#", 0, None, False, 0.0)
     top, made, number = root, [], 0
     parts: list[str] = []
+    opened: Counter[str] = Counter("#")
     linked = 0
 
     def end() -> None:
@@ -175,9 +213,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                owner = top
-                while owner.parent and owner.name not in BLOCK:
-                    owner = owner.parent
+                owner = top.block
                 made.append(Block(text, owner, min(linked, len(text)), owner.name in ("h1", "h2", "h3", "h4", "h5", "h6")))
             parts.clear()
         linked = 0
@@ -194,12 +230,13 @@ def blocks(page: str) -> list[Block]:
         while top is not until:
             if top.name in BLOCK:
                 end()
+            opened[top.name] -= 1
             top = top.parent
 
-    skips = _skips(page)
+    skips, tags = _skips(page), _Tags(page)
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = tags.next(at)
         if not m:
             text(page[at:])
             break
@@ -212,34 +249,27 @@ def blocks(page: str) -> list[Block]:
             at = skips.get(m.start(), at)
             continue
         if m[1]:
-            found = top
-            while found and found.name != name:
-                found = found.parent
             if name in BLOCK:
                 end()
-            if found and found.parent:
+            if opened[name]:
+                found = top
+                while found.name != name:
+                    found = found.parent
                 close(found.parent)
             continue
         if name in RAW:
-            at = _raw_end(page, name, at)
+            at = tags.raw_end(name, at)
             if name in BLOCK:
                 end()
             continue
         if name == "br":
             parts.append(" ")
             continue
-        if name in CLOSES_P:
-            p = top
-            while p and p.name != "p":
-                if p.name in BLOCK and p.name != "p":
-                    p = None
-                    break
-                p = p.parent
-            if p and p.parent:
-                close(p.parent)
+        if name in CLOSES_P and top.p:
+            close(top.p.parent)
         while name in BLOCK and name not in ("option", "optgroup", "hr") and top.name in ("option", "optgroup"):
             close(top.parent)
-        if name in CLOSED_BY_SELF:
+        if name in CLOSED_BY_SELF and opened[name]:
             same = top
             while same and same.name not in CLOSED_BY_SELF[name] and same.name != name:
                 same = same.parent
@@ -247,14 +277,11 @@ def blocks(page: str) -> list[Block]:
                 close(same.parent)
         if name in BLOCK:
             end()
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or m[3].endswith("/") and name not in BLOCK and not _BARE_SLASH.search(m[3]):
             continue
         number += 1
-        up, inside = top, False
-        while up:
-            inside |= up.name in ("article", "main")
-            up = up.parent
-        top = _Element(name, number, top, *_nature(name, m[3], inside))
+        opened[name] += 1
+        top = _Element(name, number, top, *_nature(name, m[3], top.inside))
     close(root)
     end()
     return made
@@ -265,8 +292,9 @@ def marks(found: list[Block]) -> list[float]:
     out = [0.0] * len(found)
     if all(b.owner.mark is None for b in found):
         return out
-    size: dict[int, int] = {}
+    size: Counter[int] = Counter()
     titled = set()
+    seen: dict[int, _Element] = {}
     total = plain = 0  # of all text, of what no class word marks
     for b in found:
         if b.owner.bad:
@@ -274,14 +302,21 @@ def marks(found: list[Block]) -> list[float]:
         n = len(b.text) - b.linked
         total += n
         plain += n if b.owner.mark is None else 0
-        mark, over = b.owner.mark, [b.owner.article] if b.owner.article else []
-        while mark:
-            over.append(mark)
+        for e in (b.owner.mark, b.owner.article):
+            if e:
+                size[e.number] += n
+                if b.owner.name == "h1":
+                    titled.add(e.number)
+        mark = b.owner.mark
+        while mark and mark.number not in seen:
+            seen[mark.number] = mark
             mark = mark.parent.mark
-        for e in over:
-            size[e.number] = size.get(e.number, 0) + n
-            if b.owner.name == "h1":
-                titled.add(e.number)
+    for k in sorted(seen, reverse=True):  # what a marked element holds, the marked one above it holds, too
+        up = seen[k].parent.mark
+        if up:
+            size[up.number] += size[k]
+            if k in titled:
+                titled.add(up.number)
     articles = {b.owner.article.number for b in found if b.owner.article and not b.owner.bad}
     clear = {k for k in articles if 2 * size[k] > total} or (titled & articles if len(titled & articles) == 1 else set())
     for i, b in enumerate(found):
@@ -413,5 +448,6 @@ def main_text(pages: DataFrame) -> DataFrame:
             cols = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     read = pages.select(pages["page_id"].cast("bigint").alias("page_id"), "url", "html")
     return read.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
