@@ -19,7 +19,8 @@ Defined results
   null doc_id            not held out; a row like any other
   repeated rows          one result row each
   empty table            no rows
-  other columns          kept by ``predict``
+  very long texts        whole
+  other columns          kept by ``predict``; those with the names it adds are replaced
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.operators.prefix import unit_hash
+from leafloom.session import bound_batches
 
 DIM = 4096
 SAMPLE = 300
@@ -58,24 +60,21 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def features(text: str) -> np.ndarray:
-    """Square roots of hashed n-gram frequencies: a vector of length 1."""
+def features(text: str, block: int = BLOCK) -> np.ndarray:
+    """Square roots of hashed n-gram frequencies: a vector of length 1. Read in blocks, which do not show in the result."""
     raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    counts = np.zeros(DIM)
-    for at in range(0, max(len(raw), 1), BLOCK):
-        x = _LETTER[raw[max(0, at - 3) : at + BLOCK]].astype(np.uint32)
-        keep = np.ones(len(x), bool)
-        keep[1:] = (x[1:] != 32) | (x[:-1] != 32)  # one space for a run of others
-        x = x[keep]
+    counts, last = np.zeros(DIM), np.empty(0, np.uint32)
+    for at in range(0, len(raw), block):
+        x = _LETTER[raw[at : at + block]].astype(np.uint32)
+        before = np.concatenate([last[-1:], x[:-1]]) if len(last) else np.concatenate([x[:1] + 1, x[:-1]])
+        old, x = len(last), np.concatenate([last, x[(x != 32) | (before != 32)]])  # one space for a run of others
         two = x[:-1] * np.uint32(257) + x[1:]
-        grams = [two]
-        if len(x) > 2:
-            three = two[:-1] * np.uint32(65599) + x[2:]
-            grams.append(three)
-            if len(x) > 3:
-                grams.append(three[:-1] * np.uint32(31337) + x[3:] * np.uint32(7919))
-        for n, g in enumerate(grams):
+        three = two[:-1] * np.uint32(65599) + x[2:]
+        four = three[:-1] * np.uint32(31337) + x[3:] * np.uint32(7919)
+        # Of each order, those that end in this block.
+        for n, g in enumerate((two[max(old - 1, 0) :], three[max(old - 2, 0) :], four[max(old - 3, 0) :])):
             counts += np.bincount(((g * np.uint32(2654435769)) >> np.uint32(20)) ^ np.uint32(n * 1021), minlength=DIM)[:DIM]
+        last = x[-3:]
     return np.sqrt(counts / max(counts.sum(), 1.0))
 
 
@@ -142,38 +141,55 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = F.lit(1.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = labelled.filter((unit_hash("doc_id", seed=11) < share) & F.col("text").isNotNull()).limit(2 * sample * len(counts))
+    chosen = labelled.withColumn("h", unit_hash("doc_id", seed=11)).filter((F.col("h") < share) & F.col("text").isNotNull())
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [(lang, features(t).astype(np.float32).tobytes()) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.string()), pa.array([v for _, v in x], pa.binary())], ["lang", "x"])
+            x = [(lang, h, features(t).astype(np.float32).tobytes()) for lang, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in x], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.binary()))], ["lang", "h", "x"])
 
-    rows = sorted((r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(vectors, "lang string, x binary").collect())
+    # The order makes what the bound leaves out the same on every run.
+    found = chosen.select("lang", "h", "text").mapInArrow(vectors, "lang string, h double, x binary").orderBy("h", "lang", "x").limit(2 * sample * len(counts))
+    rows = sorted((r["lang"], bytes(r["x"])) for r in found.collect())
     langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     return fit(langs, np.array([np.frombuffer(v, np.float32) for _, v in rows], float), np.array([langs.index(lang) for lang, _ in rows]))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, lang_score and lang_ambiguous after its own columns."""
+#: What ``predict`` adds; the kinds are Arrow's and Spark's.
+ADDED = (("lang_pred", pa.string(), "string"), ("lang_score", pa.float64(), "double"), ("lang_ambiguous", pa.bool_(), "boolean"))
+#: Texts that are decoded at a time.
+DECODED = 128
+
+
+def predict(docs: DataFrame, model: Model | None, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, lang_score and lang_ambiguous (each after ``prefix``) after its own columns.
+
+    Columns of docs with these names are replaced.
+    """
+    bound_batches(docs.sparkSession)
+    names = [prefix + n for n, _, _ in ADDED]
+    docs = docs.drop(*names)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column("text"):
-                text = t.as_py()
-                if model is None or text is None or not has_letter(text):
-                    out.append((UND, 0.0, False))
-                    continue
-                best, score = model.decode(features(text)[None].astype(np.float32))
-                out.append((model.langs[best[0]], float(score[0]), bool(score[0] < AMBIGUOUS)))
-            new = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+            out: list[tuple] = [(UND, 0.0, False)] * b.num_rows
+            column, known = b.column("text"), []
+            for k in range(b.num_rows if model is not None else 0):
+                text = column[k].as_py()
+                if text is not None and has_letter(text):
+                    known.append((k, features(text).astype(np.float32)))
+                if known and (len(known) == DECODED or k + 1 == b.num_rows):
+                    best, score = model.decode(np.stack([x for _, x in known]))
+                    for (i, _), n, p in zip(known, best, score, strict=True):
+                        out[i] = (model.langs[n], float(p), bool(p < AMBIGUOUS))
+                    known = []
+            new = [pa.array([o[k] for o in out], kind) for k, (_, kind, _) in enumerate(ADDED)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     schema = docs.schema
-    for name, kind in (("lang_pred", "string"), ("lang_score", "double"), ("lang_ambiguous", "boolean")):
+    for name, (_, _, kind) in zip(names, ADDED, strict=True):
         schema = type(schema)(list(schema.fields)).add(name, kind)
     return docs.mapInArrow(guess, schema)
 
