@@ -16,6 +16,7 @@ Defined results
                   common-word histogram takes the words of all lists)
   null doc_id     a row like any other
   repeated rows   one result row each
+  very long texts whole
   empty table     no rows
   other columns   ignored
 """
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.session import materialise
+from leafloom.session import bound_batches, materialise
 
 # Common function words by language.
 COMMON = {
@@ -120,11 +121,13 @@ def js_distance(p: Column, q: Column) -> Column:
         return (side(a) + side(b)) / 2
 
     scaled = lambda a: F.transform(a, lambda x: x / F.nullif(total(a), F.lit(0.0)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(scaled(p), scaled(q), terms), F.lit(0.0), lambda s, x: s + x)))
+    sum_ = F.aggregate(F.zip_with(scaled(p), scaled(q), terms), F.lit(0.0), lambda s, x: s + x)
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(F.lit(0.0), sum_)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, char_distance, word_distance, kept."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text").mapInArrow(_batches, FEATURES)
     rows = materialise(rows.withColumn("lang", F.struct("lang")), "quality")
     parts = rows.select("lang", F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("classes").alias("a")), F.struct(F.lit(1).alias("h"), F.col("common").alias("a")))).alias("x"))
