@@ -1,6 +1,7 @@
 """Operators in Python: edge cases, brute force, round trips, held-out accuracy."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -292,3 +293,163 @@ def test_added_tokens_have_their_own_ids(spark, tmp_path):
     more, ids = Tokenizer.from_file(str(tmp_path / "more.json")), word_ids(str(tmp_path / "more.json"))
     for t in [*texts, "a two words b", "two  Words", "say MIXED mixedxMixed", "two word s"]:
         assert ids.ids(t) == plain(more, t), t
+
+
+def test_plan_is_bounded():
+    """However often lengths occur; one length that fills no window is the hard case."""
+    rng = random.Random(4)
+    spread = {n: rng.randint(1, 10**9) for n in range(1, 2048)}
+    for hist, most in (({1500: 10**6}, 200), ({2047: 10**6}, 200), ({2047: 10**9}, 200), ({1025: 10**7, 3: 5}, 200), (spread, 20_000), (spread | {2047: 10**12}, 20_000)):
+        rows, sequences = packing.plan(hist)
+        placed = {}
+        for rem, piece, size, first, last, *_ in rows:
+            placed[rem] = placed.get(rem, 0) + size * (last - first)
+        total = sum(n * c for n, c in hist.items())
+        assert placed == {n: n * c for n, c in hist.items()} and len(rows) < most, len(rows)
+        assert total <= sequences * 2048 < total + 12 * 2048
+
+
+def test_best_fill_is_best():
+    rng = random.Random(6)
+    for _ in range(400):
+        room = rng.randint(1, 60)
+        counts = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
+        used = packing.best_fill(room, counts)
+        assert all(c <= counts[n] for n, c in used.items())
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        assert sum(n * c for n, c in used.items()) == max(s for s in sums if s <= room)
+
+
+def test_packing_many_of_one_length(spark):
+    """One length for all documents: cut in bulk, ranges of ranks meet their rows of the plan."""
+    rows = [(k if k % 7 else None, "a " * 1499, None) for k in range(900)]
+    seq, ends = {}, {}
+    for r in packing.pack(frame(spark, rows), tokenizer_path()).collect():
+        seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        ends[r.start] = ends.get(r.start, 0) + 1
+    assert ends[0] == 900 and sum(n for v in seq.values() for _, n in v) == 900 * 1500
+    for v in seq.values():
+        end = 0
+        for off, n in sorted(v):
+            assert off == end
+            end += n
+        assert end == 2048 or end & (end - 1) == 0
+
+
+def test_html_attributes_are_read_as_such():
+    body = "<h1>T</h1><p>The first paragraph says something, and it is long enough to be read.</p><p>Second one, which goes on for some words, too.</p>"
+    want = "T\nThe first paragraph says something, and it is long enough to be read.\nSecond one, which goes on for some words, too."
+    for page in ('<p data-hidden="false">{}', '<div data-video-id="promo-1">{}</div>', "<div><a title=it's href=x></a>{}</div>", '<div class="post no-comments">{}</div>', '<div title="is hidden now">{}</div>', '<div title="open>{}', "<div title='a > b'>{}</div>", "<!-- a > b -->{}<!-- left open"):
+        assert html_text.extract(page.format(body)) == want, page
+    assert html_text.extract(f'<article><header class="entry-header"><h1>Above</h1></header>{body}</article>') == f"Above\n{want}"
+    assert html_text.extract(f"<div hidden>{body}</div>{body}") == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + "x", "<a x" * 250_000, '<a x="1>2" ' * 90_000, "<script>" + "</script " * 100_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<" * 1_000_000, "<div class=ad>" * 5000 + "<p>some text here</p>" * 5000, '<a b="c ' * 100_000, "<p>Some words, and more. " * 20_000],
+    ids=range(10),
+)
+def test_html_of_odd_pages_takes_linear_time(page):
+    start = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - start < 6  # 1 s or less on an idle machine
+
+
+def test_tool_calls_survive_any_arguments(spark):
+    odd = ['{"x":1e999}', '{"x":NaN}', '{"x":"\\ud800"}', "[" * 20_000 + "]" * 20_000, '{"x":1.0,"y":1e2}', '{"x":-0.0}', '{"x":1e-7}', '{"\\udc00":1}', '{"x":' + "9" * 5000 + "}", "", None, '{"x":"' + "long " * 50_000 + '"}', "[" * 400 + "]" * 400]
+    calls = spark.createDataFrame([(1, str(k), k, "f", a, []) for k, a in enumerate(odd)], tool_calls.CALLS).withColumns({"content": F.lit("x"), "level": F.lit(1), "use": F.lit(2), "answered": F.lit(True), "position": F.lit(0)})
+    results = spark.createDataFrame([(1, "0", 1, "r")], tool_calls.RESULTS).withColumns({"name": F.lit("n"), "turn_": F.lit(1)})
+    got = {int(r.call_id): r for r in tool_calls.link(calls, results, {"f": {"type": "object", "additionalProperties": False, "properties": {"x": True, "y": {"type": "integer"}}}}).collect()}
+    assert len(got) == len(odd) and [got[k].position for k in range(len(odd))] == list(range(1, len(odd) + 1))
+    assert [k for k in got if got[k].errors == "$: not JSON"] == [0, 1, 3, 8, 9] and not got[12].valid
+    assert '"arguments":{"x":"\\ud800"}' in got[2].json and '{"x":1,"y":100}' in got[4].json and got[4].valid and '{"x":0}' in got[5].json
+    assert "\\udc00: unknown" in got[7].errors and len(got[11].json) > 250_000
+    m = spark.createDataFrame([(1, 0, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"f","arguments":{"a":"\\udfff"}}]}'), (1, 1, "user", "{" * 50_000), (1, 2, "user", '{"a":' * 20_000)], "conv_id bigint, turn bigint, role string, text string")
+    c, r = tool_calls.parse_messages(m)
+    assert [x.call_id for x in c.collect()] == ["\\ud800"] and r.count() == 0
+
+
+def test_tool_calls_are_ordered_by_their_needs(spark):
+    """Kahn's rounds against a plain version, on random needs forward and back, cycles and strangers among them."""
+    rng = random.Random(8)
+    calls = []
+    for conv in range(25):
+        n = rng.randint(1, 9)
+        calls += [(conv, str(k), k if rng.random() < 0.9 else None, "f", "{}", [str(rng.randint(0, n)) for _ in range(rng.choice([0, 0, 1, 1, 2]))]) for k in range(n)]
+    rng.shuffle(calls)
+    got = tool_calls.link(spark.createDataFrame(calls, tool_calls.CALLS), spark.createDataFrame([(c[0], c[1], 99, "r") for c in calls], tool_calls.RESULTS), {"f": {}}).collect()
+    place = {(r.conv_id, r.call_id): r for r in got}
+    for conv in range(25):
+        need = {c[1]: set(c[5]) & {d[1] for d in calls if d[0] == conv} for c in calls if c[0] == conv}
+        free: set = set()
+        while more := {k for k in need if k not in free and need[k] <= free}:
+            free |= more
+        assert {k: place[conv, k].status for k in need} == {k: "linked" if k in free else "cycle" for k in need}
+        assert sorted(place[conv, k].position for k in need) == list(range(1, len(need) + 1))
+        assert all(place[conv, k].position > place[conv, x].position for k in free for x in need[k])
+
+
+def test_language_decoding_is_the_plain_one():
+    """Bits, losses and distances by loops; the fit by normal equations; features whatever the block."""
+    rng = np.random.default_rng(5)
+    y = np.repeat(np.arange(4), 12)
+    x = rng.random((48, 30)) + np.eye(4)[y] @ rng.random((4, 30)) * 3
+    model = langid.fit(list("abcd"), x, y)
+    z = x - x.mean(0)  # classes weigh the same, as they have equally many rows
+    ridge = langid.RIDGE * 48 / langid.DIM * 10
+    w = np.linalg.solve(z.T @ z + ridge * np.eye(30), z.T @ (model.code[y] - model.code[y].mean(0)))
+    assert np.allclose(w, model.weights, atol=1e-4)
+    new = rng.random((20, 30)) * 3
+    best, score = model.decode(new)
+    for k, v in enumerate(new):
+        margins = [float(v @ model.weights[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(t * max(0.0, 1 - m * c) ** 2 for t, m, c in zip(model.trust[n], margins, model.code[n], strict=True)) for n in range(4)]
+        assert best[k] == loss.index(min(loss))
+        assert score[k] == pytest.approx(1 / sum(np.exp(-langid.SHARPNESS * (x - min(loss))) for x in loss))
+    text = "Ein Straßencafé, 123 ... und  mehr! " * 30
+    whole = langid.features(text)
+    assert all(np.array_equal(whole, langid.features(text, block)) for block in (1, 2, 3, 7, 100))
+
+
+def test_language_columns_clash(spark):
+    docs = frame(spark, [(1, "the of and to in", "en"), (2, "der die und das", "de")]).withColumns({"lang_pred": F.lit(1), "lang_score": F.lit("x"), "lang_ambiguous": F.lit("y")})
+    got = langid.predict(docs, None)
+    assert len(set(got.columns)) == len(got.columns) and {r.lang_pred for r in got.collect()} == {"und"}
+
+
+def test_quality_distances_and_verdicts(spark):
+    """Histograms, references, distances and verdicts in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    rows = [*map(tuple, docs.collect()), (9001, None, "zzz qqq " * 60), (9002, "en", "x" * 400_000 + " the of " * 30), (9003, "xx", None), (9003, "xx", None)]
+    told = [(i, lang, quality.describe(t, lang)) for i, lang, t in rows]
+    refs: dict = {}
+    for _, lang, d in told:
+        at = refs.setdefault(lang, [np.zeros(len(d[5])), np.zeros(len(d[6]))])
+        at[0] += d[5]
+        at[1] += d[6]
+
+    def distance(p, q):
+        p, q = np.asarray(p, float), np.asarray(q, float)
+        if not p.sum() or not q.sum():
+            return None
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        return max(0.0, (kl(p) + kl(q)) / 2) ** 0.5
+
+    want = []
+    for i, lang, d in told:
+        chars, common, n = distance(d[5], refs[lang][0]), distance(d[6], refs[lang][1]), d[0]
+        failed = n < 50 or 100 * d[4] > 50 * n
+        most = max((x for x in quality.MAX_WORD_DISTANCE if n >= x[0]), default=None)
+        far = n >= 50 and (chars > quality.MAX_CHAR_DISTANCE or common > most[1])
+        want.append((i, n, failed, not failed and not far, chars, common))
+    made = spark.createDataFrame([(i, t, lang, "k") for i, lang, t in rows], "doc_id bigint, text string, lang string, kept string")
+    got = sorted(quality.judge(made).collect(), key=lambda r: r.doc_id)
+    assert len(got) == len(rows)
+    for r, w in zip(got, sorted(want, key=lambda r: r[0]), strict=True):
+        assert (r.doc_id, r.n_words, r.base_failed, r.kept) == w[:4], w
+        assert (r.char_distance is None) == (w[4] is None) and (w[4] is None or (r.char_distance == pytest.approx(w[4], abs=1e-6) and r.word_distance == pytest.approx(w[5], abs=1e-6)))

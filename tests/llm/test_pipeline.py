@@ -38,3 +38,28 @@ def test_stages(spark, tmp_path):
     assert fourth.columns == docs.columns and got == want
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(want)
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, lang_pred string, kept boolean, `class` string"
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls, repeated rows, long texts, clashing columns; no labels at all."""
+    english = "the cat sat on the mat and it was there for a long time as it is with cats"
+    rows = [(None, None, None, None), (1, None, None, "a"), (2, "", None, "a"), (3, "123 !!", None, "b"), (4, english, None, None), (None, english + " and dogs", None, "a"), (None, english + " and dogs", None, "a"), (5, "word " * 30_000, None, "b"), (6, english.upper(), None, "b")]
+    docs = spark.createDataFrame([(*r, 1, "x", True, "y") for r in rows], DOCS)
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    first = corpus_pipeline.language_stage(spark, docs, "")
+    assert first.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in first.collect()) == ["4", "5", "6", "None", "None"]  # no labels: only letters count
+    labelled = docs.unionByName(spark.createDataFrame([(100 + k, f"{t} {w} {k}", lang, "c", 1, "x", True, "y") for k in range(40) for t, lang, w in [(english, "en", "indeed"), ("der hund und die katze sind nicht zu haus und das ist auch gut", "de", "genau")]], DOCS))
+    kept = corpus_pipeline.language_stage(spark, labelled, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {4, 6}
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sum(r.start == 0 for r in packed) >= 3 and {r.doc_id for r in packed} <= {None, 4, 5, 6}
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
