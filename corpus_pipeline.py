@@ -2,7 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of docs. ``run`` writes each stage's result to the
-shared folder as Parquet and reads it again as the next one's input.
+shared folder as Parquet, reads it again as the next one's input, and empties
+what no later stage reads.
+
+Defined results
+  null text         no letter: language ID drops it
+  no labelled row   no language to tell apart: language ID drops texts without a letter only
+  null doc_id       a document like any other; of equal ones, one stays
+  null source       a source of its own
+  repeated rows     one stays (exact dedup)
+  very long texts   whole
+  empty table       no rows
+  other columns     kept up to the mix, whatever their names
 """
 
 from __future__ import annotations
@@ -12,13 +23,16 @@ from pyspark.sql import functions as F
 
 from leafloom.llm import exact_dedup, langid, mixing, near_dedup, packing
 from leafloom.llm.queries import tokenizer_path
-from leafloom.session import materialise, table
+from leafloom.session import discard, materialise, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose two nearest codewords are too close to call."""
-    found = langid.identify(docs)
-    return found.filter((F.col("lang_pred") != langid.UND) & ~F.col("lang_ambiguous")).select(*docs.columns)
+    model = langid.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.predict(docs, model, prefix="__lid_")
+    return found.filter((F.col("__lid_lang_pred") != langid.UND) & ~F.col("__lid_lang_ambiguous")).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +67,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
 
 
