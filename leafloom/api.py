@@ -66,12 +66,11 @@ class Extraction:
         return pages.search(self.page_text(), pattern, case_sensitive)
 
     def tables(self) -> tables.Detected:
-        return tables.detect(self.items(), self.options.table)
+        return tables.detect(self.items(), self.options.table, keep=True)
 
     def tables_as(self, kind: str) -> DataFrame:
-        """kind: csv, markdown, html, json, array or objects; the first row of a table is its header."""
-        cells = self.tables().cells.withColumn("is_header", F.col("table_row") == 0)
-        return getattr(formats, f"to_{kind}")(cells)
+        """kind: csv, markdown, html, json, array or objects; headers as the table options say."""
+        return getattr(formats, f"to_{kind}")(self.tables().headed)
 
     def errors(self) -> DataFrame:
         """Files that could not be read, and why."""

@@ -1,6 +1,10 @@
 """Tables from positioned items: rows, row groups, columns, grid, cells, headers.
 
-All stages are keyed by (doc_id, page) or finer, so no key grows with the corpus.
+One shuffle, by (doc_id, page): rows and row groups are windows and aggregates
+on keys that contain it, and a row group becomes one record with its rows and
+items as arrays. Columns, grid, cells and header scores are higher-order
+functions on that record, so they move nothing and join nothing. No key is
+coarser than a page.
 """
 
 from __future__ import annotations
@@ -11,15 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
-from leafloom.operators.layout import cluster_labels, sorted_by
+from leafloom.operators.layout import FIELDS, cluster_labels, sorted_by
 from leafloom.session import materialise
 
 PAGE = ("doc_id", "page")
 GROUP = (*PAGE, "grp")
 
-# Words that are column headings, patterns of bold font names.
+# Words that are column headings, patterns of bold font names, the score (in hundredths) that a header reaches.
 KEYWORDS = "id|name|date|time|type|status|amount|price|quantity|description|title|number|code|category|value|total|count|rate|percent|index|key|label"
 BOLD = "(?i)bold|heavy|black|medium"
+HEADER_SCORE = 30
+# The texts of reasons.
+FEW, THIN = "Insufficient {}: ", "Low grid density: "
 
 
 @dataclass(frozen=True)
@@ -31,6 +38,11 @@ class Options:
     min_density: float = 0.6
     min_spread: float = 50.0
     max_gap: float = 2.5
+    detect_headers: bool = True
+    header_first_row: bool = True
+    header_font: bool = True
+    header_font_ratio: float = 1.1
+    header_content: bool = True
 
 
 def row_items(items: DataFrame, o: Options = Options()) -> DataFrame:
@@ -41,8 +53,9 @@ def row_items(items: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def rows_of(items: DataFrame) -> DataFrame:
-    """(doc_id, page, row, y, min_y, max_y, n, spread) of items with rows."""
-    return items.groupBy(*PAGE, "row").agg(F.avg("y").alias("y"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("height")).alias("max_y"), F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("spread"))
+    """(doc_id, page, row, y, min_y, max_y, n, spread, items) of items with rows; items in order of idx."""
+    listed = F.sort_array(F.collect_list(F.struct(*FIELDS))).alias("items")
+    return items.groupBy(*PAGE, "row").agg(F.avg("y").alias("y"), F.min("y").alias("min_y"), F.max(F.col("y") + F.col("height")).alias("max_y"), F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("spread"), listed)
 
 
 def table_rows(rows: DataFrame, o: Options = Options()) -> DataFrame:
@@ -62,164 +75,279 @@ def row_groups(rows: DataFrame, o: Options = Options()) -> DataFrame:
     x = x.withColumn("grp", F.sum(broken.cast("int")).over(down).cast("int")).filter(F.col("rows_here") >= o.min_rows)
     group = Window.partitionBy(*GROUP)
     x = x.withColumns({"row_count": F.count(F.lit(1)).over(group).cast("int"), "table_row": (F.row_number().over(group.orderBy(F.desc("y"), "row")) - 1).cast("int")})
-    return x.filter(F.col("row_count") >= o.min_rows).select(*GROUP, "row", "table_row", "row_count", "y", "min_y", "max_y", "gap")
+    return x.filter(F.col("row_count") >= o.min_rows)
 
 
-def grouped_items(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """Items of the rows in groups, with grp, table_row and row_count."""
-    return items.join(groups.select(*PAGE, "row", "grp", "table_row", "row_count"), [*PAGE, "row"])
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def columns_of(items: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, grp, col, x, min_x, max_x, rows): columns of each group of items, before refinement.
+def _columns(rows: Column, row_count: Column, o: Options) -> Column:
+    """array<struct<col, x, min_x, max_x, rows>>: clusters of x within the tolerance of the cluster's first x, if enough
+    rows have an item within the tolerance of the cluster's mean."""
+    tol, least = o.column_tolerance, F.greatest(F.lit(2), F.floor(row_count * F.lit(0.3)))
+    point = lambda r: lambda i: F.struct(i["x"].alias("x"), i["idx"].alias("idx"), i["width"].alias("width"), r["table_row"].alias("table_row"))
+    points = F.sort_array(F.flatten(F.transform(rows, lambda r: F.transform(r["items"], point(r)))))
 
-    Clusters of x within the tolerance of the cluster's first x, if enough rows
-    have an item within the tolerance of the cluster's mean.
-    """
-    entry = F.struct("x", "idx", "width", "table_row")
-    by = items.groupBy(*GROUP).agg(F.first("row_count").alias("row_count"), F.sort_array(F.collect_list(entry)).alias("items"))
-    by = by.withColumn("label", cluster_labels(F.transform("items", lambda e: e["x"]), o.column_tolerance, "first"))
-    flat = by.select(*GROUP, "row_count", "items", F.explode(F.arrays_zip(F.col("items").alias("e"), "label")).alias("z"))
-    cols = flat.groupBy(*GROUP, "z.label").agg(F.first("row_count").alias("row_count"), F.first("items").alias("items"), F.avg("z.e.x").alias("x"), F.min("z.e.x").alias("min_x"), F.max(F.col("z.e.x") + F.col("z.e.width")).alias("max_x"))
-    mean = F.col("x")
-    near = F.filter("items", lambda e: F.abs(e["x"] - mean) <= o.column_tolerance)
-    cols = cols.withColumn("rows", F.size(F.array_distinct(F.transform(near, lambda e: e["table_row"]))))
-    cols = cols.filter(F.col("rows") >= F.greatest(F.lit(2), F.floor(F.col("row_count") * F.lit(0.3))))
-    number = F.row_number().over(Window.partitionBy(*GROUP).orderBy("x", "label")) - 1
-    return cols.select(*GROUP, number.cast("int").alias("col"), "x", "min_x", "max_x", "rows")
-
-
-def refine(columns: DataFrame) -> DataFrame:
-    """Neighbours less than 10 apart meet in the middle; mean x stays. Groups' column counts are added.
+    def clusters(p: Column) -> Column:
+        labels = cluster_labels(F.transform(p, lambda e: e["x"]), tol, "first")
+        labelled = F.zip_with(p, labels, lambda e, k: F.struct(e.alias("e"), k.alias("k")))
+        members = let(labelled, lambda z: F.transform(F.sequence(F.lit(0), F.array_max(F.transform(z, lambda e: e["k"]))), lambda k: F.transform(F.filter(z, lambda e: e["k"] == k), lambda e: e["e"])))
+
+        def near(m: Column) -> Column:
+            close = F.filter(p, lambda e: F.abs(e["x"] - m["x"]) <= tol)
+            return F.struct(m["x"].alias("x"), m["min_x"].alias("min_x"), m["max_x"].alias("max_x"), F.size(F.array_distinct(F.transform(close, lambda e: e["table_row"]))).alias("rows"))
+
+        mean = lambda m: F.aggregate(m, F.lit(0.0), lambda s, e: s + e["x"]) / F.size(m)
+        ends = F.transform(members, lambda m: F.struct(mean(m).alias("x"), F.array_min(F.transform(m, lambda e: e["x"])).alias("min_x"), F.array_max(F.transform(m, lambda e: e["x"] + e["width"])).alias("max_x")))
+        return F.sort_array(F.filter(F.transform(ends, near), lambda c: c["rows"] >= least))
+
+    return F.transform(let(points, clusters), lambda c, n: F.struct(n.cast("int").alias("col"), c["x"].alias("x"), c["min_x"].alias("min_x"), c["max_x"].alias("max_x"), c["rows"].alias("rows")))
+
+
+def _refined(columns: Column) -> Column:
+    """array<struct<col, x, min_x, max_x, width>>: neighbours less than 10 apart meet in the middle; mean x stays.
 
     A column's left edge moves only with its left neighbour and its right edge
     only with its right one, so both see original values.
     """
-    w = Window.partitionBy(*GROUP).orderBy("col")
-    left, right = F.lag("max_x").over(w), F.lead("min_x").over(w)
-    new_min = F.when(left > F.col("min_x") - 10, (left + F.col("min_x")) / 2).otherwise(F.col("min_x"))
-    new_max = F.when(F.col("max_x") > right - 10, (F.col("max_x") + right) / 2).otherwise(F.col("max_x"))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*GROUP)).cast("int")
-    return columns.select(*GROUP, "col", "x", new_min.alias("min_x"), new_max.alias("max_x"), n.alias("column_count")).withColumn("width", F.col("max_x") - F.col("min_x"))
 
+    def meet(c: Column, n: Column) -> Column:
+        left, right = F.get(columns, n - 1)["max_x"], F.get(columns, n + 1)["min_x"]
+        low = F.when(left > c["min_x"] - 10, (left + c["min_x"]) / 2).otherwise(c["min_x"])
+        high = F.when(c["max_x"] > right - 10, (c["max_x"] + right) / 2).otherwise(c["max_x"])
+        return let(F.struct(low.alias("a"), high.alias("b")), lambda e: F.struct(c["col"].alias("col"), c["x"].alias("x"), e["a"].alias("min_x"), e["b"].alias("max_x"), (e["b"] - e["a"]).alias("width")))
 
-def _with_columns(items: DataFrame, refined: DataFrame) -> DataFrame:
-    """Items with the array ``cols`` of their group's columns, in order."""
-    listed = refined.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("col", "x", "min_x", "max_x"))).alias("cols"), F.first("column_count").alias("column_count"))
-    return items.join(listed, [*GROUP])
+    return F.transform(columns, meet)
 
 
-def density_column(o: Options = Options()) -> Column:
+def density_column(item: Column, cols: Column, o: Options = Options()) -> Column:
     """The first column that an item overlaps within the tolerance; null if none."""
-    x, right = F.col("x"), F.col("x") + F.col("width")
-    return F.get(F.filter("cols", lambda c: (x <= c["max_x"] + o.column_tolerance) & (right >= c["min_x"] - o.column_tolerance)), F.lit(0))["col"]
+    x, right, tol = item["x"], item["x"] + item["width"], o.column_tolerance
+    return F.get(F.filter(cols, lambda c: (x <= c["max_x"] + tol) & (right >= c["min_x"] - tol)), F.lit(0))["col"]
 
 
-def cell_column(o: Options = Options()) -> Column:
+def cell_column(item: Column, cols: Column, o: Options = Options()) -> Column:
     """The first column whose range (with tolerance) holds x or that the item overlaps, else the nearest one."""
-    x, right, tol = F.col("x"), F.col("x") + F.col("width"), o.column_tolerance
-    inside = F.filter("cols", lambda c: x.between(c["min_x"] - tol, c["max_x"] + tol) | ((x < c["max_x"]) & (right > c["min_x"])))
-    far = F.transform("cols", lambda c: F.struct(F.least(F.abs(x - c["x"]), F.abs(x - c["min_x"]), F.abs(x - c["max_x"])).alias("d"), c["col"].alias("col")))
+    x, right, tol = item["x"], item["x"] + item["width"], o.column_tolerance
+    inside = F.filter(cols, lambda c: x.between(c["min_x"] - tol, c["max_x"] + tol) | ((x < c["max_x"]) & (right > c["min_x"])))
+    far = F.transform(cols, lambda c: F.struct(F.least(F.abs(x - c["x"]), F.abs(x - c["min_x"]), F.abs(x - c["max_x"])).alias("d"), c["col"].alias("col")))
     return F.coalesce(F.get(inside, F.lit(0))["col"], F.array_min(far)["col"])
 
 
-def validate(items: DataFrame, refined: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, grp, row_count, column_count, filled_cells, total_cells, density, valid, reason) of each group that has columns."""
-    per = _with_columns(items, refined).withColumn("c", density_column(o))
-    rows = per.groupBy(*GROUP, "table_row").agg(F.count_distinct("c").alias("filled"), F.first("row_count").alias("row_count"), F.first("column_count").alias("column_count"))
-    g = rows.groupBy(*GROUP).agg(F.first("row_count").alias("row_count"), F.first("column_count").alias("column_count"), F.sum("filled").alias("filled_cells"))
-    total = (F.col("row_count") * F.col("column_count")).cast("bigint")
-    g = g.withColumn("total_cells", total).withColumn("density", F.col("filled_cells") / F.col("total_cells"))
-    few_rows, few_cols, thin = F.col("row_count") < o.min_rows, F.col("column_count") < o.min_columns, F.col("density") < o.min_density
-    show = lambda kind, n, least: F.concat(F.lit(f"Insufficient {kind}: "), n.cast("string"), F.lit(f" < {least}"))
-    reason = F.when(few_rows, show("rows", F.col("row_count"), o.min_rows)).when(few_cols, show("columns", F.col("column_count"), o.min_columns))
-    reason = reason.when(thin, F.concat(F.lit("Low grid density: "), T.tenths(100 * F.col("filled_cells"), F.col("total_cells")), F.lit(f"% < {100 * o.min_density:.1f}%")))
-    return g.withColumns({"valid": reason.isNull(), "reason": reason})
+def _cell(row: Column, c: Column, mine: Column) -> Column:
+    """One cell: its items joined by spaces from left to right; without items it takes its place from its column and row."""
+    some = F.size(mine) > 0
+    text = F.array_join(F.transform(F.sort_array(F.transform(mine, lambda i: F.struct(i["x"].alias("x"), i["idx"].alias("idx"), i["str"].alias("str")))), lambda e: e["str"]), " ")
+    least, most = (lambda f: F.array_min(F.transform(mine, f))), (lambda f: F.array_max(F.transform(mine, f)))
+    x, y = least(lambda i: i["x"]), least(lambda i: i["y"])
+    return F.struct(
+        c["col"].alias("col"),
+        F.when(some, T.strip(text)).otherwise("").alias("content"),
+        F.when(some, x).otherwise(c["min_x"]).alias("x"),
+        F.when(some, y).otherwise(row["min_y"]).alias("y"),
+        F.when(some, most(lambda i: i["x"] + i["width"]) - x).otherwise(c["width"]).alias("width"),
+        F.when(some, most(lambda i: i["y"] + i["height"]) - y).otherwise(row["max_y"] - row["min_y"]).alias("height"),
+        some.alias("filled"),
+    )
+
 
+def _grid_row(row: Column, cols: Column, o: Options) -> Column:
+    """struct<table_row, filled, cells, items>: how many columns the row's items meet, and a cell for each column."""
+    items = row["items"]
+    met = F.array_distinct(F.filter(F.transform(items, lambda i: density_column(i, cols, o)), lambda k: k.isNotNull()))
+    placed = F.transform(items, lambda i: F.struct(i.alias("i"), cell_column(i, cols, o).alias("k")))
+    cells = let(placed, lambda z: F.transform(cols, lambda c: let(F.transform(F.filter(z, lambda e: e["k"] == c["col"]), lambda e: e["i"]), lambda mine: _cell(row, c, mine))))
+    return F.struct(row["table_row"].alias("table_row"), F.size(met).alias("filled"), cells.alias("cells"), F.transform(items, lambda i: F.struct(i["font_size"].alias("font_size"), i["font_name"].alias("font_name"))).alias("fonts"))
 
-def cells(items: DataFrame, groups: DataFrame, refined: DataFrame, valid: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, grp, table_row, col, content, x, y, width, height, filled): the full grid of every valid group.
 
-    A cell's items are joined by spaces from left to right; a cell without
-    items takes its place from its column and row.
+def _row_score(row: Column, fonts: Column, later: Column, o: Options) -> Column:
+    """How much a row looks like a header, in hundredths.
+
+    First row 30; font at least header_font_ratio times that of rows 1.. 25;
+    bold where rows 1.. have none 25; content, if above 20: short 10,
+    capitalised 15, keywords up to 20, no numbers 10.
+    """
+    first = F.when(row["table_row"] == 0, 30).otherwise(0) if o.header_first_row else F.lit(0)
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, f: s + f["font_size"])
+    bold = lambda a: F.exists(a, lambda f: F.coalesce(f["font_name"].rlike(BOLD), F.lit(False)))
+    larger = size(fonts) / F.nullif(F.size(fonts), F.lit(0)) >= F.lit(o.header_font_ratio) * size(later) / F.nullif(F.size(later), F.lit(0))
+    font = F.when(F.size(later) > 0, 25 * F.coalesce(larger, F.lit(False)).cast("int") + 25 * (bold(fonts) & ~bold(later)).cast("int")).otherwise(0)
+
+    def points(some: Column) -> Column:
+        k, of = F.size(some), lambda rx: F.size(F.filter(some, lambda c: c.rlike(rx)))
+        chars = F.aggregate(some, F.lit(0), lambda s, c: s + F.length(c))
+        words = F.lit(20.0) * of(f"(?i)^(?:{KEYWORDS})$") / F.nullif(k, F.lit(0))
+        total = 10 * (chars < 20 * k).cast("int") + 15 * (10 * of("^[A-Z]") > 7 * k).cast("int") + words + 10 * ((of(r"^\d+(\.\d+)?$") == 0) & (k > 1)).cast("int")
+        return let(total, lambda t: F.when((k > 0) & (t > 20), t).otherwise(0.0))
+
+    content = let(F.filter(row["contents"], lambda c: c != ""), points) if o.header_content else F.lit(0.0)
+    return (first + (font if o.header_font else F.lit(0)) + content).cast("double")
+
+
+def _scores(rows: Column, o: Options) -> Column:
+    """Scores of rows (array<struct<table_row, fonts, contents>>), in order."""
+    later = F.flatten(F.transform(F.filter(rows, lambda r: r["table_row"] > 0), lambda r: r["fonts"]))
+    return let(later, lambda z: F.transform(rows, lambda r: _row_score(r, r["fonts"], z, o)))
+
+
+def header_scores(items: DataFrame, cell_rows: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, page, grp, table_row, score_percent) from items and cells that come from elsewhere; ``Detected.scores`` needs no join."""
+    fonts = items.groupBy(*GROUP, "table_row").agg(F.collect_list(F.struct("font_size", "font_name")).alias("fonts"))
+    contents = cell_rows.groupBy(*GROUP, "table_row").agg(F.collect_list("content").alias("contents"))
+    none = F.array().cast("array<struct<font_size:double,font_name:string>>")
+    rows = contents.join(fonts, [*GROUP, "table_row"], "left").select(*GROUP, F.struct("table_row", F.coalesce("fonts", none).alias("fonts"), "contents").alias("r"))
+    by = rows.groupBy(*GROUP).agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    scored = by.select(*GROUP, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["table_row"]).alias("table_row"), _scores(F.col("rows"), o).alias("score_percent"))).alias("z"))
+    return scored.select(*GROUP, "z.table_row", "z.score_percent")
+
+
+def consistency(groups: DataFrame, tolerance: float = 10.0) -> DataFrame:
+    """(doc_id, page, grp, consistency): how well the x positions of a group's rows match those of its first row.
+
+    Each position of the first row takes the first free one of the other row
+    within the tolerance; a row's score is its matches over the longer row's
+    length, a group's the mean of its rows' (1 with a single row).
     """
-    good = valid.filter("valid").select(*GROUP)
-    placed = _with_columns(items.join(good, [*GROUP], "left_semi"), refined).withColumn("col", cell_column(o))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "idx", "str"))), lambda e: e["str"]), " ")
-    full = placed.groupBy(*GROUP, "table_row", "col").agg(
-        T.strip(text).alias("content"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("top")
-    )
-    rows = groups.join(good, [*GROUP], "left_semi").select(*GROUP, "table_row", F.col("min_y").alias("row_y"), (F.col("max_y") - F.col("min_y")).alias("row_height"))
-    grid = rows.join(refined.select(*GROUP, "col", F.col("min_x").alias("col_x"), F.col("width").alias("col_width")), [*GROUP])
-    met = grid.join(full, [*GROUP, "table_row", "col"], "left")
-    return met.select(
-        *GROUP,
-        "table_row",
-        "col",
-        F.coalesce("content", F.lit("")).alias("content"),
-        F.coalesce("x", "col_x").alias("x"),
-        F.coalesce("y", "row_y").alias("y"),
-        F.coalesce(F.col("right") - F.col("x"), F.col("col_width")).alias("width"),
-        F.coalesce(F.col("top") - F.col("y"), F.col("row_height")).alias("height"),
-        F.col("content").isNotNull().alias("filled"),
-    )
 
+    def match(a: Column, b: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            hits = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda k: ~F.array_contains(state, k) & (F.abs(F.get(b, k) - x) <= tolerance))
+            return let(hits, lambda h: F.when(F.size(h) > 0, F.concat(state, F.slice(h, F.lit(1), F.lit(1)))).otherwise(state))
 
-def header_scores(items: DataFrame, cell_rows: DataFrame) -> DataFrame:
-    """(doc_id, page, grp, table_row, score_percent): how much each row of a table looks like a header, in hundredths.
+        used = F.aggregate(a, F.array().cast("array<int>"), step)
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(used) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
 
-    First row 30; font at least 1.1 times that of rows 1.. 25; bold where rows
-    1.. have none 25; content, if above 20: short 10, capitalised 15, keywords
-    up to 20, no numbers 10.
-    """
-    bold = F.coalesce(F.col("font_name").rlike(BOLD), F.lit(False))
-    fonts = items.groupBy(*GROUP, "table_row").agg(F.sum("font_size").alias("sizes"), F.count(F.lit(1)).alias("n"), F.bool_or(bold).alias("bold"))
-    w, later = Window.partitionBy(*GROUP), F.col("table_row") > 0
-    fonts = fonts.withColumns({"later_sizes": F.sum(F.when(later, F.col("sizes"))).over(w), "later_n": F.sum(F.when(later, F.col("n"))).over(w), "later_bold": F.bool_or(later & F.col("bold")).over(w)})
-    larger = F.col("sizes") / F.col("n") >= F.lit(1.1) * F.col("later_sizes") / F.col("later_n")
-    font = F.when(F.col("later_n") > 0, 25 * larger.cast("int") + 25 * (F.col("bold") & ~F.col("later_bold")).cast("int")).otherwise(0)
-    some = F.col("content") != ""
-    content = cell_rows.groupBy(*GROUP, "table_row").agg(
-        F.count_if(some).alias("k"),
-        F.sum(F.when(some, F.length("content"))).alias("chars"),
-        F.count_if(some & F.col("content").rlike("^[A-Z]")).alias("caps"),
-        F.count_if(some & F.col("content").rlike(f"(?i)^(?:{KEYWORDS})$")).alias("words"),
-        F.count_if(some & F.col("content").rlike(r"^\d+(\.\d+)?$")).alias("numbers"),
-    )
-    k = F.col("k")
-    points = 10 * (F.col("chars") < 20 * k).cast("int") + 15 * (10 * F.col("caps") > 7 * k).cast("int") + F.lit(20.0) * F.col("words") / k + 10 * ((F.col("numbers") == 0) & (k > 1)).cast("int")
-    points = F.when((k > 0) & (points > 20), points).otherwise(0.0)
-    first = F.when(F.col("table_row") == 0, 30).otherwise(0)
-    return content.join(fonts.select(*GROUP, "table_row", font.alias("font")), [*GROUP, "table_row"], "left").select(*GROUP, "table_row", (first + F.coalesce("font", F.lit(0)) + points).alias("score_percent"))
+    xs = F.transform("rows", lambda r: F.sort_array(F.transform(r["items"], lambda i: i["x"])))
+    total = lambda z: F.aggregate(F.slice(z, F.lit(2), F.greatest(F.size(z) - 1, F.lit(0))), F.lit(0.0), lambda s, b: s + match(F.get(z, F.lit(0)), b))
+    score = let(xs, lambda z: F.when(F.size(z) < 2, 1.0).otherwise(total(z) / F.nullif(F.size(z) - 1, F.lit(0))))
+    return groups.select(*GROUP, score.alias("consistency"))
 
 
-@dataclass
-class Detected:
-    """The stages of one detection, as DataFrames."""
+def records(items: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array."""
+    rows = row_groups(table_rows(rows_of(row_items(items, o)), o), o)
+    one = F.struct("table_row", "row", "y", "min_y", "max_y", "gap", "items")
+    return rows.groupBy(*GROUP).agg(F.first("row_count").alias("row_count"), F.sort_array(F.collect_list(one)).alias("rows"))
+
 
-    items: DataFrame
-    groups: DataFrame
-    columns: DataFrame
-    refined: DataFrame
-    valid: DataFrame
-    cells: DataFrame
+def _grid(record: DataFrame, o: Options) -> DataFrame:
+    """Records with columns, refined columns, grid rows and what tells whether they are a table."""
+    rows, n = F.col("rows"), F.col("row_count")
 
+    def full(raw: Column) -> Column:
+        return let(_refined(raw), lambda cols: F.struct(raw.alias("raw"), cols.alias("cols"), F.transform(rows, lambda r: _grid_row(r, cols, o)).alias("grid")))
 
-def detect(items: DataFrame, o: Options = Options()) -> Detected:
-    """All stages. Those that several others read are written to the shared folder, so none is computed twice."""
-    placed = materialise(row_items(items, o), "tables-rows")
-    groups = materialise(row_groups(table_rows(rows_of(placed), o), o), "tables-groups")
-    mine = materialise(grouped_items(placed, groups), "tables-items")
-    columns = columns_of(mine, o)
-    refined = materialise(refine(columns), "tables-columns")
-    valid = validate(mine, refined, o)
-    return Detected(mine, groups, columns, refined, valid, cells(mine, groups, refined, valid, o))
+    g = record.withColumn("t", let(_columns(rows, n, o), full)).select(*GROUP, "row_count", "rows", "t.raw", "t.cols", "t.grid")
+    g = g.withColumns({"column_count": F.size("cols"), "filled_cells": F.aggregate("grid", F.lit(0).cast("bigint"), lambda s, r: s + r["filled"])})
+    total = (F.col("row_count") * F.col("column_count")).cast("bigint")
+    g = g.withColumn("total_cells", total).withColumn("density", F.col("filled_cells") / F.nullif("total_cells", F.lit(0)))
+    few_rows, few_cols, thin = F.col("row_count") < o.min_rows, F.col("column_count") < o.min_columns, F.col("density") < o.min_density
+    show = lambda kind, n, least: F.concat(F.lit(FEW.format(kind)), n.cast("string"), F.lit(f" < {least}"))
+    reason = F.when(few_rows, show("rows", F.col("row_count"), o.min_rows)).when(few_cols, show("columns", F.col("column_count"), o.min_columns))
+    reason = reason.when(thin, F.concat(F.lit(THIN), T.tenths(100 * F.col("filled_cells"), F.col("total_cells")), F.lit(f"% < {100 * o.min_density:.1f}%")))
+    return g.withColumns({"valid": reason.isNull() & (F.col("column_count") > 0), "reason": reason})
+
+
+@dataclass
+class Detected:
+    """One detection: ``grid`` has a record for each row group, everything else is a projection of it."""
+
+    grid: DataFrame
+    options: Options = Options()
+
+    @property
+    def items(self) -> DataFrame:
+        """The items of rows in groups, with grp, table_row and row_count."""
+        rows = self.grid.select(*GROUP, "row_count", F.explode("rows").alias("r"))
+        return rows.select(*GROUP, "row_count", "r.row", "r.table_row", F.explode("r.items").alias("i")).select(*GROUP, "row", "table_row", "row_count", "i.*")
+
+    @property
+    def groups(self) -> DataFrame:
+        rows = self.grid.select(*GROUP, "row_count", F.explode("rows").alias("r"))
+        return rows.select(*GROUP, "r.row", "r.table_row", "row_count", "r.y", "r.min_y", "r.max_y", "r.gap")
+
+    @property
+    def columns(self) -> DataFrame:
+        """(doc_id, page, grp, col, x, min_x, max_x, rows): columns before refinement."""
+        return self.grid.select(*GROUP, F.explode("raw").alias("c")).select(*GROUP, "c.*")
+
+    @property
+    def refined(self) -> DataFrame:
+        return self.grid.select(*GROUP, "column_count", F.explode("cols").alias("c")).select(*GROUP, "c.col", "c.x", "c.min_x", "c.max_x", "c.width", "column_count")
+
+    @property
+    def valid(self) -> DataFrame:
+        """(doc_id, page, grp, row_count, column_count, filled_cells, total_cells, density, valid, reason) of each group that has columns."""
+        return self.grid.filter("column_count > 0").select(*GROUP, "row_count", "column_count", "filled_cells", "total_cells", "density", "valid", "reason")
+
+    @property
+    def tables(self) -> DataFrame:
+        """Valid records with their rows' scores and whether the first row is a header.
+
+        It is if its score reaches HEADER_SCORE; no other row ever is.
+        """
+        rows = F.transform("grid", lambda r: F.struct(r["table_row"].alias("table_row"), r["fonts"].alias("fonts"), F.transform(r["cells"], lambda c: c["content"]).alias("contents")))
+        scored = self.grid.filter("valid").withColumn("scores", _scores(rows, self.options))
+        has = F.get("scores", F.lit(0)) >= HEADER_SCORE if self.options.detect_headers else F.lit(False)
+        return scored.withColumn("has_header", has)
+
+    @property
+    def cells(self) -> DataFrame:
+        """(doc_id, page, grp, table_row, col, content, x, y, width, height, filled): the full grid of every valid group."""
+        return self._cells(self.grid.filter("valid"))
+
+    @property
+    def headed(self) -> DataFrame:
+        """cells with is_header."""
+        return self._cells(self.tables, (F.col("has_header") & (F.col("r.table_row") == 0)).alias("is_header"))
+
+    @staticmethod
+    def _cells(tables: DataFrame, *more: Column) -> DataFrame:
+        keep = ["has_header"] if more else []
+        rows = tables.select(*GROUP, *keep, F.explode("grid").alias("r"))
+        return rows.select(*GROUP, F.col("r.table_row").alias("table_row"), *more, F.explode("r.cells").alias("c")).select(*GROUP, "table_row", "c.*", *(["is_header"] if more else []))
+
+    @property
+    def scores(self) -> DataFrame:
+        """(doc_id, page, grp, table_row, score_percent)"""
+        return self.tables.select(*GROUP, F.posexplode("scores").alias("table_row", "score_percent"))
+
+    @property
+    def headers(self) -> DataFrame:
+        """(doc_id, page, grp, has_header, confidence, names): names are the header's cells, none without a header."""
+        first = F.transform(F.get("grid", F.lit(0))["cells"], lambda c: c["content"])
+        return self.tables.select(
+            *GROUP,
+            "has_header",
+            F.when(F.col("has_header"), F.least(F.lit(100.0), F.get("scores", F.lit(0)))).otherwise(0.0).alias("confidence"),
+            F.when(F.col("has_header"), first).otherwise(F.array().cast("array<string>")).alias("names"),
+        )
+
+    def cell(self, table_row: int, col: int) -> DataFrame:
+        """(doc_id, page, grp, content): a cell of each table, '' where the table has none."""
+        at = lambda a, k: F.get(F.filter(a, k), F.lit(0))
+        row = at("grid", lambda r: r["table_row"] == table_row)
+        return self.grid.filter("valid").select(*GROUP, F.coalesce(at(row["cells"], lambda c: c["col"] == col)["content"], F.lit("")).alias("content"))
+
+    def column(self, col: int) -> DataFrame:
+        """(doc_id, page, grp, contents): a column of each table from top to bottom, '' where a row has no such cell."""
+        one = lambda r: F.coalesce(F.get(F.filter(r["cells"], lambda c: c["col"] == col), F.lit(0))["content"], F.lit(""))
+        return self.grid.filter("valid").select(*GROUP, F.transform("grid", one).alias("contents"))
+
+
+def detect(items: DataFrame, o: Options = Options(), keep: bool = False) -> Detected:
+    """All stages. ``keep`` writes the records to the shared folder, for callers that read them more than once."""
+    grid = _grid(records(items, o), o)
+    return Detected(materialise(grid, "tables") if keep else grid, o)
 
 
 def summary(d: Detected) -> DataFrame:
     """(doc_id, page, table, ...): one row for each table, numbered on its page."""
-    bounds = d.cells.groupBy(*GROUP).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("top"))
-    t = d.valid.filter("valid").join(bounds, [*GROUP])
+    cells = F.flatten(F.transform("grid", lambda r: r["cells"]))
+    least, most = (lambda f: F.array_min(F.transform(cells, f))), (lambda f: F.array_max(F.transform(cells, f)))
+    t = d.grid.filter("valid").select(*GROUP, "row_count", "column_count", "density", least(lambda c: c["x"]).alias("x"), least(lambda c: c["y"]).alias("y"), most(lambda c: c["x"] + c["width"]).alias("right"), most(lambda c: c["y"] + c["height"]).alias("top"))
     n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("grp"))
     ident = F.concat(F.lit("table_p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"))
     return t.select(*PAGE, ident.alias("table_id"), "row_count", "column_count", F.col("density").alias("confidence"), "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("top") - F.col("y")).alias("height"))

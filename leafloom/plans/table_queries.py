@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 CHAIN = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem),
 u AS (SELECT l_orderkey, rn, l_partkey, l_returnflag, l_linenumber, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CASE WHEN l_suppkey % 3 <> 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END, l_linestatus]) AS str, unnest([0, 1, 2, 3]) AS k FROM o),
-items_ AS (SELECT l_orderkey AS doc_id, CAST(1 AS BIGINT) AS page, CAST(rn - 1 AS INT) AS row, CAST(rn * 4 + k AS INT) AS idx, str, CAST(100 * (k + 1) + l_partkey % 5 - 2 AS DOUBLE) AS x, CAST(700 - 20 * rn - CASE WHEN rn > 4 THEN 60 ELSE 0 END AS DOUBLE) AS y,
+items_ AS (SELECT l_orderkey AS doc_id, CAST(1 AS BIGINT) AS page, CAST(rn - 1 AS INT) AS row, CAST(rn * 4 + k AS INT) AS idx, str, CAST(100 * (k + 1) + l_partkey % 5 - 2 AS DOUBLE) AS x, CAST(700 - 20 * rn - CASE WHEN rn > 4 THEN 60 ELSE 0 END + (l_partkey + k) % 3 - 1 AS DOUBLE) AS y,
   CAST(6 * length(str) AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height, CASE WHEN rn = 1 AND l_returnflag = 'R' THEN 'Helvetica-Bold' ELSE 'Helvetica' END AS font_name, CAST(12 + CASE WHEN rn = 1 THEN l_linenumber % 3 ELSE 0 END AS DOUBLE) AS font_size FROM u WHERE str IS NOT NULL),
 rows_ AS (SELECT doc_id, page, row, avg(y) AS y, min(y) AS min_y, max(y + height) AS max_y, count(*) AS n, max(x) - min(x) AS spread FROM items_ GROUP BY ALL),
 kept_ AS (SELECT * FROM rows_ WHERE n >= 2 AND spread >= 50),
@@ -61,20 +61,13 @@ def items(spark, sf):
     return order_pages(table(spark, sf, "lineitem"))
 
 
-_DETECTED: dict = {}
-
-
 def detected(spark, sf) -> B.Detected:
-    """One detection for each session and input: its stages are tables in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _DETECTED:
-        _DETECTED[key] = B.detect(items(spark, sf))
-    return _DETECTED[key]
+    return B.detect(items(spark, sf))
 
 
 def headed(spark, sf):
-    """Cells of the order pages' tables; the first row is the header (its score is 30 at least)."""
-    return detected(spark, sf).cells.withColumn("is_header", F.col("table_row") == 0)
+    """Cells of the order pages' tables; the first row is the header where its score tells so."""
+    return detected(spark, sf).headed
 
 
 @query("SELECT doc_id, page, row, idx, str, x, y FROM items_")
@@ -84,7 +77,7 @@ def rows_detect(spark, sf):
 
 @query("SELECT doc_id, page, row, y, min_y, max_y, n, spread FROM kept_")
 def rows_filter(spark, sf):
-    return B.table_rows(B.rows_of(B.row_items(items(spark, sf))))
+    return B.table_rows(B.rows_of(B.row_items(items(spark, sf)))).drop("items")
 
 
 @query("SELECT doc_id, page, grp, row, table_row, row_count, y, min_y, max_y, gap FROM groups_")
@@ -126,8 +119,7 @@ JOIN (SELECT *, sum(sizes) FILTER (table_row > 0) OVER w AS later_sizes, sum(n)
   (SELECT doc_id, page, grp, table_row, sum(font_size) AS sizes, count(*) AS n, bool_or(regexp_matches(font_name, '(?i)bold')) AS bold FROM mine_ GROUP BY ALL) WINDOW w AS (PARTITION BY doc_id, page, grp)) f
 USING (doc_id, page, grp, table_row)""")
 def header_scores(spark, sf):
-    d = detected(spark, sf)
-    return B.header_scores(d.items, d.cells)
+    return detected(spark, sf).scores
 
 
 @query("""SELECT v.doc_id, v.page, 'table_p' || v.page || '_' || row_number() OVER (PARTITION BY v.doc_id, v.page ORDER BY v.grp) AS table_id, row_count, column_count, density AS confidence, b.x, b.y, b.r - b.x AS width, b.t - b.y AS height
@@ -208,3 +200,38 @@ def table_overlap(spark, sf):
     a = t.select("doc_id", "page", name("a"), "x", "y", "width", "height")
     b = t.select("doc_id", "page", name("b"), (F.col("x") + 20 * (F.col("doc_id") % 9)).alias("x"), "y", "width", "height")
     return B.overlap(a.unionByName(b))
+
+
+@query("""SELECT doc_id, page, grp, true AS has_header, 30.0::DOUBLE <= 100 AS sure, string_agg(content, '|' ORDER BY col) AS names FROM cells_ WHERE table_row = 0 GROUP BY ALL""")
+def table_headers(spark, sf):
+    """The first row scores 30 for its place alone, so every table has a header by default."""
+    h = detected(spark, sf).headers
+    return h.select(*B.GROUP, "has_header", F.col("confidence").between(30.0, 100.0).alias("sure"), F.array_join("names", "|").alias("names"))
+
+
+_CONTENT = """(SELECT doc_id, page, grp, table_row, CASE WHEN sum(length(content)) FILTER (content <> '') < 20 * count(*) FILTER (content <> '') THEN 10 ELSE 0 END + CASE WHEN 10 * count(*) FILTER (regexp_matches(content, '^[A-Z]')) > 7 * count(*) FILTER (content <> '') THEN 15 ELSE 0 END
+  + CASE WHEN count(*) FILTER (regexp_matches(content, '^[0-9]+([.][0-9]+)?$')) = 0 AND count(*) FILTER (content <> '') > 1 THEN 10 ELSE 0 END AS p FROM cells_ WHERE table_row = 0 GROUP BY ALL)"""
+
+
+@query(f"""SELECT c.doc_id, c.page, c.grp, s >= 30 AS has_header, CASE WHEN s >= 30 THEN least(100.0, s) ELSE 0 END::DOUBLE AS confidence FROM (SELECT c.doc_id, c.page, c.grp, CAST(CASE WHEN later_n > 0 THEN 25 * CAST(sizes / n >= 1.1 * later_sizes / later_n AS INT) + 25 * CAST(bold AND NOT later_bold AS INT) ELSE 0 END + CASE WHEN p > 20 THEN p ELSE 0 END AS DOUBLE) AS s
+FROM {_CONTENT} c JOIN (SELECT doc_id, page, grp, sum(font_size) FILTER (table_row = 0) AS sizes, count(*) FILTER (table_row = 0) AS n, bool_or(regexp_matches(font_name, '(?i)bold') AND table_row = 0) AS bold,
+  sum(font_size) FILTER (table_row > 0) AS later_sizes, count(*) FILTER (table_row > 0) AS later_n, bool_or(regexp_matches(font_name, '(?i)bold') AND table_row > 0) AS later_bold FROM mine_ GROUP BY ALL) f USING (doc_id, page, grp)) c""")
+def table_headers_by_look(spark, sf):
+    """Headers by font and content alone: the first row's place does not count."""
+    h = B.detect(items(spark, sf), B.Options(header_first_row=False)).headers
+    return h.select(*B.GROUP, "has_header", "confidence")
+
+
+@query("""SELECT doc_id, page, grp, string_agg(content, '|' ORDER BY table_row) FILTER (col = 1) AS second, coalesce(max(content) FILTER (table_row = 1 AND col = 0), '') AS cell, '' AS outside FROM cells_ GROUP BY ALL""")
+def table_accessors(spark, sf):
+    d = detected(spark, sf)
+    second = d.column(1).select(*B.GROUP, F.array_join("contents", "|").alias("second"))
+    return second.join(d.cell(1, 0).withColumnRenamed("content", "cell"), [*B.GROUP]).join(d.cell(99, 0).withColumnRenamed("content", "outside"), [*B.GROUP])
+
+
+@query(""", p AS (SELECT a.doc_id, a.page, a.grp, b.table_row, count(*) AS hits FROM mine_ a JOIN mine_ b ON a.doc_id = b.doc_id AND a.page = b.page AND a.grp = b.grp AND a.table_row = 0 AND b.table_row > 0 AND abs(a.x - b.x) <= 10 GROUP BY ALL),
+n AS (SELECT doc_id, page, grp, table_row, count(*) AS n FROM mine_ GROUP BY ALL),
+z AS (SELECT b.doc_id, b.page, b.grp, coalesce(hits, 0) / greatest(a.n, b.n) AS s FROM n b JOIN n a ON a.doc_id = b.doc_id AND a.page = b.page AND a.grp = b.grp AND a.table_row = 0 LEFT JOIN p ON p.doc_id = b.doc_id AND p.page = b.page AND p.grp = b.grp AND p.table_row = b.table_row WHERE b.table_row > 0)
+SELECT doc_id, page, grp, round(avg(s), 9) AS consistency FROM z GROUP BY ALL""")
+def row_similarity(spark, sf):
+    return B.consistency(B.records(items(spark, sf))).select(*B.GROUP, F.round("consistency", 9).alias("consistency"))

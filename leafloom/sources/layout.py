@@ -12,13 +12,13 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 def order_pages(lineitem: DataFrame) -> DataFrame:
     """(doc_id, page, idx, str, x, y, width, height, font_name, font_size).
 
-    Rows are 20 apart, with a gap of 80 after the fourth; x jitters by up to 2;
+    Rows are 20 apart, with a gap of 80 after the fourth; x jitters by up to 2, y by up to 1;
     the quantity is left out where l_suppkey is a multiple of 3.
     """
     rn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     text = F.array(*(F.col(c).cast("string") for c in ("l_partkey", "l_suppkey")), F.when(F.col("l_suppkey") % 3 != 0, F.col("l_quantity").cast("bigint").cast("string")), F.col("l_linestatus"))
     rows = lineitem.withColumn("rn", rn).select("l_orderkey", "rn", "l_partkey", "l_returnflag", "l_linenumber", F.posexplode(text).alias("k", "str")).filter("str is not null")
-    y = 700.0 - 20.0 * F.col("rn") - F.when(F.col("rn") > 4, 60.0).otherwise(0.0)
+    y = 700.0 - 20.0 * F.col("rn") - F.when(F.col("rn") > 4, 60.0).otherwise(0.0) + (F.col("l_partkey") + F.col("k")) % 3 - 1
     return rows.select(
         F.col("l_orderkey").alias("doc_id"),
         F.lit(1).cast("bigint").alias("page"),
