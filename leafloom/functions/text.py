@@ -196,3 +196,35 @@ def pdf_date(c: Column) -> Column:
     digits = F.rpad(F.regexp_extract(c, r"^D:(\d{4,14})", 1), 14, "00000101000000")
     full = F.concat(F.regexp_extract(c, r"^D:(\d{4,14})", 1), F.substr(F.lit("00000101000000"), F.length(F.regexp_extract(c, r"^D:(\d{4,14})", 1)) + 1))
     return F.when(c.rlike(r"^D:\d{4}"), F.to_timestamp(F.when(F.length(full) == 14, full).otherwise(digits), "yyyyMMddHHmmss"))
+
+
+def byte_size(size: Column) -> Column:
+    """1536 -> 1.5 KB, 12 -> 12 B; MB at most."""
+    kb, mb = F.concat(tenths(size, F.lit(1024)), F.lit(" KB")), F.concat(tenths(size, F.lit(1024**2)), F.lit(" MB"))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, kb).otherwise(mb)
+
+
+# Page markers with their numbers, the lines of a summary.
+NUMBERED_MARKER = r"--- PAGE (?:\d+) ---|🎨 ART BASEL PAGE (?:\d+) 🎨|PAGE (?:\d+)"
+SUMMARY = ("📄 Document Summary", "   Pages: ", "   Text items: ", "   Images: ", "   Text length: ", "   Processing time: ")
+
+
+def page_by_marker(text: Column, page: Column) -> Column:
+    """What follows the marker of a page, up to the next marker; without that marker, the page-th of ``page`` equal slices of lines."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED_MARKER), F.lit(0)), lambda m: F.regexp_extract(m, r"(\d+)", 1).cast("bigint"))
+    at = F.array_position(numbers, page.cast("bigint"))
+    lines = F.split(text, "\n", -1)
+    each = F.ceil(F.size(lines) / page).cast("int")
+    slice_ = F.array_join(F.slice(lines, ((page - 1) * each + 1).cast("int"), each), "\n")
+    return F.when(at > 0, F.get(F.split(text, NUMBERED_MARKER, -1), at.cast("int"))).otherwise(slice_)
+
+
+def summary_block(pages: Column, items: Column, images: Column, characters: Column, milliseconds: Column | None = None) -> Column:
+    """A document's totals as lines of text; the time only if it is given and not 0."""
+    title, *heads = SUMMARY
+    of = lambda k, *parts: F.concat(F.lit(heads[k]), *(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    text = lambda c: c.cast("string")
+    lines = [F.lit(title), of(0, text(pages)), of(1, text(items)), of(2, text(images), " (avg ", hundredths(images, pages), " per page)"), of(3, F.format_number(characters, 0), " characters")]
+    if milliseconds is not None:
+        lines.append(F.when(milliseconds > 0, of(4, text(milliseconds), "ms")))
+    return F.concat_ws("\n", *lines)

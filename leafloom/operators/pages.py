@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,29 @@ def estimate_pages(docs: DataFrame, total: Column) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut).alias("p", "text")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("page"), "text")
 
 
+def select_pages(pages: DataFrame, wanted: Sequence[int]) -> DataFrame:
+    """(doc_id, position, page, ...): the wanted pages in the given order, as often as given; numbers without a page give nothing.
+
+    The list is the caller's, so it is matched inside each row, without a join.
+    """
+    at = F.transform(F.array(*(F.lit(int(p)).cast("bigint") for p in wanted)), lambda p, k: F.struct(p.alias("p"), k.alias("k")))
+    hits = F.filter(at, lambda e: e["p"] == F.col("page"))
+    return pages.filter(F.col("page").isin(*map(int, wanted))).withColumn("__hit", F.explode(hits)).withColumn("position", F.col("__hit.k")).drop("__hit")
+
+
+def bounds(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """requests (doc_id, page) with pages (how many there are) and problem (null where the page exists)."""
+    n = pages.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    met = requests.join(n, "doc_id", "left").withColumn("pages", F.coalesce("pages", F.lit(0)).cast("bigint"))
+    text = F.concat(F.lit("page "), F.coalesce(F.col("page").cast("string"), F.lit("null")), F.lit(" is not within 1 to "), F.col("pages").cast("string"))
+    return met.withColumn("problem", F.when(F.col("page").between(1, F.col("pages")), F.lit(None).cast("string")).otherwise(text))
+
+
+def checked(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """``bounds``, but a page that does not exist fails the job."""
+    return bounds(requests, pages).withColumn("page", F.when(F.col("problem").isNull(), F.col("page")).otherwise(F.raise_error(F.col("problem")).cast("bigint"))).drop("problem")
+
+
 def in_order(value: str, *order: str) -> Column:
     """The aggregate: an array of values in the order of other columns."""
     return F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"])

@@ -329,3 +329,84 @@ CAST((200 * sum(l_partkey - least(l_suppkey, l_partkey)) + sum(l_partkey)) // nu
 def optimise_totals(spark, sf):
     x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("before"), F.least("l_suppkey", "l_partkey").alias("after"))
     return I.saved(x)
+
+
+_WANTED = (3, 1, 3, 99, 2)
+
+
+@query(f"WITH {PAGES_SQL}, w AS (SELECT unnest([{', '.join(map(str, _WANTED))}]) AS page, unnest(range({len(_WANTED)})) AS position) SELECT doc_id, CAST(position AS INT) AS position, page, text FROM pages_ JOIN w USING (page)")
+def page_list(spark, sf):
+    """Pages by a list, in its order and with its repeats."""
+    return P.select_pages(document_pages(spark, sf), _WANTED).select("doc_id", "position", "page", "text")
+
+
+@query(f"""WITH {PAGES_SQL}, n AS (SELECT doc_id, max(page) AS pages FROM pages_ GROUP BY doc_id), r AS (SELECT doc_id, doc_id % 5 AS page FROM documents)
+SELECT doc_id, page, pages, CASE WHEN page BETWEEN 1 AND pages THEN NULL ELSE 'page ' || page || ' is not within 1 to ' || pages END AS problem FROM r JOIN n USING (doc_id)""")
+def page_bounds(spark, sf):
+    return P.bounds(documents(spark, sf).select("doc_id", (F.col("doc_id") % 5).alias("page")), document_pages(spark, sf))
+
+
+@query("""WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, 1 + doc_id % 5 AS total FROM documents),
+y AS (SELECT *, CAST(ceil(len(ls) / CAST(total AS DOUBLE)) AS BIGINT) AS each_, unnest(range(1, total + 1)) AS page FROM x)
+SELECT doc_id, page, coalesce(array_to_string(ls[(page - 1) * each_ + 1 : page * each_], chr(10)), '') AS text FROM y""")
+def page_estimate(spark, sf):
+    """Pages of equal line counts, where only their number is known."""
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return P.estimate_pages(d, 1 + F.col("doc_id") % 5)
+
+
+_CHAT_MARKED = f"x AS (SELECT doc_id, string_agg({_PART}, '' ORDER BY page) AS t FROM pages_ GROUP BY doc_id), y AS (SELECT doc_id, {_strip('t')} AS t, 1 + doc_id % 7 AS page FROM x)"
+
+
+@query(f"""WITH {CHAT_SQL}, {_CHAT_MARKED}, z AS (SELECT *, list_position(list_transform(regexp_extract_all(t, '{T.MARKER.replace('(?:', '(', 1)}'), lambda m: CAST(regexp_extract(m, '([0-9]+)', 1) AS BIGINT)), page) AS at_, string_split(t, chr(10)) AS ls FROM y)
+SELECT doc_id, page, CASE WHEN at_ > 0 THEN string_split_regex(t, '{T.NUMBERED_MARKER}')[at_ + 1] ELSE coalesce(array_to_string(ls[(page - 1) * CAST(ceil(len(ls) / CAST(page AS DOUBLE)) AS BIGINT) + 1 : page * CAST(ceil(len(ls) / CAST(page AS DOUBLE)) AS BIGINT)], chr(10)), '') END AS text FROM z""")
+def page_by_marker(spark, sf):
+    """One page of a marked text; a slice of its lines where there is no such marker."""
+    marked = P.mark_pages(chat_pages(spark, sf)).withColumn("page", 1 + F.col("doc_id") % 7)
+    return marked.select("doc_id", "page", T.page_by_marker(F.col("text"), F.col("page")).alias("text"))
+
+
+@query("""WITH x AS (SELECT doc_id, 1 + doc_id % 6 AS p, len(string_split(coalesce(text, ''), chr(10))) AS i, doc_id % 11 AS m, length(coalesce(text, '')) AS c, doc_id % 3 AS ms FROM documents), y AS (SELECT *, (200 * m + p) // (2 * p) AS h FROM x)
+SELECT doc_id, '📄 Document Summary' || chr(10) || '   Pages: ' || p || chr(10) || '   Text items: ' || i || chr(10) || '   Images: ' || m || ' (avg ' || (h // 100) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || ' per page)' || chr(10) || '   Text length: ' || format('{:,}', c) || ' characters'
+  || CASE WHEN ms > 0 THEN chr(10) || '   Processing time: ' || ms || 'ms' ELSE '' END AS summary FROM y""")
+def summary_block(spark, sf):
+    text, d = F.coalesce("text", F.lit("")), F.col("doc_id")
+    return documents(spark, sf).select("doc_id", T.summary_block(1 + d % 6, F.size(F.split(text, "\n", -1)), d % 11, F.length(text), d % 3).alias("summary"))
+
+
+@query(f"""WITH {PAGES_SQL}, {IMAGES_SQL}, r AS (SELECT doc_id, page, string_agg('[IMG:img_' || id || '] ' || coalesce(path, 'img_p' || page || '_' || id || '.jpg'), chr(10) ORDER BY index_) AS refs FROM images_ GROUP BY ALL),
+w AS (SELECT p.doc_id, p.page, text, refs, string_split(text, chr(10)) AS ls FROM pages_ p LEFT JOIN r ON p.doc_id = r.doc_id AND p.page = r.page)
+SELECT doc_id, page, CASE WHEN refs IS NULL THEN text WHEN length({_strip('text')}) = 0 THEN refs ELSE array_to_string(list_concat(list_append(ls[1:1], refs), ls[2:]), chr(10)) END AS text FROM w""")
+def image_refs_prefixed(spark, sf):
+    """References as page markers insert them: the id behind another img_, file names or their default."""
+    return I.insert_prefixed(document_pages(spark, sf), catalogue(spark, sf).withColumnRenamed("path", "filename"))
+
+
+@query(f"""WITH {IMAGES_SQL}, x AS (SELECT doc_id, count(*) AS files, CAST(sum(width * height) AS BIGINT) AS bytes FROM images_ GROUP BY doc_id)
+SELECT *, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN {_sql_tenths('bytes', 1024)} || ' KB' ELSE {_sql_tenths('bytes', 1048576)} || ' MB' END AS shown FROM x""")
+def page_image_sizes(spark, sf):
+    return I.total_size(catalogue(spark, sf).select("doc_id", (F.col("width") * F.col("height")).alias("size")))
+
+
+_STRUCTURED_SQL = f"""s AS (SELECT doc_id, page, list({{'id': id, 'name': name, 'format': format, 'width': width, 'height': height}} ORDER BY index_) AS images FROM images_ GROUP BY ALL),
+b AS (SELECT p.doc_id, p.page, length(text) AS n, len(coalesce(images, [])) AS m, {{'pageNumber': p.page, 'text': {{'content': text, 'rawText': {_raw('text')}, 'wordCount': {_words(_raw('text'))}, 'characterCount': length({_raw('text')})}}, 'images': coalesce(images, []), 'imageCount': len(coalesce(images, []))}} AS body FROM pages_ p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page = s.page)"""
+
+
+def _parts(body):
+    """A JSON's parts that compare without its white space and escapes: what JSON readers on both sides make of it."""
+    at = lambda p: F.get_json_object(body, p)
+    return at("$.pageNumber").cast("bigint").alias("number"), at("$.text.content").alias("content"), at("$.text.wordCount").cast("bigint").alias("words"), at("$.text.characterCount").cast("bigint").alias("characters"), at("$.imageCount").cast("bigint").alias("images"), at("$.images[0].id").alias("first_image")
+
+
+@query(f"WITH {PAGES_SQL}, {IMAGES_SQL}, {_STRUCTURED_SQL} SELECT doc_id, page, page AS number, body.text.content AS content, body.text.wordCount AS words, body.text.characterCount AS characters, CAST(m AS BIGINT) AS images, body.images[1].id AS first_image FROM b")
+def structured_pages(spark, sf):
+    made = I.structured_pages(document_pages(spark, sf), catalogue(spark, sf))
+    return made.select("doc_id", "page", *_parts(F.col("json")))
+
+
+@query(f"WITH {PAGES_SQL}, {IMAGES_SQL}, {_STRUCTURED_SQL} SELECT doc_id, doc_id || '.pdf' AS filename, count(*) AS pages, CAST(sum(n) AS BIGINT) AS characters, CAST(sum(m) AS BIGINT) AS images, 'true' AS option, arg_min(body.text.content, page) AS first_page FROM b GROUP BY doc_id")
+def structured_document(spark, sf):
+    """A document's envelope: metadata, options, all pages."""
+    made = I.structured_document(document_pages(spark, sf), catalogue(spark, sf), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")), {"extractText": "true"})
+    at = lambda p: F.get_json_object("json", p)
+    return made.select("doc_id", at("$.metadata.filename").alias("filename"), at("$.metadata.totalPages").cast("bigint").alias("pages"), at("$.metadata.totalTextLength").cast("bigint").alias("characters"), at("$.metadata.totalImages").cast("bigint").alias("images"), at("$.metadata.extractionOptions.extractText").alias("option"), at("$.pages[0].text.content").alias("first_page"))

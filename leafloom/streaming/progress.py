@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,3 +85,26 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
     """The last version of each key of an update-mode table."""
     names = [c for c in rows.columns if c not in (key, "version")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), "version").alias("r")).select(key, "r.*")
+
+
+def remaining(elapsed: Column, processed: Column, total: Column) -> Column:
+    """The time that is left at the average time of a page so far; 0 before the first page."""
+    return F.when(processed > 0, elapsed / processed * (total - processed)).otherwise(0.0)
+
+
+def stats(progress: DataFrame, elapsed: Column) -> DataFrame:
+    """progress rows (processed, total, ...) with elapsed, average_page_time, estimated_time_remaining and is_complete."""
+    x = progress.withColumn("elapsed", elapsed)
+    average = F.when(F.col("processed") > 0, F.col("elapsed") / F.col("processed")).otherwise(0.0)
+    return x.withColumns({"average_page_time": average, "estimated_time_remaining": remaining(F.col("elapsed"), F.col("processed"), F.col("total")), "is_complete": F.col("processed") >= F.col("total")})
+
+
+def query_stats(query: StreamingQuery) -> dict:
+    """What a running or ended stream has done: rows, batches, milliseconds, whether it runs."""
+    steps = query.recentProgress
+    return {"rows": sum(p["numInputRows"] for p in steps), "batches": len({p["batchId"] for p in steps}), "elapsed": sum(p["durationMs"].get("triggerExecution", 0) for p in steps), "is_active": query.isActive}
+
+
+def wants_stream(bytes_: int, pages: int | None = None, most_bytes: int = 100 << 20, most_pages: int = 500) -> bool:
+    """Whether an input is large enough to be taken as a stream."""
+    return bytes_ > most_bytes or (pages or 0) > most_pages

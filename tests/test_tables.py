@@ -1,5 +1,7 @@
 """Table detection on the 4 x 3 table, layout edge cases, formats."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +89,66 @@ def test_predictors():
     rows = b"\2" + bytes([1, 2, 3]) + b"\2" + bytes([1, 1, 1]) + b"\1" + bytes([5, 1, 1]) + b"\4" + bytes([1, 0, 0])
     assert pdfparse.unpredict(rows, {"Predictor": 15, "Columns": 3}) == bytes([1, 2, 3, 2, 3, 4, 5, 6, 7, 6, 6, 7])
     assert pdfparse.unpredict(bytes([1, 1, 1, 9, 1, 1]), {"Predictor": 2, "Columns": 3}) == bytes([1, 2, 3, 9, 10, 11])
+
+
+def test_header_options_and_accessors(spark):
+    items = pdf.text_items(files(spark, pdfparse.write([PAGE])))
+    d = tables.detect(items)
+    h = d.headers.first()
+    assert (h.has_header, h.names, h.confidence) == (True, CELLS[0], pytest.approx(30 + 25 + 10 + 15 + 20 / 3 + 10))
+    assert {(r.table_row, r.is_header) for r in d.headed.collect()} == {(0, True), (1, False), (2, False), (3, False)}
+    off = tables.detect(items, tables.Options(detect_headers=False))
+    assert off.headers.first().names == [] and not any(r.is_header for r in off.headed.collect())
+    assert "<thead>" not in formats.to_html(off.headed).first().html and formats.to_csv(off.headed, headers=False).first().csv.startswith("Name,")
+    bare = tables.detect(items, tables.Options(header_first_row=False, header_font=False, header_content=False))
+    assert not bare.headers.first().has_header and {r.score_percent for r in bare.scores.collect()} == {0.0}
+    assert d.cell(1, 2).first().content == "New York" and d.cell(9, 0).first().content == "" and d.column(1).first().contents == ["Age", "30", "25", "35"]
+
+
+def test_row_similarity(spark):
+    def plain(rows):
+        total = 0.0
+        for other in rows[1:]:
+            used = set()
+            for a in rows[0]:
+                k = next((k for k, b in enumerate(other) if k not in used and abs(a - b) <= 10), None)
+                used |= {k} - {None}
+            total += len(used) / max(len(rows[0]), len(other))
+        return total / (len(rows) - 1)
+
+    rows = [[100.0, 108.0, 300.0], [104.0, 112.0], [95.0, 200.0, 305.0, 309.0], [400.0, 500.0]]
+    made = [(1, 1, 10 * r + k, "a", x, 700.0 - 20 * r, 5.0, 12.0, "F", 12.0) for r, xs in enumerate(rows) for k, x in enumerate(xs)]
+    record = tables.records(spark.createDataFrame(made, ITEMS), tables.Options(min_spread=0.0))
+    assert tables.consistency(record).first().consistency == pytest.approx(plain(rows))
+
+
+def test_broken_files_are_their_own_rows(spark):
+    whole = pdfparse.write([PAGE], images=[(2, 1, b"\1\2\3\4\5\6")])
+    box = whole.replace(b"/MediaBox [0 0 612 792]", b"/MediaBox [0 0]        ")
+    huge = whole.replace(b"/Width 2 /Height 1", b"/Width 99999999 /Height 99999999")
+    f = files(spark, whole, box, huge)
+    assert {r.doc_id: bool(r.error) for r in pdf.pages(f).collect()} == {0: False, 1: True, 2: True}
+    assert {r.doc_id for r in pdf.page_text(f).collect()} == {0, 2}  # a broken image is no matter of the text's
+    assert {r.doc_id: r.error is None for r in pdf.images(f).collect()} == {0: True, 1: False, 2: False}
+
+
+def test_predictors_undo_what_plain_filters_do():
+    rng = random.Random(2)
+    for colors, columns, height in ((1, 7, 9), (3, 5, 6), (4, 3, 4)):
+        width = colors * columns
+        rows = [bytes(rng.randrange(256) for _ in range(width)) for _ in range(height)]
+        out, above = b"", bytes(width)
+        for k, row in enumerate(rows):
+            mode = k % 5
+            left = lambda x, i: x[i - colors] if i >= colors else 0
+
+            def near(i):
+                a, b, c = left(row, i), above[i], left(above, i)
+                p = a + b - c
+                paeth = min((a, b, c), key=lambda v: abs(p - v))
+                return (0, a, b, (a + b) // 2, paeth)[mode]
+
+            out += bytes([mode]) + bytes((row[i] - near(i)) & 255 for i in range(width))
+            above = row
+        assert pdfparse.unpredict(out, {"Predictor": 15, "Colors": colors, "Columns": columns}) == b"".join(rows)
+        assert pdfparse.unpredict(out[: width + 3], {"Predictor": 15, "Colors": colors, "Columns": columns})[:width] == rows[0]
