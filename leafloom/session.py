@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,20 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+@contextmanager
+def asked_broadcasts_only(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, plans broadcast what is marked for it (and so has a bound), nothing else, however small the input is."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k in names:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; RuntimeError on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,13 +82,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return made
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``materialise``, dealt by key: joins on the key shuffle only the other side.
+
+    df is best partitioned by key already, so that a task writes few buckets.
+    """
+    spark = df.sparkSession
+    path, name = scratch_path(spark, label), f"leafloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).option("path", path).saveAsTable(name)
+    made = spark.table(name)
+    made.leafloom_path, made.leafloom_table = path, name
+    return made
+
+
 def discard(*made: DataFrame | None) -> None:
-    """Empty the tables that ``materialise`` returned; what reads them later fails, so nothing that is still to run may.
+    """Empty the tables that ``materialise`` and ``bucketed`` returned; what reads them later fails, so nothing that is still to run may.
 
     Only the public writer is used: an overwrite without rows drops a table's files.
     """
     for df in made:
-        path = getattr(df, "leafloom_path", None)
+        path, name = getattr(df, "leafloom_path", None), getattr(df, "leafloom_table", None)
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             df.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
 
