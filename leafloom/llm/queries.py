@@ -63,7 +63,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), near_dedup.WEIGHTS)
     return found.select("doc_id", "class_id", "class_size", "kept")
 
 

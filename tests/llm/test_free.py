@@ -3,6 +3,7 @@
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -453,3 +454,52 @@ def test_quality_distances_and_verdicts(spark):
     for r, w in zip(got, sorted(want, key=lambda r: r[0]), strict=True):
         assert (r.doc_id, r.n_words, r.base_failed, r.kept) == w[:4], w
         assert (r.char_distance is None) == (w[4] is None) and (w[4] is None or (r.char_distance == pytest.approx(w[4], abs=1e-6) and r.word_distance == pytest.approx(w[5], abs=1e-6)))
+
+
+def test_near_duplicates_by_weighted_similarity(spark):
+    """Counts as weights, against multisets in plain Python; one passage and one near copy in very many texts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, line = [word() for _ in range(120)], [word() for _ in range(9)]
+    texts = [" ".join(base + line * n) for n in range(12)]  # the sets are alike, the multisets are not
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(120)] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(line * 30 + [word() for _ in range(60)]) for _ in range(30)] + [None, "", "one", "ONE"]
+    bags = []
+    for t in texts:
+        w = (t or "").lower().split()
+        n = min(5, len(w))
+        bags.append(Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter())
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = (bags[i] & bags[j]).total()
+            if both and both >= 0.8 * (bags[i] | bags[j]).total():
+                up[root(i)] = root(j)
+    least = {}
+    for k in range(len(texts)):
+        least.setdefault(root(k), k)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, [(k, t, None) for k, t in enumerate(texts)]), "count").collect()}
+    assert got == {k: least[root(k)] for k in range(len(texts))} and len(set(got.values())) > 30
+
+
+def test_near_duplicates_recall(spark):
+    """All pairs of the test table by brute force: links between texts that share any of their rarest shingles are complete."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    want, least = plain_classes([r.text for r in rows]), {}
+    for r, c in zip(rows, want, strict=True):
+        least.setdefault(c, r.doc_id)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    same = lambda ids: {(i, c) for i, c in ids if i != c}
+    wanted = same((r.doc_id, least[c]) for r, c in zip(rows, want, strict=True))
+    assert len(wanted & same(got.items())) >= 0.99 * len(wanted) and len(same(got.items()) - wanted) <= 0.01 * len(wanted)
