@@ -17,7 +17,7 @@ from collections.abc import Iterable
 
 END = b"\xff"  # stands for the end of a word; no UTF-8 text holds it
 #: Bytes of words and ids that a process keeps, about; a word costs ENTRY beside them.
-CACHE, ENTRY = 24 << 20, 150
+CACHE, ENTRY = 48 << 20, 150
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
