@@ -42,7 +42,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each class of near-duplicates."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, near_dedup.WEIGHTS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
