@@ -10,7 +10,8 @@ are flagged.
 
 Training takes a bounded sample of the labelled rows: about SAMPLE rows of
 each language by a hash of doc_id (at most twice as many in all), as feature
-vectors made on the executors. Prediction reads every row and whole texts, in
+vectors made on the executors; one task fits the model, which alone comes to
+the driver. Prediction reads every row and whole texts, in
 blocks. lang, source and doc_id take no part in it.
 
 Defined results
@@ -26,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,11 +152,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
     # The order makes what the bound leaves out the same on every run.
     found = chosen.select("lang", "h", "text").mapInArrow(vectors, "lang string, h double, x binary").orderBy("h", "lang", "x").limit(2 * sample * len(counts))
-    rows = sorted((r["lang"], bytes(r["x"])) for r in found.collect())
-    langs = sorted({lang for lang, _ in rows})
-    if not langs:
-        return None
-    return fit(langs, np.array([np.frombuffer(v, np.float32) for _, v in rows], float), np.array([langs.index(lang) for lang, _ in rows]))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((lang, x) for b in batches for lang, x in zip(b.column("lang").to_pylist(), b.column("x").to_pylist(), strict=True))
+        langs = sorted({lang for lang, _ in rows})
+        if langs:
+            model = fit(langs, np.array([np.frombuffer(x, np.float32) for _, x in rows], float), np.array([langs.index(lang) for lang, _ in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # A limit leaves one partition, so one task sees the whole sample; coalesce says so.
+    made = found.select("lang", "x").coalesce(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 #: What ``predict`` adds; the kinds are Arrow's and Spark's.
