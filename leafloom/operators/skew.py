@@ -24,28 +24,30 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: in
     return left.join(hot, key).unionByName(rest)
 
 
-def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, __hot): the keys that more than 1/PARTS of ``total`` rows have, fewer than PARTS."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * PARTS > total).select(key, F.lit(True).alias("__hot"))
+def hot_keys(rows: DataFrame, key: str, total: int) -> list:
+    """The keys that more than 1/PARTS of ``total`` rows have: fewer than PARTS, so they come to the driver and into plans as literals."""
+    return [r[key] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") * PARTS > total).select(key).collect()]
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, hot: list) -> DataFrame:
     """left joined to right on key, where right has one row for each key, of any width.
 
     Rows of left with a key in ``hot`` (from ``hot_keys``) are dealt over SALTS
-    copies of right's row by a hash of ``spread``. Only keys are broadcast; the
+    copies of right's row by a hash of ``spread``. Nothing is broadcast; the
     other rows meet right on the key alone, so a right that is dealt by key stays.
     """
-    keys = F.broadcast(hot.select(key))
-    dealt = left.join(keys, key, "left_semi").withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = right.join(keys, key, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = left.join(keys, key, "left_anti").join(right, key)
-    return rest.unionByName(dealt.join(copies, [key, "__salt"]).drop("__salt"))
+    if not hot:
+        return left.join(right, key)
+    many = F.col(key).isin(hot)
+    dealt = left.filter(many).withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = right.filter(many).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.filter(~many).join(right, key).unionByName(dealt.join(copies, [key, "__salt"]).drop("__salt"))
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def left_join_hot(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
     """left left-joined to right on key, where right has at most one narrow row for each key; right's rows of hot keys are broadcast."""
-    keys = F.broadcast(hot.select(key))
-    few = F.broadcast(right.join(keys, key, "left_semi"))
-    rest = left.join(keys, key, "left_anti").join(right, key, "left")
-    return left.join(keys, key, "left_semi").join(few, key, "left").unionByName(rest)
+    if not hot:
+        return left.join(right, key, "left")
+    many = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(right.filter(many))
+    return left.filter(~many).join(right, key, "left").unionByName(left.filter(many).join(few, key, "left"))
