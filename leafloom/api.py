@@ -46,6 +46,10 @@ class Extraction:
     def images(self) -> DataFrame:
         return self._chosen(pdf.images(self.files).filter("error is null"))
 
+    def image_files(self, folder: str) -> DataFrame:
+        """Writes the images below a folder that all executors share; their paths and sizes."""
+        return pdf.write_images(self.images(), folder)
+
     def text_with_images(self) -> DataFrame:
         found = self.images().select("doc_id", "page", "ord", "id", "name", F.col("filename").alias("path"))
         return images.text_with_references(self.page_text(), found, self.options.image_ref_format)
@@ -76,6 +80,10 @@ class Extraction:
         """Files that could not be read, and why."""
         return pdf.metadata(self.files).filter("error is not null").select("doc_id", "error")
 
+    def image_errors(self) -> DataFrame:
+        """Images that could not be decoded, or only with a warning, of the files that could be read."""
+        return self._chosen(pdf.images(self.files)).filter("page is not null and (error is not null or warning is not null)").select("doc_id", "page", "id", "name", "error", "warning")
+
 
 def extract(spark: SparkSession, path: str, options: ExtractOptions = ExtractOptions()) -> Extraction:
     """Extraction of a file, folder or glob; wrong options raise ValueError before anything is read."""

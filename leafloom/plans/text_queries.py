@@ -315,12 +315,13 @@ def unit_formats(spark, sf):
     )
 
 
-@query("""WITH b AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page FROM lineitem WHERE l_linenumber < 5), v AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, CAST(10 * (l_suppkey % 9) AS BIGINT) AS quality FROM lineitem)
+@query("""WITH b AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page FROM lineitem), v AS (SELECT DISTINCT l_orderkey AS doc_id, CAST(1 + (l_linenumber + l_partkey) % 9 AS BIGINT) AS page, CAST(10 * (l_suppkey % 9) AS BIGINT) AS quality FROM lineitem)
 SELECT b.doc_id, b.page, 'p' || b.page || '.png' AS path, coalesce(string_agg('png-q' || quality, ',' ORDER BY quality), '') AS variants FROM b LEFT JOIN v USING (doc_id, page) GROUP BY ALL""")
 def page_variants(spark, sf):
-    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint").alias("page"), (10 * (F.col("l_suppkey") % 9)).alias("quality"))
-    base = x.filter("page < 5").select("doc_id", "page").distinct().withColumn("path", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png")))
-    variants = x.distinct().withColumn("path", F.concat(F.lit("png-q"), F.col("quality").cast("string")))
+    """Bases are all lines by number, variants all lines under other numbers: some meet no base, some bases have none."""
+    x, doc, number = table(spark, sf, "lineitem"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("bigint")
+    base = x.select(doc, number.alias("page")).distinct().withColumn("path", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png")))
+    variants = x.select(doc, (1 + (number + F.col("l_partkey")) % 9).alias("page"), (10 * (F.col("l_suppkey") % 9)).alias("quality")).distinct().withColumn("path", F.concat(F.lit("png-q"), F.col("quality").cast("string")))
     return I.with_variants(base, variants)
 
 

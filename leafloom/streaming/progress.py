@@ -21,37 +21,65 @@ from leafloom.session import scratch_path
 
 PAGES = "doc_id bigint, page bigint, total_pages bigint, text string"
 EVENTS = "doc_id bigint, event string, page bigint, processed bigint, total bigint, percent bigint, characters bigint"
-STATE = "processed bigint, characters bigint"
+STATE = "processed bigint, characters bigint, images bigint"
+#: Pages with a count of images and, where they could not be read, why; their events.
+FULL_PAGES = PAGES + ", images bigint, error string"
+FULL_EVENTS = EVENTS + ", images bigint, image bigint, message string"
 
 
-def read_pages(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
-    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_pages(spark: SparkSession, folder: str, files_per_trigger: int = 8, schema: str = PAGES) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def _events(every: int) -> Callable:
+def _events(every: int, full: bool) -> Callable:
+    names = [c.split()[0] for c in (FULL_EVENTS if full else EVENTS).split(", ")]
+
     def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, chars = state.get if state.exists else (0, 0)
+        done, chars, shown = state.get if state.exists else (0, 0, 0)
         pages = pd.concat(list(frames)).sort_values("page")
-        out = [] if done else [("start", 0, 0, int(pages.total_pages.iloc[0]), 0)]
-        for page, total, text in zip(pages.page, pages.total_pages, pages.text, strict=True):
-            done, chars = done + 1, chars + len(text or "")
-            out.append(("page", page, done, total, chars))
+        out, all_ = [], int(pages.total_pages.iloc[0])
+
+        def add(event: str, page: int, total: int, image: int | None = None, message: str | None = None) -> None:
+            out.append((key[0], event, page, done, total, 100 * done // max(total, 1), chars, shown, image, message)[: len(names)])
+
+        if not done:
+            add("start", 0, all_)
+        held = pages.images.fillna(0).astype(int) if full else [0] * len(pages)
+        faults = pages.error if full else [None] * len(pages)
+        for page, total, text, images, fault in zip(pages.page, pages.total_pages, pages.text, held, faults, strict=True):
+            bad = isinstance(fault, str)
+            done, chars = done + 1, chars + (0 if bad else len(text or ""))
+            add("error" if bad else "page", page, total, message=fault if bad else None)
+            for k in range(0 if bad else images):
+                shown += 1
+                add("image", page, total, k + 1)
             if done % every == 0 or done == total:
-                out.append(("progress", page, done, total, chars))
+                add("progress", page, total)
             if done == total:
-                out.append(("complete", page, done, total, chars))
-        if done >= int(pages.total_pages.iloc[0]):
+                add("complete", page, total)
+        if done >= all_:
             state.remove()
         else:
-            state.update((done, chars))
-        yield pd.DataFrame([(key[0], e, p, d, t, 100 * d // max(t, 1), c) for e, p, d, t, c in out], columns=["doc_id", "event", "page", "processed", "total", "percent", "characters"])
+            state.update((done, chars, shown))
+        made = pd.DataFrame(out, columns=names)
+        yield made.astype({"image": "Int64"}) if full else made
 
     return of
 
 
 def events(stream: DataFrame, every: int = 2) -> DataFrame:
     """start, page, progress (every so many pages and at the end) and complete events, in the order of pages within a trigger."""
-    return stream.groupBy("doc_id").applyInPandasWithState(_events(every), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("doc_id").applyInPandasWithState(_events(every, False), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def all_events(stream: DataFrame, every: int = 2) -> DataFrame:
+    """``events`` of FULL_PAGES, and an image event for each image of a page.
+
+    ``images`` counts the document's images so far. A page that could not be
+    read has an error event with its message in place of its page event; it
+    counts as processed, with no characters and images, and the next one follows.
+    """
+    return stream.groupBy("doc_id").applyInPandasWithState(_events(every, True), FULL_EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def totals(stream: DataFrame) -> DataFrame:
