@@ -226,8 +226,13 @@ def consistency(groups: DataFrame, tolerance: float = 10.0) -> DataFrame:
 
 
 def records(items: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array."""
-    rows = row_groups(table_rows(rows_of(row_items(items, o)), o), o)
+    """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array.
+
+    The one shuffle names its number of partitions: a page costs far more time
+    than bytes, and merged by bytes a small input would be left to one task.
+    """
+    dealt = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
+    rows = row_groups(table_rows(rows_of(row_items(dealt, o)), o), o)
     one = F.struct("table_row", "row", "y", "min_y", "max_y", "gap", "items")
     return rows.groupBy(*GROUP).agg(F.first("row_count").alias("row_count"), F.sort_array(F.collect_list(one)).alias("rows"))
 
