@@ -23,11 +23,32 @@ def from_matrix(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"x": F.coalesce(F.get(t, F.lit(4)), F.lit(0.0)), "y": F.coalesce(F.get(t, F.lit(5)), F.lit(0.0)), "font_size": size, "dir": F.coalesce("dir", F.lit("ltr"))})
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with columns that are computed once a row: no filter or select above moves below or copies a generator's input."""
+    one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("__one")
+    return df.select("*", one).select(*(c for c in df.columns if c not in made), *(F.col(f"__one.{k}").alias(k) for k in made))
+
+
+def paged(items: DataFrame) -> DataFrame:
+    """(doc_id, page, items): a row for each page, its items in an array; what has that form already stays as it is."""
+    if "items" in items.columns:
+        return items
+    return items.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*FIELDS)).alias("items"))
+
+
 def sorted_by(items: DataFrame, *keys: tuple[str, int]) -> DataFrame:
-    """(doc_id, page, items): each page's items, ordered by (field, 1 or -1) pairs, then idx."""
-    order = [(F.col(k) * sign).alias(f"k{n}") for n, (k, sign) in enumerate(keys)]
-    entry = F.struct(*order, F.col("idx").alias("k"), F.struct(*FIELDS).alias("item"))
-    return items.groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["item"]).alias("items"))
+    """(doc_id, page, items): each page's items (rows, or ``paged``), ordered by (field, 1 or -1) pairs, then idx."""
+
+    def entry(e: Column) -> Column:
+        return F.struct(*((e[k] * sign).alias(f"k{n}") for n, (k, sign) in enumerate(keys)), e["idx"].alias("k"), e.alias("item"))
+
+    ordered = F.transform(F.sort_array(F.transform("items", entry)), lambda e: e["item"])
+    return paged(items).select("doc_id", "page", ordered.alias("items"))
 
 
 def stream_text(items: DataFrame) -> DataFrame:
@@ -39,7 +60,7 @@ def stream_text(items: DataFrame) -> DataFrame:
 
 def flat_text(items: DataFrame) -> DataFrame:
     """(doc_id, page, text): all strings by single spaces."""
-    by = items.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("idx", "str"))).alias("parts"))
+    by = paged(items).select("doc_id", "page", F.sort_array(F.transform("items", lambda e: F.struct(e["idx"], e["str"].alias("str")))).alias("parts"))
     return by.select("doc_id", "page", T.clean_text(F.array_join(F.transform("parts", lambda p: p["str"]), " ")).alias("text"))
 
 
@@ -49,7 +70,8 @@ def geometric_text(items: DataFrame, band: float = 2.0) -> DataFrame:
     A new line starts where y is more than ``band`` away from the y of the
     line's first item. Items are in exact order of (-y, x, idx).
     """
-    pages = sorted_by(items.filter(F.length("str") > 0), ("y", -1), ("x", 1))
+    with_text = once(paged(items), items=F.filter("items", lambda e: F.length(e["str"]) > 0)).filter(F.size("items") > 0)
+    pages = sorted_by(with_text, ("y", -1), ("x", 1))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast(f"array<struct<x:double,idx:int,str:string>>").alias("line"), F.array().cast("array<string>").alias("done"))  # noqa: F541
 
     def text_of(line: Column) -> Column:

@@ -1,10 +1,12 @@
 """Tables from positioned items: rows, row groups, columns, grid, cells, headers.
 
-One shuffle, by (doc_id, page): rows and row groups are windows and aggregates
-on keys that contain it, and a row group becomes one record with its rows and
-items as arrays. Columns, grid, cells and header scores are higher-order
-functions on that record, so they move nothing and join nothing. No key is
-coarser than a page.
+At most one shuffle, by (doc_id, page), and none where items come as a row for
+each page. Rows and row groups are higher-order functions on the page's array,
+and a row group becomes one record with its rows and items as arrays. Columns,
+grid, cells and header scores are higher-order functions on that record, so
+they move nothing and join nothing. No key is coarser than a page. What costs
+much is put behind ``once``, or the optimizer would copy it into whatever
+filters and selects above it name.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
-from leafloom.operators.layout import FIELDS, cluster_labels, sorted_by
+from leafloom.operators.layout import FIELDS, cluster_labels, let, once, paged, sorted_by
 from leafloom.session import materialise
 
 PAGE = ("doc_id", "page")
@@ -63,24 +65,63 @@ def table_rows(rows: DataFrame, o: Options = Options()) -> DataFrame:
     return rows.filter((F.col("n") >= o.min_columns) & (F.col("spread") >= o.min_spread))
 
 
-def row_groups(rows: DataFrame, o: Options = Options()) -> DataFrame:
-    """Table rows with ``grp`` and ``table_row`` (both from 0): broken where the gap to the row above is negative or too wide.
+def page_rows(items: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, page, rows): the rows of ``rows_of`` of each page in an array, top first."""
+    down = sorted_by(items, ("y", -1)).select(*PAGE, let(F.col("items"), lambda i: F.struct(i.alias("i"), cluster_labels(F.transform(i, lambda e: e["y"]), o.row_tolerance, "mean").alias("k"))).alias("z"))
+
+    def rows(z: Column) -> Column:
+        i, k = z["i"], z["k"]
+        # labels rise by one from cluster to cluster, so a row is a slice
+        firsts = F.filter(F.transform(k, lambda v, n: F.when((n == 0) | (v != F.get(k, n - 1)), n)), lambda n: n.isNotNull())
+        return let(firsts, lambda at: F.transform(at, lambda f, n: let(F.slice(i, f + 1, F.coalesce(F.get(at, n + 1), F.size(i)) - f), lambda mine: row(mine, n))))
+
+    def row(mine: Column, n: Column) -> Column:
+        xs, ys = (F.transform(mine, lambda e: e[c]) for c in ("x", "y"))
+        known = F.filter(ys, lambda v: v.isNotNull())
+        return F.struct(
+            n.cast("int").alias("row"),
+            (F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(known), F.lit(0))).alias("y"),
+            F.array_min(ys).alias("min_y"),
+            F.array_max(F.transform(mine, lambda e: e["y"] + e["height"])).alias("max_y"),
+            F.size(mine).cast("bigint").alias("n"),
+            (F.array_max(xs) - F.array_min(xs)).alias("spread"),
+            F.sort_array(mine).alias("items"),
+        )
+
+    return down.select(*PAGE, let(F.col("z"), rows).alias("rows"))
+
+
+def table_row(r: Column, o: Options = Options()) -> Column:
+    """Whether a row may belong to a table: enough items, wide enough."""
+    return (r["n"] >= o.min_columns) & (r["spread"] >= o.min_spread)
 
-    Pages with fewer than min_rows rows have no groups, nor do groups below that.
+
+def _groups(rows: Column, o: Options) -> Column:
+    """array<struct<grp, row_count, rows>> of a page's rows: table rows with ``table_row`` and ``gap``, broken where the
+    gap to the row above is negative or too wide.
+
+    Pages with fewer than min_rows table rows have no groups, nor are groups below that there; grp (from 0) counts them all.
     """
-    page, down = Window.partitionBy(*PAGE), Window.partitionBy(*PAGE).orderBy(F.desc("y"), "row")
-    gap = F.lag("min_y").over(down) - F.col("max_y")
-    x = rows.withColumns({"height": F.avg(F.col("max_y") - F.col("min_y")).over(page), "rows_here": F.count(F.lit(1)).over(page), "gap": gap})
-    broken = F.col("gap").isNotNull() & ~F.col("gap").between(F.lit(0.0), F.col("height") * o.max_gap)
-    x = x.withColumn("grp", F.sum(broken.cast("int")).over(down).cast("int")).filter(F.col("rows_here") >= o.min_rows)
-    group = Window.partitionBy(*GROUP)
-    x = x.withColumns({"row_count": F.count(F.lit(1)).over(group).cast("int"), "table_row": (F.row_number().over(group.orderBy(F.desc("y"), "row")) - 1).cast("int")})
-    return x.filter(F.col("row_count") >= o.min_rows)
+    kept = F.filter(rows, lambda r: table_row(r, o))
+    ordered = F.transform(F.sort_array(F.transform(kept, lambda r: F.struct(r["y"].alias("y"), (-r["row"]).alias("k"), r.alias("r"))), asc=False), lambda e: e["r"])
+
+    def gapped(x: Column) -> Column:
+        tall = F.filter(F.transform(x, lambda r: r["max_y"] - r["min_y"]), lambda h: h.isNotNull())
+        height = F.aggregate(tall, F.lit(0.0), lambda s, h: s + h) / F.nullif(F.size(tall), F.lit(0))
+        return F.struct(F.transform(x, lambda r, n: F.struct(r.alias("r"), (F.get(x, n - 1)["min_y"] - r["max_y"]).alias("gap"))).alias("g"), height.alias("height"))
 
+    def split(z: Column) -> Column:
+        g = z["g"]
+        broken = lambda e: F.coalesce(~e["gap"].between(F.lit(0.0), z["height"] * o.max_gap), F.lit(False))
+        firsts = F.filter(F.transform(g, lambda e, n: F.when((n == 0) | broken(e), n)), lambda n: n.isNotNull())
+        return let(firsts, lambda at: F.transform(at, lambda f, n: let(F.slice(g, f + 1, F.coalesce(F.get(at, n + 1), F.size(g)) - f), lambda mine: F.struct(n.cast("int").alias("grp"), F.size(mine).alias("row_count"), F.transform(mine, one).alias("rows")))))
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def one(e: Column, n: Column) -> Column:
+        r = e["r"]
+        return F.struct(n.cast("int").alias("table_row"), *(r[c].alias(c) for c in ("row", "y", "min_y", "max_y")), e["gap"].alias("gap"), r["items"].alias("items"))
+
+    found = let(let(ordered, gapped), split)
+    return let(found, lambda a: F.when(F.aggregate(a, F.lit(0), lambda s, g: s + g["row_count"]) >= o.min_rows, F.filter(a, lambda g: g["row_count"] >= o.min_rows)))
 
 
 def _columns(rows: Column, row_count: Column, o: Options) -> Column:
@@ -228,24 +269,27 @@ def consistency(groups: DataFrame, tolerance: float = 10.0) -> DataFrame:
 def records(items: DataFrame, o: Options = Options()) -> DataFrame:
     """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array.
 
-    The one shuffle names its number of partitions: a page costs far more time
+    The one shuffle, of items that come as rows, names its number of partitions: a page costs far more time
     than bytes, and merged by bytes a small input would be left to one task.
     """
-    dealt = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE)
-    rows = row_groups(table_rows(rows_of(row_items(dealt, o)), o), o)
-    one = F.struct("table_row", "row", "y", "min_y", "max_y", "gap", "items")
-    return rows.groupBy(*GROUP).agg(F.first("row_count").alias("row_count"), F.sort_array(F.collect_list(one)).alias("rows"))
+    if "items" not in items.columns:
+        items = paged(items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE))
+    return page_rows(items, o).select(*PAGE, F.inline(let(F.col("rows"), lambda r: _groups(r, o))))
+
 
+def _shape(record: DataFrame, o: Options) -> DataFrame:
+    """Records with columns before (raw) and after refinement (cols)."""
+    found = let(_columns(F.col("rows"), F.col("row_count"), o), lambda raw: F.struct(raw.alias("raw"), _refined(raw).alias("cols")))
+    return once(record, s=found).select(*GROUP, "row_count", "rows", "s.raw", "s.cols", F.size("s.cols").alias("column_count"))
 
-def _grid(record: DataFrame, o: Options) -> DataFrame:
-    """Records with columns, refined columns, grid rows and what tells whether they are a table."""
-    rows, n = F.col("rows"), F.col("row_count")
 
-    def full(raw: Column) -> Column:
-        return let(_refined(raw), lambda cols: F.struct(raw.alias("raw"), cols.alias("cols"), F.transform(rows, lambda r: _grid_row(r, cols, o)).alias("grid")))
+def _grid(shape: DataFrame, o: Options) -> DataFrame:
+    """``_shape`` with grid rows and what tells whether they are a table."""
 
-    g = record.withColumn("t", let(_columns(rows, n, o), full)).select(*GROUP, "row_count", "rows", "t.raw", "t.cols", "t.grid")
-    g = g.withColumns({"column_count": F.size("cols"), "filled_cells": F.aggregate("grid", F.lit(0).cast("bigint"), lambda s, r: s + r["filled"])})
+    def full(grid: Column) -> Column:
+        return F.struct(grid.alias("grid"), F.aggregate(grid, F.lit(0).cast("bigint"), lambda s, r: s + r["filled"]).alias("filled_cells"))
+
+    g = once(shape, t=let(F.transform("rows", lambda r: _grid_row(r, F.col("cols"), o)), full)).select(*shape.columns, "t.grid", "t.filled_cells")
     total = (F.col("row_count") * F.col("column_count")).cast("bigint")
     g = g.withColumn("total_cells", total).withColumn("density", F.col("filled_cells") / F.nullif("total_cells", F.lit(0)))
     few_rows, few_cols, thin = F.col("row_count") < o.min_rows, F.col("column_count") < o.min_columns, F.col("density") < o.min_density
@@ -257,30 +301,38 @@ def _grid(record: DataFrame, o: Options) -> DataFrame:
 
 @dataclass
 class Detected:
-    """One detection: ``grid`` has a record for each row group, everything else is a projection of it."""
+    """One detection: ``grid`` has a record for each row group, everything else is a projection of it.
+
+    ``found`` and ``shape`` are its stages before: what needs no grid or no columns is a projection of them.
+    """
 
     grid: DataFrame
     options: Options = Options()
+    found: DataFrame | None = None
+    shape: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        self.found, self.shape = self.found or self.grid, self.shape or self.grid
 
     @property
     def items(self) -> DataFrame:
         """The items of rows in groups, with grp, table_row and row_count."""
-        rows = self.grid.select(*GROUP, "row_count", F.explode("rows").alias("r"))
+        rows = self.found.select(*GROUP, "row_count", F.explode("rows").alias("r"))
         return rows.select(*GROUP, "row_count", "r.row", "r.table_row", F.explode("r.items").alias("i")).select(*GROUP, "row", "table_row", "row_count", "i.*")
 
     @property
     def groups(self) -> DataFrame:
-        rows = self.grid.select(*GROUP, "row_count", F.explode("rows").alias("r"))
+        rows = self.found.select(*GROUP, "row_count", F.explode("rows").alias("r"))
         return rows.select(*GROUP, "r.row", "r.table_row", "row_count", "r.y", "r.min_y", "r.max_y", "r.gap")
 
     @property
     def columns(self) -> DataFrame:
         """(doc_id, page, grp, col, x, min_x, max_x, rows): columns before refinement."""
-        return self.grid.select(*GROUP, F.explode("raw").alias("c")).select(*GROUP, "c.*")
+        return self.shape.select(*GROUP, F.explode("raw").alias("c")).select(*GROUP, "c.*")
 
     @property
     def refined(self) -> DataFrame:
-        return self.grid.select(*GROUP, "column_count", F.explode("cols").alias("c")).select(*GROUP, "c.col", "c.x", "c.min_x", "c.max_x", "c.width", "column_count")
+        return self.shape.select(*GROUP, "column_count", F.explode("cols").alias("c")).select(*GROUP, "c.col", "c.x", "c.min_x", "c.max_x", "c.width", "column_count")
 
     @property
     def valid(self) -> DataFrame:
@@ -294,7 +346,7 @@ class Detected:
         It is if its score reaches HEADER_SCORE; no other row ever is.
         """
         rows = F.transform("grid", lambda r: F.struct(r["table_row"].alias("table_row"), r["fonts"].alias("fonts"), F.transform(r["cells"], lambda c: c["content"]).alias("contents")))
-        scored = self.grid.filter("valid").withColumn("scores", _scores(rows, self.options))
+        scored = once(self.grid.filter("valid"), scores=_scores(rows, self.options))
         has = F.get("scores", F.lit(0)) >= HEADER_SCORE if self.options.detect_headers else F.lit(False)
         return scored.withColumn("has_header", has)
 
@@ -308,6 +360,13 @@ class Detected:
         """cells with is_header."""
         return self._cells(self.tables, (F.col("has_header") & (F.col("r.table_row") == 0)).alias("is_header"))
 
+    @property
+    def lined(self) -> DataFrame:
+        """headed with a row for each table: (doc_id, page, grp, lines array<struct<table_row, is_header, cells array<struct<col, content>>>>)."""
+        cell = lambda c: F.struct(c["col"].alias("col"), c["content"].alias("content"))
+        line = lambda r: F.struct(r["table_row"].alias("table_row"), (F.col("has_header") & (r["table_row"] == 0)).alias("is_header"), F.transform(r["cells"], cell).alias("cells"))
+        return self.tables.select(*GROUP, F.transform("grid", line).alias("lines"))
+
     @staticmethod
     def _cells(tables: DataFrame, *more: Column) -> DataFrame:
         keep = ["has_header"] if more else []
@@ -332,44 +391,74 @@ class Detected:
 
     def cell(self, table_row: int, col: int) -> DataFrame:
         """(doc_id, page, grp, content): a cell of each table, '' where the table has none."""
-        at = lambda a, k: F.get(F.filter(a, k), F.lit(0))
-        row = at("grid", lambda r: r["table_row"] == table_row)
-        return self.grid.filter("valid").select(*GROUP, F.coalesce(at(row["cells"], lambda c: c["col"] == col)["content"], F.lit("")).alias("content"))
+        return self.pick(content=cell_at(table_row, col))
 
     def column(self, col: int) -> DataFrame:
         """(doc_id, page, grp, contents): a column of each table from top to bottom, '' where a row has no such cell."""
-        one = lambda r: F.coalesce(F.get(F.filter(r["cells"], lambda c: c["col"] == col), F.lit(0))["content"], F.lit(""))
-        return self.grid.filter("valid").select(*GROUP, F.transform("grid", one).alias("contents"))
+        return self.pick(contents=column_at(col))
+
+    def pick(self, **of: Column) -> DataFrame:
+        """(doc_id, page, grp, ...): columns made of ``cell_at`` and ``column_at``, of one detection however many they are."""
+        return self.grid.filter("valid").select(*GROUP, *(c.alias(k) for k, c in of.items()))
+
+
+def cell_at(table_row: int, col: int) -> Column:
+    at = lambda a, k: F.get(F.filter(a, k), F.lit(0))
+    return F.coalesce(at(at("grid", lambda r: r["table_row"] == table_row)["cells"], lambda c: c["col"] == col)["content"], F.lit(""))
+
+
+def column_at(col: int) -> Column:
+    return F.transform("grid", lambda r: F.coalesce(F.get(F.filter(r["cells"], lambda c: c["col"] == col), F.lit(0))["content"], F.lit("")))
 
 
 def detect(items: DataFrame, o: Options = Options(), keep: bool = False) -> Detected:
     """All stages. ``keep`` writes the records to the shared folder, for callers that read them more than once."""
-    grid = _grid(records(items, o), o)
-    return Detected(materialise(grid, "tables") if keep else grid, o)
+    found = records(items, o)
+    shape = _shape(found, o)
+    grid = _grid(shape, o)
+    return Detected(materialise(grid, "tables"), o) if keep else Detected(grid, o, found, shape)
+
+
+def boxes(d: Detected) -> DataFrame:
+    """(doc_id, page, grp, row_count, column_count, density, x, y, width, height) of each valid group."""
+
+    def box(cells: Column) -> Column:
+        least, most = (lambda f: F.array_min(F.transform(cells, f))), (lambda f: F.array_max(F.transform(cells, f)))
+        return F.struct(least(lambda c: c["x"]).alias("x"), least(lambda c: c["y"]).alias("y"), most(lambda c: c["x"] + c["width"]).alias("right"), most(lambda c: c["y"] + c["height"]).alias("top"))
+
+    b = F.col("b")
+    t = once(d.grid.filter("valid").select(*GROUP, "row_count", "column_count", "density", "grid"), b=let(F.flatten(F.transform("grid", lambda r: r["cells"])), box))
+    return t.select(*GROUP, "row_count", "column_count", "density", b["x"].alias("x"), b["y"].alias("y"), (b["right"] - b["x"]).alias("width"), (b["top"] - b["y"]).alias("height"))
 
 
 def summary(d: Detected) -> DataFrame:
     """(doc_id, page, table, ...): one row for each table, numbered on its page."""
-    cells = F.flatten(F.transform("grid", lambda r: r["cells"]))
-    least, most = (lambda f: F.array_min(F.transform(cells, f))), (lambda f: F.array_max(F.transform(cells, f)))
-    t = d.grid.filter("valid").select(*GROUP, "row_count", "column_count", "density", least(lambda c: c["x"]).alias("x"), least(lambda c: c["y"]).alias("y"), most(lambda c: c["x"] + c["width"]).alias("right"), most(lambda c: c["y"] + c["height"]).alias("top"))
     n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("grp"))
     ident = F.concat(F.lit("table_p"), F.col("page").cast("string"), F.lit("_"), n.cast("string"))
-    return t.select(*PAGE, ident.alias("table_id"), "row_count", "column_count", F.col("density").alias("confidence"), "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("top") - F.col("y")).alias("height"))
+    return boxes(d).select(*PAGE, ident.alias("table_id"), "row_count", "column_count", F.col("density").alias("confidence"), "x", "y", "width", "height")
 
 
 def result(d: Detected, items: DataFrame) -> DataFrame:
     """(doc_id, pages_processed, table_count, filtered_candidates) of each document."""
-    pages = items.groupBy("doc_id").agg(F.count_distinct("page").alias("pages_processed"))
+    pages = items.groupBy("doc_id").agg(F.count_distinct("page").alias("pages_processed"))  # of rows, or one a page
     found = d.valid.groupBy("doc_id").agg(F.count_if("valid").alias("table_count"), F.count_if(~F.col("valid")).alias("filtered_candidates"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return pages.join(found, "doc_id", "left").select("doc_id", "pages_processed", zero("table_count"), zero("filtered_candidates"))
 
 
 def overlap(tables: DataFrame, share: float = 0.5) -> DataFrame:
-    """Pairs of tables of a page whose common area is at least ``share`` of the smaller one's."""
-    a = tables.select(*PAGE, *(F.col(c).alias(f"{c}_a") for c in ("table_id", "x", "y", "width", "height")))
-    b = tables.select(*PAGE, *(F.col(c).alias(f"{c}_b") for c in ("table_id", "x", "y", "width", "height")))
-    side = lambda p, s: F.greatest(F.lit(0.0), F.least(F.col(f"{p}_a") + F.col(f"{s}_a"), F.col(f"{p}_b") + F.col(f"{s}_b")) - F.greatest(f"{p}_a", f"{p}_b"))
-    smaller = F.least(F.col("width_a") * F.col("height_a"), F.col("width_b") * F.col("height_b"))
-    return a.join(b, [*PAGE]).filter((F.col("table_id_a") < F.col("table_id_b")) & (side("x", "width") * side("y", "height") >= share * smaller)).select(*PAGE, "table_id_a", "table_id_b")
+    """Pairs of tables of a page whose common area is at least ``share`` of the smaller one's.
+
+    A page's tables meet in one array, so they are made once, not for each side of a join.
+    """
+    boxes = F.sort_array(F.collect_list(F.struct("table_id", "x", "y", "width", "height")))
+    here = tables.groupBy(*PAGE).agg(boxes.alias("others")).select(*PAGE, "others", F.explode("others").alias("a"))
+    a = F.col("a")
+
+    def meets(b: Column) -> Column:
+        side = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
+        smaller = F.least(a["width"] * a["height"], b["width"] * b["height"])
+        return (a["table_id"] < b["table_id"]) & (side("x", "width") * side("y", "height") >= share * smaller)
+
+    pairs = here.select(*PAGE, a["table_id"].alias("table_id_a"), F.explode(F.filter("others", meets)).alias("b"))
+    return pairs.select(*PAGE, "table_id_a", F.col("b.table_id").alias("table_id_b"))

@@ -8,7 +8,7 @@ from leafloom.operators import formats as X
 from leafloom.operators import layout as L
 from leafloom.operators import tables as B
 from leafloom.session import table
-from leafloom.sources.layout import order_pages
+from leafloom.sources.layout import order_page_arrays, order_pages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -61,23 +61,29 @@ def items(spark, sf):
     return order_pages(table(spark, sf, "lineitem"))
 
 
+def pages(spark, sf):
+    """The same items, a row for each page."""
+    return order_page_arrays(table(spark, sf, "lineitem"))
+
+
 def detected(spark, sf) -> B.Detected:
-    return B.detect(items(spark, sf))
+    return B.detect(pages(spark, sf))
 
 
 def headed(spark, sf):
-    """Cells of the order pages' tables; the first row is the header where its score tells so."""
-    return detected(spark, sf).headed
+    """The order pages' tables with their lines; the first row is the header where its score tells so."""
+    return detected(spark, sf).lined
 
 
 @query("SELECT doc_id, page, row, idx, str, x, y FROM items_")
 def rows_detect(spark, sf):
-    return B.row_items(items(spark, sf)).select("doc_id", "page", "row", "idx", "str", "x", "y")
+    return B.row_items(pages(spark, sf)).select("doc_id", "page", "row", "idx", "str", "x", "y")
 
 
 @query("SELECT doc_id, page, row, y, min_y, max_y, n, spread FROM kept_")
 def rows_filter(spark, sf):
-    return B.table_rows(B.rows_of(B.row_items(items(spark, sf)))).drop("items")
+    rows = F.filter("rows", lambda r: B.table_row(r))
+    return B.page_rows(pages(spark, sf)).select(*B.PAGE, F.inline(F.transform(rows, lambda r: r.dropFields("items"))))
 
 
 @query("SELECT doc_id, page, grp, row, table_row, row_count, y, min_y, max_y, gap FROM groups_")
@@ -131,7 +137,7 @@ def table_summary(spark, sf):
 @query("""SELECT p.doc_id, p.n AS pages_processed, coalesce(t, 0) AS table_count, coalesce(f, 0) AS filtered_candidates FROM (SELECT doc_id, count(DISTINCT page) AS n FROM items_ GROUP BY doc_id) p
 LEFT JOIN (SELECT doc_id, count(*) FILTER (valid) AS t, count(*) FILTER (NOT valid) AS f FROM valid_ GROUP BY doc_id) v USING (doc_id)""")
 def table_result(spark, sf):
-    return B.result(detected(spark, sf), items(spark, sf))
+    return B.result(detected(spark, sf), pages(spark, sf))
 
 
 @query("SELECT doc_id, page, grp, string_agg(line, chr(10) ORDER BY table_row) AS csv FROM csvrow GROUP BY ALL")
@@ -174,7 +180,7 @@ def table_json(spark, sf):
 
 @query("SELECT doc_id, page, string_agg(line, chr(10) ORDER BY row) AS text FROM (SELECT doc_id, page, row, string_agg(str, ' ' ORDER BY x, idx) AS line FROM items_ GROUP BY ALL) GROUP BY ALL")
 def text_geometric(spark, sf):
-    return L.geometric_text(items(spark, sf))
+    return L.geometric_text(pages(spark, sf))
 
 
 @query("SELECT doc_id, page, string_agg(str || CASE WHEN idx % 4 = 3 THEN chr(10) ELSE '' END, '' ORDER BY idx) AS text FROM items_ GROUP BY ALL")
@@ -184,7 +190,7 @@ def text_stream(spark, sf):
 
 @query("SELECT doc_id, page, string_agg(str, ' ' ORDER BY idx) AS text FROM items_ GROUP BY ALL")
 def text_flat(spark, sf):
-    return L.flat_text(items(spark, sf))
+    return L.flat_text(pages(spark, sf))
 
 
 @query(""", t AS (SELECT c.doc_id, c.page, c.grp, min(c.x) AS x, min(c.y) AS y, max(c.x + c.width) - min(c.x) AS w, max(c.y + c.height) - min(c.y) AS h FROM cells_ c GROUP BY ALL),
@@ -193,13 +199,11 @@ SELECT p.doc_id, p.page, p.id AS table_id_a, q.id AS table_id_b FROM s p JOIN s
 WHERE greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) >= 0.5 * least(p.w * p.h, q.w * q.h)""")
 def table_overlap(spark, sf):
     """Tables against copies of themselves that are moved to the right."""
-    cells = detected(spark, sf).cells
-    t = cells.groupBy(*B.GROUP).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("r"), F.max(F.col("y") + F.col("height")).alias("t"))
-    t = t.select("doc_id", "page", "grp", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("t") - F.col("y")).alias("height"))
     name = lambda p: F.concat(F.lit(p), F.col("grp").cast("string")).alias("table_id")
-    a = t.select("doc_id", "page", name("a"), "x", "y", "width", "height")
-    b = t.select("doc_id", "page", name("b"), (F.col("x") + 20 * (F.col("doc_id") % 9)).alias("x"), "y", "width", "height")
-    return B.overlap(a.unionByName(b))
+    box = lambda p, x: F.struct(name(p), x.alias("x"), "y", "width", "height")
+    x = F.col("x")
+    both = B.boxes(detected(spark, sf)).select(*B.PAGE, F.inline(F.array(box("a", x), box("b", x + 20 * (F.col("doc_id") % 9)))))
+    return B.overlap(both)
 
 
 @query("""SELECT doc_id, page, grp, true AS has_header, 30.0::DOUBLE <= 100 AS sure, string_agg(content, '|' ORDER BY col) AS names FROM cells_ WHERE table_row = 0 GROUP BY ALL""")
@@ -218,15 +222,13 @@ FROM {_CONTENT} c JOIN (SELECT doc_id, page, grp, sum(font_size) FILTER (table_r
   sum(font_size) FILTER (table_row > 0) AS later_sizes, count(*) FILTER (table_row > 0) AS later_n, bool_or(regexp_matches(font_name, '(?i)bold') AND table_row > 0) AS later_bold FROM mine_ GROUP BY ALL) f USING (doc_id, page, grp)) c""")
 def table_headers_by_look(spark, sf):
     """Headers by font and content alone: the first row's place does not count."""
-    h = B.detect(items(spark, sf), B.Options(header_first_row=False)).headers
+    h = B.detect(pages(spark, sf), B.Options(header_first_row=False)).headers
     return h.select(*B.GROUP, "has_header", "confidence")
 
 
 @query("""SELECT doc_id, page, grp, string_agg(content, '|' ORDER BY table_row) FILTER (col = 1) AS second, coalesce(max(content) FILTER (table_row = 1 AND col = 0), '') AS cell, '' AS outside FROM cells_ GROUP BY ALL""")
 def table_accessors(spark, sf):
-    d = detected(spark, sf)
-    second = d.column(1).select(*B.GROUP, F.array_join("contents", "|").alias("second"))
-    return second.join(d.cell(1, 0).withColumnRenamed("content", "cell"), [*B.GROUP]).join(d.cell(99, 0).withColumnRenamed("content", "outside"), [*B.GROUP])
+    return detected(spark, sf).pick(second=F.array_join(B.column_at(1), "|"), cell=B.cell_at(1, 0), outside=B.cell_at(99, 0))
 
 
 @query(""", p AS (SELECT a.doc_id, a.page, a.grp, b.table_row, count(*) AS hits FROM mine_ a JOIN mine_ b ON a.doc_id = b.doc_id AND a.page = b.page AND a.grp = b.grp AND a.table_row = 0 AND b.table_row > 0 AND abs(a.x - b.x) <= 10 GROUP BY ALL),
@@ -234,4 +236,4 @@ n AS (SELECT doc_id, page, grp, table_row, count(*) AS n FROM mine_ GROUP BY ALL
 z AS (SELECT b.doc_id, b.page, b.grp, coalesce(hits, 0) / greatest(a.n, b.n) AS s FROM n b JOIN n a ON a.doc_id = b.doc_id AND a.page = b.page AND a.grp = b.grp AND a.table_row = 0 LEFT JOIN p ON p.doc_id = b.doc_id AND p.page = b.page AND p.grp = b.grp AND p.table_row = b.table_row WHERE b.table_row > 0)
 SELECT doc_id, page, grp, round(avg(s), 9) AS consistency FROM z GROUP BY ALL""")
 def row_similarity(spark, sf):
-    return B.consistency(B.records(items(spark, sf))).select(*B.GROUP, F.round("consistency", 9).alias("consistency"))
+    return B.consistency(B.records(pages(spark, sf))).select(*B.GROUP, F.round("consistency", 9).alias("consistency"))

@@ -152,3 +152,37 @@ def test_predictors_undo_what_plain_filters_do():
             above = row
         assert pdfparse.unpredict(out, {"Predictor": 15, "Colors": colors, "Columns": columns}) == b"".join(rows)
         assert pdfparse.unpredict(out[: width + 3], {"Predictor": 15, "Colors": colors, "Columns": columns})[:width] == rows[0]
+
+
+def test_a_detection_is_evaluated_once(spark):
+    """Filters and formats above it name the grid many times; none may copy what makes it, and no query detects twice."""
+    from leafloom.plans.table_queries import QUERIES
+
+    def plan(name):
+        spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+        try:
+            return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+    for name in ("header_scores", "table_headers", "table_headers_by_look", "table_accessors", "table_json", "table_objects", "table_overlap", "table_csv", "table_markdown", "table_html", "table_array", "table_summary", "grid_density"):
+        p = plan(name)
+        assert p.count("Exchange ") == 1 and "Join" not in p and p.count("Generate inline(transform(array(rows") == 1, name
+        assert not [line for line in p.split("\n") if "Filter" in line and "transform(" in line], name
+    for name in ("text_geometric", "rows_detect", "rows_filter", "row_groups", "columns_detect"):
+        p = plan(name)
+        assert p.count("Exchange ") == 1 and "l_orderkey" in p.split("Exchange ", 1)[1].split("\n", 1)[0], name  # lines are moved, not items
+
+
+def test_formats_of_lines_are_those_of_cells(spark):
+    """Tables with their lines in an array, which nothing moves, give what cells give: blank and equal headers too."""
+    rows = [["A", "", "A"], ["1", "2", "3"], ["<4", "5,", ""]]
+    cells = spark.createDataFrame([(1, 1, 0, r, c, x, r == 0) for r, row in enumerate(rows) for c, x in enumerate(row)], "doc_id bigint, page bigint, grp int, table_row int, col int, content string, is_header boolean")
+    lines = formats._lines(cells)
+    assert [r.object for r in formats.to_objects(lines).orderBy("table_row").collect()] == [{"A": "3", "col_1": "2"}, {"A": "", "col_1": "5,"}]
+    for kind in ("csv", "markdown", "html", "array", "objects", "json"):
+        to = getattr(formats, f"to_{kind}")
+        assert sorted(map(str, to(lines).collect())) == sorted(map(str, to(cells).collect())), kind
+    for to in (formats.to_csv, formats.to_markdown, formats.to_array):
+        assert to(lines, headers=False).collect() == to(cells, headers=False).collect()
+        assert to(lines.withColumn("lines", F.slice("lines", 1, 1)), headers=False).count() == 0
