@@ -33,20 +33,23 @@ def read_pages(spark: SparkSession, folder: str, files_per_trigger: int = 8, sch
 
 def _events(every: int, full: bool) -> Callable:
     names = [c.split()[0] for c in (FULL_EVENTS if full else EVENTS).split(", ")]
+    taken = [c.split()[0] for c in (FULL_PAGES if full else PAGES).split(", ")][1:]
 
     def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, chars, shown = state.get if state.exists else (0, 0, 0)
-        pages = pd.concat(list(frames)).sort_values("page")
-        out, all_ = [], int(pages.total_pages.iloc[0])
+        # plain lists: a document has few pages, and each pandas step on them would cost more than all its events
+        pages = [p for f in frames for p in zip(*(f[c].tolist() for c in taken), strict=True)]
+        out, all_ = [], int(pages[0][1])
+        pages.sort(key=lambda p: p[0])
 
         def add(event: str, page: int, total: int, image: int | None = None, message: str | None = None) -> None:
             out.append((key[0], event, page, done, total, 100 * done // max(total, 1), chars, shown, image, message)[: len(names)])
 
         if not done:
             add("start", 0, all_)
-        held = pages.images.fillna(0).astype(int) if full else [0] * len(pages)
-        faults = pages.error if full else [None] * len(pages)
-        for page, total, text, images, fault in zip(pages.page, pages.total_pages, pages.text, held, faults, strict=True):
+        for page, total, text, *more in pages:
+            images, fault = more if full else (0, None)
+            images = 0 if pd.isna(images) else int(images)
             bad = isinstance(fault, str)
             done, chars = done + 1, chars + (0 if bad else len(text or ""))
             add("error" if bad else "page", page, total, message=fault if bad else None)
@@ -61,8 +64,8 @@ def _events(every: int, full: bool) -> Callable:
             state.remove()
         else:
             state.update((done, chars, shown))
-        made = pd.DataFrame(out, columns=names)
-        yield made.astype({"image": "Int64"}) if full else made
+        made = dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+        yield pd.DataFrame(made | {"image": pd.array(made["image"], dtype="Int64")} if full else made)
 
     return of
 

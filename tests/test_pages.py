@@ -70,3 +70,25 @@ def test_sizes_and_references(spark):
     assert [r.text for r in made] == ["title\n[IMG:img_7] img_p1_7.jpg\n[IMG:img_8] f.png\nbody", ""]
     sizes = [r.t for r in spark.createDataFrame([(12,), (1536,), (3 << 20,)], "n bigint").select(T.byte_size(F.col("n")).alias("t")).collect()]
     assert sizes == ["12 B", "1.5 KB", "3.0 MB"]
+
+
+def test_events_of_a_group_take_no_pandas_steps(monkeypatch):
+    """Pages of several frames in any order, images unknown; a document costs no joining and sorting of frames."""
+    import pandas as pd
+
+    class State:
+        exists, removed = False, False
+
+        def remove(self):
+            self.removed = True
+
+    def refuse(*a, **k):
+        raise AssertionError("a pandas step for each document")
+
+    monkeypatch.setattr(pd, "concat", refuse)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", refuse)
+    frame = lambda page, images, error: pd.DataFrame({"doc_id": [1], "page": [page], "total_pages": [2], "text": ["ab"], "images": [images], "error": [error]})
+    state = State()
+    made = next(progress._events(9, True)((1,), iter([frame(2, None, "torn"), frame(1, 1.0, None)]), state))
+    assert state.removed and list(made.event) == ["start", "page", "image", "error", "progress", "complete"]
+    assert list(made.characters) == [0, 2, 2, 2, 2, 2] and list(made.image.dropna()) == [1] and made.message[3] == "torn"
