@@ -117,21 +117,35 @@ def to_array(cells: DataFrame, headers: bool = True) -> DataFrame:
 def _objects(cells: DataFrame) -> DataFrame:
     """(…, objects array<struct<table_row, object>>) of body rows, nothing joined: the header's texts stand in the same array."""
 
+    def key(text: Column, col: Column) -> Column:
+        return F.coalesce(F.nullif(text, F.lit("")), F.concat(F.lit("col_"), col.cast("string")))
+
     def named(r: Column, head: Column) -> Column:
         text = lambda c: F.get(F.filter(head, lambda h: h["col"] == c["col"]), F.lit(0))["content"]
-        key = lambda c: F.coalesce(F.nullif(text(c), F.lit("")), F.concat(F.lit("col_"), c["col"].cast("string")))
-        return F.transform(r["cells"], lambda c: F.struct(key(c).alias("key"), c["content"].alias("content")))
+        return F.transform(r["cells"], lambda c: F.struct(key(text(c), c["col"]).alias("key"), c["content"].alias("content")))
 
     def pairs(k: Column) -> Column:
         same = lambda e: F.filter(k, lambda x: x["key"] == e["key"])
         first = F.filter(k, lambda e, n: F.array_position(F.transform(k, lambda x: x["key"]), e["key"]) == n + 1)
         return F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"].alias("key"), F.element_at(same(e), -1)["content"].alias("value"))))
 
-    def body(head: Column) -> Column:
-        return F.transform(F.filter("lines", lambda r: ~r["is_header"]), lambda r: F.struct(r["table_row"].alias("table_row"), let(named(r, head), pairs).alias("object")))
+    cols = lambda cells: F.transform(cells, lambda c: c["col"])
+
+    def object_(r: Column, head: Column, h: Column) -> Column:
+        # a row with the header's own columns, whose keys differ, needs no look at each pair
+        plain = h["differ"] & (cols(r["cells"]) == h["cols"])
+        return F.when(plain, F.map_from_arrays(h["keys"], _parts(r, lambda c: c))).otherwise(let(named(r, head), pairs))
+
+    def body(head: Column, h: Column) -> Column:
+        return F.transform(F.filter("lines", lambda r: ~r["is_header"]), lambda r: F.struct(r["table_row"].alias("table_row"), object_(r, head, h).alias("object")))
+
+    def known(head: Column) -> Column:
+        keys = F.transform(head, lambda c: key(c["content"], c["col"]))
+        differ = lambda k: (F.size(F.array_distinct(k)) == F.size(k)) & (F.size(F.array_distinct(cols(head))) == F.size(k))
+        return let(keys, lambda k: F.struct(k.alias("keys"), cols(head).alias("cols"), differ(k).alias("differ")))
 
     heads = F.flatten(F.transform(F.filter("lines", lambda r: r["is_header"]), lambda r: r["cells"]))
-    return once(_lines(cells), objects=let(heads, body))
+    return once(_lines(cells), objects=let(heads, lambda head: let(known(head), lambda h: body(head, h))))
 
 
 def to_objects(cells: DataFrame) -> DataFrame:
