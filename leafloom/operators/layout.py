@@ -24,8 +24,11 @@ def from_matrix(raw: DataFrame) -> DataFrame:
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value computed once, however often the body names it.
+
+    A fold over nothing: unlike a transform, it does not copy what body returns, with all that is in it.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def once(df: DataFrame, **made: Column) -> DataFrame:
@@ -87,24 +90,29 @@ def geometric_text(items: DataFrame, band: float = 2.0) -> DataFrame:
     return pages.select("doc_id", "page", T.strip(text).alias("text"))
 
 
-def cluster_labels(values: Column, tolerance: float, anchor: str) -> Column:
-    """For a sorted array of doubles, the number (from 0) of each one's cluster.
+def cluster_starts(values: Column, tolerance: float, anchor: str) -> Column:
+    """For a sorted array of doubles, the positions (from 0) at which clusters start.
 
-    anchor "mean": within ``tolerance`` of the mean of the cluster so far;
-    "first": of the cluster's first value.
+    anchor "mean": a cluster goes on within ``tolerance`` of the mean of the cluster so far;
+    "first": of the cluster's first value. Each step copies its state, so that holds starts, not labels.
     """
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0.0).alias("first"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, v: Column) -> Column:
-        near = acc["sum"] / F.when(acc["n"] > 0, acc["n"]) if anchor == "mean" else acc["first"]
-        same = (acc["n"] > 0) & F.coalesce(F.abs(near - v) <= tolerance, F.lit(False))
-        at = F.when(same, acc["at"]).otherwise(acc["at"] + 1)
-        return F.struct(
-            F.when(same, acc["sum"] + v).otherwise(v).alias("sum"),
-            F.when(same, acc["n"] + 1).otherwise(1).alias("n"),
-            F.when(same, acc["first"]).otherwise(v).alias("first"),
-            at.alias("at"),
-            F.concat(acc["out"], F.array(at)).alias("out"),
-        )
-
-    return F.aggregate(values, start, step, lambda acc: acc["out"])
+        near = acc["sum"] / acc["n"] if anchor == "mean" else acc["sum"]
+        same = (acc["i"] > 0) & F.coalesce(F.abs(near - v) <= tolerance, F.lit(False))
+        more = (acc["sum"] + v, acc["n"] + 1) if anchor == "mean" else (acc["sum"], acc["n"])
+        state = lambda total, n, at: F.struct((acc["i"] + 1).alias("i"), total.alias("sum"), n.alias("n"), at.alias("at"))
+        return F.when(same, state(*more, acc["at"])).otherwise(state(v, F.lit(1), F.concat(acc["at"], F.array(acc["i"]))))
+
+    return F.aggregate(values, start, step, lambda acc: acc["at"])
+
+
+def parts(starts: Column, size: Column, of) -> Column:
+    """of(first position, length, number) of each part of an array of this size, of which ``cluster_starts`` tells the starts."""
+    return F.transform(starts, lambda f, n: of(f, F.coalesce(F.get(starts, n + 1), size) - f, n.cast("int")))
+
+
+def cluster_labels(values: Column, tolerance: float, anchor: str) -> Column:
+    """For a sorted array of doubles, the number (from 0) of each one's cluster; see ``cluster_starts``."""
+    return let(values, lambda v: let(cluster_starts(v, tolerance, anchor), lambda at: F.flatten(parts(at, F.size(v), lambda f, length, n: F.array_repeat(n, length)))))

@@ -17,16 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafloom.functions import text as T
-from leafloom.operators.layout import FIELDS, cluster_labels, let, once, paged, sorted_by
+from leafloom.operators.layout import FIELDS, cluster_labels, cluster_starts, let, once, paged, parts, sorted_by
 from leafloom.session import materialise
 
 PAGE = ("doc_id", "page")
 GROUP = (*PAGE, "grp")
 
-# Words that are column headings, patterns of bold font names, the score (in hundredths) that a header reaches.
+# Words that are column headings, patterns of bold font names, the points (in hundredths) of a first row, the score that a header reaches.
 KEYWORDS = "id|name|date|time|type|status|amount|price|quantity|description|title|number|code|category|value|total|count|rate|percent|index|key|label"
 BOLD = "(?i)bold|heavy|black|medium"
-HEADER_SCORE = 30
+FIRST_ROW, HEADER_SCORE = 30, 30
 # The texts of reasons.
 FEW, THIN = "Insufficient {}: ", "Low grid density: "
 
@@ -66,29 +66,31 @@ def table_rows(rows: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def page_rows(items: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, rows): the rows of ``rows_of`` of each page in an array, top first."""
-    down = sorted_by(items, ("y", -1)).select(*PAGE, let(F.col("items"), lambda i: F.struct(i.alias("i"), cluster_labels(F.transform(i, lambda e: e["y"]), o.row_tolerance, "mean").alias("k"))).alias("z"))
-
-    def rows(z: Column) -> Column:
-        i, k = z["i"], z["k"]
-        # labels rise by one from cluster to cluster, so a row is a slice
-        firsts = F.filter(F.transform(k, lambda v, n: F.when((n == 0) | (v != F.get(k, n - 1)), n)), lambda n: n.isNotNull())
-        return let(firsts, lambda at: F.transform(at, lambda f, n: let(F.slice(i, f + 1, F.coalesce(F.get(at, n + 1), F.size(i)) - f), lambda mine: row(mine, n))))
-
-    def row(mine: Column, n: Column) -> Column:
-        xs, ys = (F.transform(mine, lambda e: e[c]) for c in ("x", "y"))
-        known = F.filter(ys, lambda v: v.isNotNull())
+    """(doc_id, page, rows): the rows of ``rows_of`` of each page in an array, top first.
+
+    What is sorted and clustered are y and places in the array of items; each item is copied into its row once.
+    """
+
+    def page(i: Column) -> Column:
+        down = F.sort_array(F.transform(i, lambda e, n: F.struct((-e["y"]).alias("k"), n.alias("n"))))
+        starts = lambda d: cluster_starts(F.transform(d, lambda e: -e["k"]), o.row_tolerance, "mean")
+        return let(down, lambda d: let(starts(d), lambda at: parts(at, F.size(d), lambda f, length, n: let(F.slice(d, f + 1, length), lambda mine: row(i, mine, n)))))
+
+    def row(i: Column, mine: Column, n: Column) -> Column:
+        known = F.nullif(F.size(F.filter(mine, lambda e: e["k"].isNotNull())), F.lit(0))
+        items = F.transform(F.sort_array(F.transform(mine, lambda e: e["n"])), lambda k: F.get(i, k))
+        xs = F.transform(mine, lambda e: F.get(i, e["n"])["x"])
         return F.struct(
-            n.cast("int").alias("row"),
-            (F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(known), F.lit(0))).alias("y"),
-            F.array_min(ys).alias("min_y"),
-            F.array_max(F.transform(mine, lambda e: e["y"] + e["height"])).alias("max_y"),
+            n.alias("row"),
+            (F.aggregate(mine, F.lit(0.0), lambda s, e: s + F.coalesce(-e["k"], F.lit(0.0))) / known).alias("y"),
+            F.array_min(F.transform(mine, lambda e: -e["k"])).alias("min_y"),
+            F.array_max(F.transform(mine, lambda e: F.get(i, e["n"])["height"] - e["k"])).alias("max_y"),
             F.size(mine).cast("bigint").alias("n"),
-            (F.array_max(xs) - F.array_min(xs)).alias("spread"),
-            F.sort_array(mine).alias("items"),
+            let(xs, lambda v: F.array_max(v) - F.array_min(v)).alias("spread"),
+            items.alias("items"),
         )
 
-    return down.select(*PAGE, let(F.col("z"), rows).alias("rows"))
+    return paged(items).select(*PAGE, let(F.sort_array("items"), page).alias("rows"))
 
 
 def table_row(r: Column, o: Options = Options()) -> Column:
@@ -102,25 +104,27 @@ def _groups(rows: Column, o: Options) -> Column:
 
     Pages with fewer than min_rows table rows have no groups, nor are groups below that there; grp (from 0) counts them all.
     """
-    kept = F.filter(rows, lambda r: table_row(r, o))
-    ordered = F.transform(F.sort_array(F.transform(kept, lambda r: F.struct(r["y"].alias("y"), (-r["row"]).alias("k"), r.alias("r"))), asc=False), lambda e: e["r"])
+    def ordered(k: Column) -> Column:
+        down = F.sort_array(F.transform(k, lambda r, n: F.struct(r["y"].alias("y"), (-r["row"]).alias("k"), n.alias("n"))), asc=False)
+        return F.transform(down, lambda e: F.get(k, e["n"]))
 
     def gapped(x: Column) -> Column:
         tall = F.filter(F.transform(x, lambda r: r["max_y"] - r["min_y"]), lambda h: h.isNotNull())
-        height = F.aggregate(tall, F.lit(0.0), lambda s, h: s + h) / F.nullif(F.size(tall), F.lit(0))
-        return F.struct(F.transform(x, lambda r, n: F.struct(r.alias("r"), (F.get(x, n - 1)["min_y"] - r["max_y"]).alias("gap"))).alias("g"), height.alias("height"))
+        height = let(tall, lambda t: F.aggregate(t, F.lit(0.0), lambda s, h: s + h) / F.nullif(F.size(t), F.lit(0)))
+        gaps = F.transform(x, lambda r, n: F.get(x, n - 1)["min_y"] - r["max_y"])
+        return let(gaps, lambda g: let(height, lambda h: let(starts(g, h), lambda at: parts(at, F.size(x), lambda f, length, n: group(x, g, f, length, n)))))
 
-    def split(z: Column) -> Column:
-        g = z["g"]
-        broken = lambda e: F.coalesce(~e["gap"].between(F.lit(0.0), z["height"] * o.max_gap), F.lit(False))
-        firsts = F.filter(F.transform(g, lambda e, n: F.when((n == 0) | broken(e), n)), lambda n: n.isNotNull())
-        return let(firsts, lambda at: F.transform(at, lambda f, n: let(F.slice(g, f + 1, F.coalesce(F.get(at, n + 1), F.size(g)) - f), lambda mine: F.struct(n.cast("int").alias("grp"), F.size(mine).alias("row_count"), F.transform(mine, one).alias("rows")))))
+    def starts(gaps: Column, height: Column) -> Column:
+        broken = lambda g: F.coalesce(~g.between(F.lit(0.0), height * o.max_gap), F.lit(False))
+        return F.filter(F.transform(gaps, lambda g, n: F.when((n == 0) | broken(g), n)), lambda n: n.isNotNull())
 
-    def one(e: Column, n: Column) -> Column:
-        r = e["r"]
-        return F.struct(n.cast("int").alias("table_row"), *(r[c].alias(c) for c in ("row", "y", "min_y", "max_y")), e["gap"].alias("gap"), r["items"].alias("items"))
+    def group(x: Column, gaps: Column, first: Column, length: Column, n: Column) -> Column:
+        def one(r: Column, k: Column) -> Column:
+            return F.struct(k.cast("int").alias("table_row"), *(r[c].alias(c) for c in ("row", "y", "min_y", "max_y")), F.get(gaps, first + k).alias("gap"), r["items"].alias("items"))
 
-    found = let(let(ordered, gapped), split)
+        return F.struct(n.alias("grp"), length.cast("int").alias("row_count"), F.transform(F.slice(x, first + 1, length), one).alias("rows"))
+
+    found = let(let(F.filter(rows, lambda r: table_row(r, o)), ordered), gapped)
     return let(found, lambda a: F.when(F.aggregate(a, F.lit(0), lambda s, g: s + g["row_count"]) >= o.min_rows, F.filter(a, lambda g: g["row_count"] >= o.min_rows)))
 
 
@@ -132,17 +136,16 @@ def _columns(rows: Column, row_count: Column, o: Options) -> Column:
     points = F.sort_array(F.flatten(F.transform(rows, lambda r: F.transform(r["items"], point(r)))))
 
     def clusters(p: Column) -> Column:
-        labels = cluster_labels(F.transform(p, lambda e: e["x"]), tol, "first")
-        labelled = F.zip_with(p, labels, lambda e, k: F.struct(e.alias("e"), k.alias("k")))
-        members = let(labelled, lambda z: F.transform(F.sequence(F.lit(0), F.array_max(F.transform(z, lambda e: e["k"]))), lambda k: F.transform(F.filter(z, lambda e: e["k"] == k), lambda e: e["e"])))
+        near = lambda x: F.size(F.array_distinct(F.transform(F.filter(p, lambda e: F.abs(e["x"] - x) <= tol), lambda e: e["table_row"])))
+        mean = lambda m: F.aggregate(m, F.lit(0.0), lambda s, e: s + e["x"]) / F.size(m)
 
-        def near(m: Column) -> Column:
-            close = F.filter(p, lambda e: F.abs(e["x"] - m["x"]) <= tol)
-            return F.struct(m["x"].alias("x"), m["min_x"].alias("min_x"), m["max_x"].alias("max_x"), F.size(F.array_distinct(F.transform(close, lambda e: e["table_row"]))).alias("rows"))
+        def ends(m: Column) -> Column:
+            # sorted by x, so the first one's is the least; a null stands alone
+            most = F.array_max(F.transform(m, lambda e: e["x"] + e["width"]))
+            return let(mean(m), lambda x: F.struct(x.alias("x"), F.get(m, F.lit(0))["x"].alias("min_x"), most.alias("max_x"), near(x).alias("rows")))
 
-        mean = lambda m: F.aggregate(m, F.lit(0.0), lambda s, e: s + e["x"]) / F.size(m)
-        ends = F.transform(members, lambda m: F.struct(mean(m).alias("x"), F.array_min(F.transform(m, lambda e: e["x"])).alias("min_x"), F.array_max(F.transform(m, lambda e: e["x"] + e["width"])).alias("max_x")))
-        return F.sort_array(F.filter(F.transform(ends, near), lambda c: c["rows"] >= least))
+        found = lambda at: parts(at, F.size(p), lambda f, length, _: let(F.slice(p, f + 1, length), ends))
+        return F.sort_array(F.filter(let(cluster_starts(F.transform(p, lambda e: e["x"]), tol, "first"), found), lambda c: c["rows"] >= least))
 
     return F.transform(let(points, clusters), lambda c, n: F.struct(n.cast("int").alias("col"), c["x"].alias("x"), c["min_x"].alias("min_x"), c["max_x"].alias("max_x"), c["rows"].alias("rows")))
 
@@ -163,58 +166,77 @@ def _refined(columns: Column) -> Column:
     return F.transform(columns, meet)
 
 
-def density_column(item: Column, cols: Column, o: Options = Options()) -> Column:
-    """The first column that an item overlaps within the tolerance; null if none."""
-    x, right, tol = item["x"], item["x"] + item["width"], o.column_tolerance
-    return F.get(F.filter(cols, lambda c: (x <= c["max_x"] + tol) & (right >= c["min_x"] - tol)), F.lit(0))["col"]
+def _bounded(cols: Column, o: Options) -> Column:
+    """Columns with the ends (lo, hi) of their range with tolerance, which every item is held against."""
+    names = ("col", "x", "min_x", "max_x", "width")
+    return F.transform(cols, lambda c: F.struct(*(c[k].alias(k) for k in names), (c["min_x"] - o.column_tolerance).alias("lo"), (c["max_x"] + o.column_tolerance).alias("hi")))
 
 
-def cell_column(item: Column, cols: Column, o: Options = Options()) -> Column:
-    """The first column whose range (with tolerance) holds x or that the item overlaps, else the nearest one."""
-    x, right, tol = item["x"], item["x"] + item["width"], o.column_tolerance
-    inside = F.filter(cols, lambda c: x.between(c["min_x"] - tol, c["max_x"] + tol) | ((x < c["max_x"]) & (right > c["min_x"])))
-    far = F.transform(cols, lambda c: F.struct(F.least(F.abs(x - c["x"]), F.abs(x - c["min_x"]), F.abs(x - c["max_x"])).alias("d"), c["col"].alias("col")))
-    return F.coalesce(F.get(inside, F.lit(0))["col"], F.array_min(far)["col"])
+def _place(item: Column, cols: Column, o: Options) -> Column:
+    """struct<met, col>: the first of the ``_bounded`` columns that an item overlaps within the tolerance, null if none; its cell's column.
+
+    That is the first one whose range (with tolerance) holds x or that the item overlaps, else the nearest one.
+    What holds or overlaps is met too, unless the item's width is below zero, so only columns that are met are looked at.
+    """
+    x = item["x"]
+
+    def place(right: Column, near: Column) -> Column:
+        some = F.when(item["width"] >= 0, near).otherwise(cols) if o.column_tolerance >= 0 else cols
+        inside = F.filter(some, lambda c: x.between(c["lo"], c["hi"]) | ((x < c["max_x"]) & (right > c["min_x"])))
+        far = F.transform(cols, lambda c: F.struct(F.least(F.abs(x - c["x"]), F.abs(x - c["min_x"]), F.abs(x - c["max_x"])).alias("d"), c["col"].alias("col")))
+        return F.struct(F.get(near, F.lit(0))["col"].alias("met"), F.coalesce(F.get(inside, F.lit(0))["col"], F.array_min(far)["col"]).alias("col"))
+
+    return let(x + item["width"], lambda right: let(F.filter(cols, lambda c: (x <= c["hi"]) & (right >= c["lo"])), lambda near: place(right, near)))
 
 
 def _cell(row: Column, c: Column, mine: Column) -> Column:
     """One cell: its items joined by spaces from left to right; without items it takes its place from its column and row."""
-    some = F.size(mine) > 0
-    text = F.array_join(F.transform(F.sort_array(F.transform(mine, lambda i: F.struct(i["x"].alias("x"), i["idx"].alias("idx"), i["str"].alias("str")))), lambda e: e["str"]), " ")
-    least, most = (lambda f: F.array_min(F.transform(mine, f))), (lambda f: F.array_max(F.transform(mine, f)))
-    x, y = least(lambda i: i["x"]), least(lambda i: i["y"])
-    return F.struct(
-        c["col"].alias("col"),
-        F.when(some, T.strip(text)).otherwise("").alias("content"),
-        F.when(some, x).otherwise(c["min_x"]).alias("x"),
-        F.when(some, y).otherwise(row["min_y"]).alias("y"),
-        F.when(some, most(lambda i: i["x"] + i["width"]) - x).otherwise(c["width"]).alias("width"),
-        F.when(some, most(lambda i: i["y"] + i["height"]) - y).otherwise(row["max_y"] - row["min_y"]).alias("height"),
-        some.alias("filled"),
-    )
+
+    def cell(content: Column, x: Column, y: Column, width: Column, height: Column, filled: bool) -> Column:
+        return F.struct(c["col"].alias("col"), content.alias("content"), x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"), F.lit(filled).alias("filled"))
+
+    def several(m: Column) -> Column:
+        text = F.array_join(F.transform(F.sort_array(F.transform(m, lambda i: F.struct(i["x"].alias("x"), i["idx"].alias("idx"), i["str"].alias("str")))), lambda e: e["str"]), " ")
+        least, most = (lambda f: F.array_min(F.transform(m, f))), (lambda f: F.array_max(F.transform(m, f)))
+        x, y = least(lambda i: i["x"]), least(lambda i: i["y"])
+        return cell(T.strip(text), x, y, most(lambda i: i["x"] + i["width"]) - x, most(lambda i: i["y"] + i["height"]) - y, True)
+
+    def single(i: Column) -> Column:
+        return cell(T.strip(F.coalesce(i["str"], F.lit(""))), i["x"], i["y"], i["x"] + i["width"] - i["x"], i["y"] + i["height"] - i["y"], True)
+
+    empty = cell(F.lit(""), c["min_x"], row["min_y"], c["width"], row["max_y"] - row["min_y"], False)
+    return let(mine, lambda m: F.when(F.size(m) == 1, let(F.get(m, F.lit(0)), single)).when(F.size(m) == 0, empty).otherwise(several(m)))
 
 
 def _grid_row(row: Column, cols: Column, o: Options) -> Column:
-    """struct<table_row, filled, cells, items>: how many columns the row's items meet, and a cell for each column."""
+    """struct<table_row, filled, cells>: how many columns the row's items meet, and a cell for each of the ``_bounded`` columns."""
     items = row["items"]
-    met = F.array_distinct(F.filter(F.transform(items, lambda i: density_column(i, cols, o)), lambda k: k.isNotNull()))
-    placed = F.transform(items, lambda i: F.struct(i.alias("i"), cell_column(i, cols, o).alias("k")))
-    cells = let(placed, lambda z: F.transform(cols, lambda c: let(F.transform(F.filter(z, lambda e: e["k"] == c["col"]), lambda e: e["i"]), lambda mine: _cell(row, c, mine))))
-    return F.struct(row["table_row"].alias("table_row"), F.size(met).alias("filled"), cells.alias("cells"), F.transform(items, lambda i: F.struct(i["font_size"].alias("font_size"), i["font_name"].alias("font_name"))).alias("fonts"))
+
+    def grid_row(places: Column) -> Column:
+        met = F.array_distinct(F.filter(F.transform(places, lambda p: p["met"]), lambda k: k.isNotNull()))
+        cells = F.transform(cols, lambda c: _cell(row, c, F.filter(items, lambda _, n: F.get(places, n)["col"] == c["col"])))
+        return F.struct(row["table_row"].alias("table_row"), F.size(met).alias("filled"), cells.alias("cells"))
+
+    return let(F.transform(items, lambda i: _place(i, cols, o)), grid_row)
+
+
+def _looks(fonts: Column) -> Column:
+    """struct<n, size, bold> of items' fonts: how many, the sum of their sizes, whether one is bold."""
+    bold = lambda a: F.exists(F.array_distinct(F.transform(a, lambda f: f["font_name"])), lambda f: F.coalesce(f.rlike(BOLD), F.lit(False)))
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, f: s + f["font_size"])
+    return let(fonts, lambda a: F.struct(F.size(a).alias("n"), size(a).alias("size"), bold(a).alias("bold")))
 
 
-def _row_score(row: Column, fonts: Column, later: Column, o: Options) -> Column:
-    """How much a row looks like a header, in hundredths.
+def _row_score(row: Column, mine: Column, later: Column, o: Options) -> Column:
+    """How much a row looks like a header, in hundredths; mine and later: ``_looks``.
 
     First row 30; font at least header_font_ratio times that of rows 1.. 25;
     bold where rows 1.. have none 25; content, if above 20: short 10,
     capitalised 15, keywords up to 20, no numbers 10.
     """
-    first = F.when(row["table_row"] == 0, 30).otherwise(0) if o.header_first_row else F.lit(0)
-    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, f: s + f["font_size"])
-    bold = lambda a: F.exists(a, lambda f: F.coalesce(f["font_name"].rlike(BOLD), F.lit(False)))
-    larger = size(fonts) / F.nullif(F.size(fonts), F.lit(0)) >= F.lit(o.header_font_ratio) * size(later) / F.nullif(F.size(later), F.lit(0))
-    font = F.when(F.size(later) > 0, 25 * F.coalesce(larger, F.lit(False)).cast("int") + 25 * (bold(fonts) & ~bold(later)).cast("int")).otherwise(0)
+    first = F.when(row["table_row"] == 0, FIRST_ROW).otherwise(0) if o.header_first_row else F.lit(0)
+    larger = mine["size"] / F.nullif(mine["n"], F.lit(0)) >= F.lit(o.header_font_ratio) * later["size"] / F.nullif(later["n"], F.lit(0))
+    font = F.when(later["n"] > 0, 25 * F.coalesce(larger, F.lit(False)).cast("int") + 25 * (mine["bold"] & ~later["bold"]).cast("int")).otherwise(0)
 
     def points(some: Column) -> Column:
         k, of = F.size(some), lambda rx: F.size(F.filter(some, lambda c: c.rlike(rx)))
@@ -227,10 +249,11 @@ def _row_score(row: Column, fonts: Column, later: Column, o: Options) -> Column:
     return (first + (font if o.header_font else F.lit(0)) + content).cast("double")
 
 
-def _scores(rows: Column, o: Options) -> Column:
-    """Scores of rows (array<struct<table_row, fonts, contents>>), in order."""
-    later = F.flatten(F.transform(F.filter(rows, lambda r: r["table_row"] > 0), lambda r: r["fonts"]))
-    return let(later, lambda z: F.transform(rows, lambda r: _row_score(r, r["fonts"], z, o)))
+def _scores(rows: Column, o: Options, first: bool = False) -> Column:
+    """Scores of rows (array<struct<table_row, fonts, contents>>), in order; ``first``: of the first one only."""
+    later = lambda r: F.flatten(F.transform(F.filter(r, lambda e: e["table_row"] > 0), lambda e: e["fonts"]))
+    of = lambda r: F.slice(r, 1, 1) if first else r
+    return let(rows, lambda r: let(_looks(later(r)), lambda z: F.transform(of(r), lambda e: let(_looks(e["fonts"]), lambda mine: _row_score(e, mine, z, o)))))
 
 
 def header_scores(items: DataFrame, cell_rows: DataFrame, o: Options = Options()) -> DataFrame:
@@ -274,7 +297,8 @@ def records(items: DataFrame, o: Options = Options()) -> DataFrame:
     """
     if "items" not in items.columns:
         items = paged(items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE))
-    return page_rows(items, o).select(*PAGE, F.inline(let(F.col("rows"), lambda r: _groups(r, o))))
+    groups = F.get(F.transform(F.array("rows"), lambda r: _groups(r, o)), F.lit(0))  # the plan's text shows a detection by this
+    return page_rows(items, o).select(*PAGE, F.inline(groups))
 
 
 def _shape(record: DataFrame, o: Options) -> DataFrame:
@@ -289,7 +313,7 @@ def _grid(shape: DataFrame, o: Options) -> DataFrame:
     def full(grid: Column) -> Column:
         return F.struct(grid.alias("grid"), F.aggregate(grid, F.lit(0).cast("bigint"), lambda s, r: s + r["filled"]).alias("filled_cells"))
 
-    g = once(shape, t=let(F.transform("rows", lambda r: _grid_row(r, F.col("cols"), o)), full)).select(*shape.columns, "t.grid", "t.filled_cells")
+    g = once(shape, t=let(_bounded(F.col("cols"), o), lambda cols: let(F.transform("rows", lambda r: _grid_row(r, cols, o)), full))).select(*shape.columns, "t.grid", "t.filled_cells")
     total = (F.col("row_count") * F.col("column_count")).cast("bigint")
     g = g.withColumn("total_cells", total).withColumn("density", F.col("filled_cells") / F.nullif("total_cells", F.lit(0)))
     few_rows, few_cols, thin = F.col("row_count") < o.min_rows, F.col("column_count") < o.min_columns, F.col("density") < o.min_density
@@ -345,10 +369,24 @@ class Detected:
 
         It is if its score reaches HEADER_SCORE; no other row ever is.
         """
-        rows = F.transform("grid", lambda r: F.struct(r["table_row"].alias("table_row"), r["fonts"].alias("fonts"), F.transform(r["cells"], lambda c: c["content"]).alias("contents")))
-        scored = once(self.grid.filter("valid"), scores=_scores(rows, self.options))
-        has = F.get("scores", F.lit(0)) >= HEADER_SCORE if self.options.detect_headers else F.lit(False)
-        return scored.withColumn("has_header", has)
+        return self._scored().withColumn("has_header", self._is_header(F.get("scores", F.lit(0))))
+
+    def _scored(self, first: bool = False) -> DataFrame:
+        """Valid records with ``scores``, of the first row only or of all."""
+        contents = lambda n: F.transform(F.get("grid", n)["cells"], lambda c: c["content"])
+        rows = F.transform("rows", lambda r, n: F.struct(r["table_row"].alias("table_row"), r["items"].alias("fonts"), contents(n).alias("contents")))
+        return once(self.grid.filter("valid"), scores=_scores(rows, self.options, first))
+
+    def _is_header(self, score: Column) -> Column:
+        return score >= HEADER_SCORE if self.options.detect_headers else F.lit(False)
+
+    @property
+    def _with_header(self) -> DataFrame:
+        """Valid records with has_header, scored only where the first row's place alone does not tell: no points are below zero."""
+        o = self.options
+        if not o.detect_headers or (o.header_first_row and FIRST_ROW >= HEADER_SCORE):
+            return self.grid.filter("valid").withColumn("has_header", F.lit(o.detect_headers))
+        return self._scored(first=True).withColumn("has_header", self._is_header(F.get("scores", F.lit(0))))
 
     @property
     def cells(self) -> DataFrame:
@@ -358,14 +396,14 @@ class Detected:
     @property
     def headed(self) -> DataFrame:
         """cells with is_header."""
-        return self._cells(self.tables, (F.col("has_header") & (F.col("r.table_row") == 0)).alias("is_header"))
+        return self._cells(self._with_header, (F.col("has_header") & (F.col("r.table_row") == 0)).alias("is_header"))
 
     @property
     def lined(self) -> DataFrame:
         """headed with a row for each table: (doc_id, page, grp, lines array<struct<table_row, is_header, cells array<struct<col, content>>>>)."""
         cell = lambda c: F.struct(c["col"].alias("col"), c["content"].alias("content"))
         line = lambda r: F.struct(r["table_row"].alias("table_row"), (F.col("has_header") & (r["table_row"] == 0)).alias("is_header"), F.transform(r["cells"], cell).alias("cells"))
-        return self.tables.select(*GROUP, F.transform("grid", line).alias("lines"))
+        return self._with_header.select(*GROUP, F.transform("grid", line).alias("lines"))
 
     @staticmethod
     def _cells(tables: DataFrame, *more: Column) -> DataFrame:
@@ -376,13 +414,14 @@ class Detected:
     @property
     def scores(self) -> DataFrame:
         """(doc_id, page, grp, table_row, score_percent)"""
-        return self.tables.select(*GROUP, F.posexplode("scores").alias("table_row", "score_percent"))
+        return self._scored().select(*GROUP, F.posexplode("scores").alias("table_row", "score_percent"))
 
     @property
     def headers(self) -> DataFrame:
         """(doc_id, page, grp, has_header, confidence, names): names are the header's cells, none without a header."""
         first = F.transform(F.get("grid", F.lit(0))["cells"], lambda c: c["content"])
-        return self.tables.select(
+        scored = self._scored(first=True)
+        return scored.withColumn("has_header", self._is_header(F.get("scores", F.lit(0)))).select(
             *GROUP,
             "has_header",
             F.when(F.col("has_header"), F.least(F.lit(100.0), F.get("scores", F.lit(0)))).otherwise(0.0).alias("confidence"),

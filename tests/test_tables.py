@@ -186,3 +186,46 @@ def test_formats_of_lines_are_those_of_cells(spark):
     for to in (formats.to_csv, formats.to_markdown, formats.to_array):
         assert to(lines, headers=False).collect() == to(cells, headers=False).collect()
         assert to(lines.withColumn("lines", F.slice("lines", 1, 1)), headers=False).count() == 0
+
+
+def test_let_does_not_copy(spark):
+    """A transform copies what its body returns, so nested ones copied a page's items at each level."""
+    made = spark.range(3).select(layout.let(F.col("id") + 1, lambda v: layout.let(v * v, lambda w: F.struct(v.alias("v"), w.alias("w")))).alias("z"))
+    assert [tuple(r.z) for r in made.collect()] == [(1, 1), (2, 4), (3, 9)]
+    assert "transform(" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cluster_starts(spark):
+    one = lambda vs, tol, anchor: spark.createDataFrame([(vs,)], "v array<double>").select(layout.cluster_starts(F.col("v"), tol, anchor).alias("at")).first().at
+    assert one([700.0, 698.0, 695.5, 690.0], 3.0, "mean") == [0, 2, 3] and one([700.0, 697.0, 694.5], 3.0, "mean") == [0, 2]
+    assert one([100.0, 104.0, 108.0], 5.0, "first") == [0, 2] and one([], 5.0, "first") == []
+    assert one([None, None, 1.0, 2.0, float("nan")], 5.0, "mean") == [0, 1, 2, 4]
+
+
+def test_an_item_takes_the_first_column_that_holds_it(spark):
+    """A width below zero: x is in column 0's range, which the item does not meet; column 1's mean is nearer."""
+    cols = F.array(*(F.struct(F.lit(k).alias("col"), *(F.lit(v).alias(n) for n, v in zip(("x", "min_x", "max_x", "width"), c))) for k, c in enumerate(((100.0, 0.0, 20.0, 20.0), (23.0, 40.0, 60.0, 20.0)))))
+    items = [(22.0, -40.0), (22.0, 30.0), (22.0, 4.0), (30.0, 2.0), (500.0, 1.0), (None, 1.0)]
+    o = tables.Options()
+    got = spark.createDataFrame([(k, *i) for k, i in enumerate(items)], "k int, x double, width double").select("k", tables._place(F.struct("x", "width"), tables._bounded(cols, o), o).alias("p")).orderBy("k").collect()
+    assert [(r.p.met, r.p.col) for r in got] == [(None, 0), (0, 0), (0, 0), (None, 1), (None, 0), (None, 0)]
+
+
+def test_only_scores_that_tell_are_made(spark):
+    """The place of a first row makes it a header; formats need no score then, and heads by look that of the first row alone."""
+    from leafloom.plans.table_queries import QUERIES
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().lower()
+        assert not [n for n in ("table_csv", "table_markdown", "table_html", "table_array", "table_objects", "table_json") if "rlike" in plan(n)]
+        assert "rlike" in plan("header_scores") and "map_from_arrays" in plan("table_objects")
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    items = pdf.text_items(files(spark, pdfparse.write([PAGE, [(t.lower(), x, y, size, "Helvetica") for t, x, y, size, _ in PAGE]])))
+    for o in (tables.Options(), tables.Options(header_first_row=False), tables.Options(detect_headers=False)):
+        d = tables.detect(items, o)
+        scores = {r.page: r.score_percent for r in d.scores.filter("table_row = 0").collect()}
+        has = {p: o.detect_headers and s >= tables.HEADER_SCORE for p, s in scores.items()}
+        assert len(scores) == 2 and {r.page: r.has_header for r in d.headers.collect()} == has
+        assert {r.page: r.lines[0].is_header for r in d.lined.collect()} == has
