@@ -95,6 +95,9 @@ def cluster_starts(values: Column, tolerance: float, anchor: str) -> Column:
 
     anchor "mean": a cluster goes on within ``tolerance`` of the mean of the cluster so far;
     "first": of the cluster's first value. Each step copies its state, so that holds starts, not labels.
+
+    Parts between gaps wider than the tolerance are the clusters where none of them is wider than that: what a cluster goes
+    on from lies between its ends. All else (a wide part, nulls, NaN, values so large that rounding might tell) is folded.
     """
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("at"))
 
@@ -105,7 +108,18 @@ def cluster_starts(values: Column, tolerance: float, anchor: str) -> Column:
         state = lambda total, n, at: F.struct((acc["i"] + 1).alias("i"), total.alias("sum"), n.alias("n"), at.alias("at"))
         return F.when(same, state(*more, acc["at"])).otherwise(state(v, F.lit(1), F.concat(acc["at"], F.array(acc["i"]))))
 
-    return F.aggregate(values, start, step, lambda acc: acc["at"])
+    folded = lambda v: F.aggregate(v, start, step, lambda acc: acc["at"])
+    if not tolerance > 0:
+        return folded(values)
+
+    def by_gaps(v: Column) -> Column:
+        n = F.size(v)
+        small = lambda k: F.coalesce(F.abs(F.get(v, k)) * n <= tolerance * 1e8, F.lit(False))
+        gaps = F.filter(F.transform(v, lambda x, k: F.when((k == 0) | (F.abs(x - F.get(v, k - 1)) > tolerance * (1 + 1e-6)), k)), lambda k: k.isNotNull())
+        wide = lambda at: F.filter(at, lambda f, k: F.abs(F.get(v, F.coalesce(F.get(at, k + 1), n) - 1) - F.get(v, f)) > tolerance * (1 - 1e-6))
+        return F.when(small(F.lit(0)) & small(n - 1), let(gaps, lambda at: F.when(F.size(wide(at)) == 0, at)))
+
+    return let(values, lambda v: F.coalesce(by_gaps(v), folded(v)))
 
 
 def parts(starts: Column, size: Column, of) -> Column:

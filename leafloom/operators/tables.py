@@ -73,20 +73,27 @@ def page_rows(items: DataFrame, o: Options = Options()) -> DataFrame:
 
     def page(i: Column) -> Column:
         down = F.sort_array(F.transform(i, lambda e, n: F.struct((-e["y"]).alias("k"), n.alias("n"))))
-        starts = lambda d: cluster_starts(F.transform(d, lambda e: -e["k"]), o.row_tolerance, "mean")
-        return let(down, lambda d: let(starts(d), lambda at: parts(at, F.size(d), lambda f, length, n: let(F.slice(d, f + 1, length), lambda mine: row(i, mine, n)))))
-
-    def row(i: Column, mine: Column, n: Column) -> Column:
-        known = F.nullif(F.size(F.filter(mine, lambda e: e["k"].isNotNull())), F.lit(0))
-        items = F.transform(F.sort_array(F.transform(mine, lambda e: e["n"])), lambda k: F.get(i, k))
-        xs = F.transform(mine, lambda e: F.get(i, e["n"])["x"])
+        starts = lambda d: cluster_starts(d["k"], o.row_tolerance, "mean")
+        made = lambda mine, n: let(taken(i, mine["n"]), lambda m: row(i, mine, m, n))
+        return let(down, lambda d: let(starts(d), lambda at: parts(at, F.size(d), lambda f, length, n: let(F.slice(d, f + 1, length), lambda mine: made(mine, n)))))
+
+    def taken(i: Column, ns: Column) -> Column:
+        # mostly neighbours
+        first, length = F.array_min(ns), F.size(ns)
+        return F.when(F.array_max(ns) - first + 1 == length, F.slice(i, first + 1, length)).otherwise(F.transform(F.sort_array(ns), lambda k: F.get(i, k)))
+
+    def row(i: Column, mine: Column, items: Column, n: Column) -> Column:
+        first, last = F.get(mine, F.lit(0))["k"], F.get(mine, F.size(mine) - 1)["k"]  # nulls first, NaN last
+        known = F.when(first.isNotNull(), F.size(mine)).otherwise(F.nullif(F.size(F.filter(mine["k"], lambda k: k.isNotNull())), F.lit(0)))
+        highest = F.array_max(F.transform(mine, lambda e: F.get(i, e["n"])["height"] - e["k"]))
+        even = first.isNotNull() & ~F.isnan(last) & (F.size(F.array_distinct(items["height"])) == 1)  # the top one is the highest then
         return F.struct(
             n.alias("row"),
-            (F.aggregate(mine, F.lit(0.0), lambda s, e: s + F.coalesce(-e["k"], F.lit(0.0))) / known).alias("y"),
-            F.array_min(F.transform(mine, lambda e: -e["k"])).alias("min_y"),
-            F.array_max(F.transform(mine, lambda e: F.get(i, e["n"])["height"] - e["k"])).alias("max_y"),
+            (F.aggregate(mine["k"], F.lit(0.0), lambda s, k: s - F.coalesce(k, F.lit(0.0))) / known).alias("y"),
+            F.when(F.isnan(last), F.array_min(F.transform(mine["k"], lambda k: -k))).otherwise(-last).alias("min_y"),
+            F.when(even, F.get(items, F.lit(0))["height"] - first).otherwise(highest).alias("max_y"),
             F.size(mine).cast("bigint").alias("n"),
-            let(xs, lambda v: F.array_max(v) - F.array_min(v)).alias("spread"),
+            let(items["x"], lambda v: F.array_max(v) - F.array_min(v)).alias("spread"),
             items.alias("items"),
         )
 
@@ -132,20 +139,26 @@ def _columns(rows: Column, row_count: Column, o: Options) -> Column:
     """array<struct<col, x, min_x, max_x, rows>>: clusters of x within the tolerance of the cluster's first x, if enough
     rows have an item within the tolerance of the cluster's mean."""
     tol, least = o.column_tolerance, F.greatest(F.lit(2), F.floor(row_count * F.lit(0.3)))
-    point = lambda r: lambda i: F.struct(i["x"].alias("x"), i["idx"].alias("idx"), i["width"].alias("width"), r["table_row"].alias("table_row"))
-    points = F.sort_array(F.flatten(F.transform(rows, lambda r: F.transform(r["items"], point(r)))))
+    point = lambda r: F.arrays_zip(r["items"]["x"].alias("x"), r["items"]["width"].alias("width"), F.array_repeat(r["table_row"], F.size(r["items"])).alias("table_row"))
+    points = F.sort_array(F.flatten(F.transform(rows, point)))
 
     def clusters(p: Column) -> Column:
-        near = lambda x: F.size(F.array_distinct(F.transform(F.filter(p, lambda e: F.abs(e["x"] - x) <= tol), lambda e: e["table_row"])))
-        mean = lambda m: F.aggregate(m, F.lit(0.0), lambda s, e: s + e["x"]) / F.size(m)
+        rows_of = lambda m: F.size(F.array_distinct(m["table_row"]))
+        mean = lambda m: F.aggregate(m["x"], F.lit(0.0), lambda s, x: s + x) / F.size(m)
+
+        def near(m: Column, x: Column, f: Column, length: Column) -> Column:
+            # p is sorted by x: if both ends are near and both neighbours are not, then the cluster is what is near
+            at, far = (lambda k: F.get(p, k)["x"]), (lambda e: e.isNull() | (F.abs(e - x) > tol))
+            alone = (F.abs(at(f) - x) <= tol) & (F.abs(at(f + length - 1) - x) <= tol) & far(at(f - 1)) & far(at(f + length))
+            return F.when(alone, rows_of(m)).otherwise(rows_of(F.filter(p, lambda e: F.abs(e["x"] - x) <= tol)))
 
-        def ends(m: Column) -> Column:
+        def ends(m: Column, f: Column, length: Column) -> Column:
             # sorted by x, so the first one's is the least; a null stands alone
             most = F.array_max(F.transform(m, lambda e: e["x"] + e["width"]))
-            return let(mean(m), lambda x: F.struct(x.alias("x"), F.get(m, F.lit(0))["x"].alias("min_x"), most.alias("max_x"), near(x).alias("rows")))
+            return let(mean(m), lambda x: F.struct(x.alias("x"), F.get(m, F.lit(0))["x"].alias("min_x"), most.alias("max_x"), near(m, x, f, length).alias("rows")))
 
-        found = lambda at: parts(at, F.size(p), lambda f, length, _: let(F.slice(p, f + 1, length), ends))
-        return F.sort_array(F.filter(let(cluster_starts(F.transform(p, lambda e: e["x"]), tol, "first"), found), lambda c: c["rows"] >= least))
+        found = lambda at: parts(at, F.size(p), lambda f, length, _: let(F.slice(p, f + 1, length), lambda m: ends(m, f, length)))
+        return F.sort_array(F.filter(let(cluster_starts(p["x"], tol, "first"), found), lambda c: c["rows"] >= least))
 
     return F.transform(let(points, clusters), lambda c, n: F.struct(n.cast("int").alias("col"), c["x"].alias("x"), c["min_x"].alias("min_x"), c["max_x"].alias("max_x"), c["rows"].alias("rows")))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafloom.operators import formats, layout, tables
+from leafloom.sources import layout as lines_layout
 from leafloom.sources import pdf, pdfparse
 
 CELLS = [["Name", "Age", "City"], ["Alice", "30", "New York"], ["Bob", "25", "Boston"], ["Charlie", "35", "Chicago"]]
@@ -229,3 +230,45 @@ def test_only_scores_that_tell_are_made(spark):
         has = {p: o.detect_headers and s >= tables.HEADER_SCORE for p, s in scores.items()}
         assert len(scores) == 2 and {r.page: r.has_header for r in d.headers.collect()} == has
         assert {r.page: r.lines[0].is_header for r in d.lined.collect()} == has
+
+
+def plan_of(spark, df):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_items_are_made_by_compiled_expressions(spark):
+    """Items were made by a function over an array of lines, which is interpreted."""
+    from leafloom.plans.table_queries import QUERIES
+
+    for name in ("columns_refine", "text_geometric"):
+        p = plan_of(spark, QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert p.count("Exchange ") == 1 and "transform(lines" not in p, name
+    lines = [(1, 3, 4, 1, 2.0, 5.0, "R", "O"), (1, 7, 6, 2, 2.0, 5.0, "N", "F"), (1, None, None, 3, 2.0, 5.0, "N", "F"), (2, 7, 5, 1, None, 5.0, None, None)]
+    frame = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string")
+    got = {r.doc_id: [(i.idx, i.str, i.x, i.font_name) for i in r["items"]] for r in lines_layout.order_page_arrays(frame).collect()}
+    bold, plain = "Helvetica-Bold", "Helvetica"
+    assert got[1] == [(4, "3", 101.0, bold), (5, "4", 201.0, bold), (6, "2", 301.0, bold), (7, "O", 401.0, bold), (8, "7", 100.0, plain), (9, "6", 200.0, plain), (11, "F", 400.0, plain), (15, "F", None, plain)]
+    assert got[2] == [(4, "7", 100.0, plain), (5, "5", 200.0, plain)]
+
+
+def test_clusters_by_gaps_are_those_of_the_fold(spark):
+    def plain(values, tol, anchor):
+        at, total, n = [], 0.0, 0
+        for k, v in enumerate(values):
+            if k and abs(total / n - v) <= tol:
+                total, n = (total + v, n + 1) if anchor == "mean" else (total, n)
+            else:
+                at, total, n = [*at, k], v, 1
+        return at
+
+    rng = random.Random(3)
+    lists = [sorted(rng.choice((10.0, 3.0, 0.1)) * rng.randrange(20) + rng.choice((0, 1, 5, 5.000001, 1e12)) for _ in range(rng.randrange(1, 12))) for _ in range(300)] + [[0.1] * 3 + [5.1], [-5.0, 0.0, 5.0]]
+    frame = spark.createDataFrame(list(enumerate(lists)), "k int, v array<double>")
+    for anchor in ("mean", "first"):
+        for tol in (3.0, 5.0, 0.0):
+            got = {r.k: r.at for r in frame.select("k", layout.cluster_starts(F.col("v"), tol, anchor).alias("at")).collect()}
+            assert got == {k: plain(v, tol, anchor) for k, v in enumerate(lists)}
