@@ -185,6 +185,22 @@ def _bounded(cols: Column, o: Options) -> Column:
     return F.transform(cols, lambda c: F.struct(*(c[k].alias(k) for k in names), (c["min_x"] - o.column_tolerance).alias("lo"), (c["max_x"] + o.column_tolerance).alias("hi")))
 
 
+def _near(item: Column, right: Column, cols: Column) -> Column:
+    """Those of the ``_bounded`` columns that an item, which ends at right, overlaps within the tolerance."""
+    return F.filter(cols, lambda c: (item["x"] <= c["hi"]) & (right >= c["lo"]))
+
+
+def _several(met: Column) -> Column:
+    """How many different columns are met, nulls aside."""
+    return F.size(F.array_distinct(F.filter(met, lambda k: k.isNotNull())))
+
+
+def _filled(row: Column, cols: Column) -> Column:
+    """What ``_grid_row`` calls filled, without cells."""
+    met = lambda i: F.get(let(i["x"] + i["width"], lambda right: _near(i, right, cols)), F.lit(0))["col"]
+    return _several(F.transform(row["items"], met))
+
+
 def _place(item: Column, cols: Column, o: Options) -> Column:
     """struct<met, col>: the first of the ``_bounded`` columns that an item overlaps within the tolerance, null if none; its cell's column.
 
@@ -320,13 +336,19 @@ def _shape(record: DataFrame, o: Options) -> DataFrame:
     return once(record, s=found).select(*GROUP, "row_count", "rows", "s.raw", "s.cols", F.size("s.cols").alias("column_count"))
 
 
-def _grid(shape: DataFrame, o: Options) -> DataFrame:
-    """``_shape`` with grid rows and what tells whether they are a table."""
+def _grid(shape: DataFrame, o: Options, cells: bool = True) -> DataFrame:
+    """``_shape`` with grid rows (none without cells) and what tells whether they are a table."""
 
     def full(grid: Column) -> Column:
         return F.struct(grid.alias("grid"), F.aggregate(grid, F.lit(0).cast("bigint"), lambda s, r: s + r["filled"]).alias("filled_cells"))
 
-    g = once(shape, t=let(_bounded(F.col("cols"), o), lambda cols: let(F.transform("rows", lambda r: _grid_row(r, cols, o)), full))).select(*shape.columns, "t.grid", "t.filled_cells")
+    def made(cols: Column) -> Column:
+        if cells:
+            return let(F.transform("rows", lambda r: _grid_row(r, cols, o)), full)
+        return F.struct(F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, r: s + _filled(r, cols)).alias("filled_cells"))
+
+    names = ("t.grid", "t.filled_cells") if cells else ("t.filled_cells",)
+    g = once(shape, t=let(_bounded(F.col("cols"), o), made)).select(*shape.columns, *names)
     total = (F.col("row_count") * F.col("column_count")).cast("bigint")
     g = g.withColumn("total_cells", total).withColumn("density", F.col("filled_cells") / F.nullif("total_cells", F.lit(0)))
     few_rows, few_cols, thin = F.col("row_count") < o.min_rows, F.col("column_count") < o.min_columns, F.col("density") < o.min_density
@@ -341,15 +363,17 @@ class Detected:
     """One detection: ``grid`` has a record for each row group, everything else is a projection of it.
 
     ``found`` and ``shape`` are its stages before: what needs no grid or no columns is a projection of them.
+    ``counts`` is the grid without its cells.
     """
 
     grid: DataFrame
     options: Options = Options()
     found: DataFrame | None = None
     shape: DataFrame | None = None
+    counts: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        self.found, self.shape = self.found or self.grid, self.shape or self.grid
+        self.found, self.shape, self.counts = self.found or self.grid, self.shape or self.grid, self.counts or self.grid
 
     @property
     def items(self) -> DataFrame:
@@ -374,7 +398,7 @@ class Detected:
     @property
     def valid(self) -> DataFrame:
         """(doc_id, page, grp, row_count, column_count, filled_cells, total_cells, density, valid, reason) of each group that has columns."""
-        return self.grid.filter("column_count > 0").select(*GROUP, "row_count", "column_count", "filled_cells", "total_cells", "density", "valid", "reason")
+        return self.counts.filter("column_count > 0").select(*GROUP, "row_count", "column_count", "filled_cells", "total_cells", "density", "valid", "reason")
 
     @property
     def tables(self) -> DataFrame:
@@ -468,7 +492,7 @@ def detect(items: DataFrame, o: Options = Options(), keep: bool = False) -> Dete
     found = records(items, o)
     shape = _shape(found, o)
     grid = _grid(shape, o)
-    return Detected(materialise(grid, "tables"), o) if keep else Detected(grid, o, found, shape)
+    return Detected(materialise(grid, "tables"), o) if keep else Detected(grid, o, found, shape, _grid(shape, o, cells=False))
 
 
 def boxes(d: Detected) -> DataFrame:

@@ -272,3 +272,13 @@ def test_clusters_by_gaps_are_those_of_the_fold(spark):
         for tol in (3.0, 5.0, 0.0):
             got = {r.k: r.at for r in frame.select("k", layout.cluster_starts(F.col("v"), tol, anchor).alias("at")).collect()}
             assert got == {k: plain(v, tol, anchor) for k, v in enumerate(lists)}
+
+
+def test_a_grid_is_counted_without_its_cells(spark):
+    """grid_density names no cell, but made them all, with their texts."""
+    from leafloom.plans.table_queries import QUERIES
+
+    assert "regexp_replace(" not in plan_of(spark, QUERIES["grid_density"](spark, "/root/testdata/sf0.001"))
+    rows = [(1, 1, 10 * r + k, "a", x, 700.0 - 20 * r, w, 12.0, "F", 12.0) for r in range(3) for k, (x, w) in enumerate(((100.0, 5.0), (150.0, 60.0 if r else 5.0), (200.0, -9.0), (300.0, 5.0))[: 3 + r % 2])]
+    d = tables.detect(spark.createDataFrame(rows, ITEMS))
+    assert d.valid.collect() == tables.Detected(d.grid).valid.collect() and d.valid.count() == 1
