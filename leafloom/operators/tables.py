@@ -190,36 +190,30 @@ def _near(item: Column, right: Column, cols: Column) -> Column:
     return F.filter(cols, lambda c: (item["x"] <= c["hi"]) & (right >= c["lo"]))
 
 
-def _several(met: Column) -> Column:
-    """How many different columns are met, nulls aside."""
-    return F.size(F.array_distinct(F.filter(met, lambda k: k.isNotNull())))
-
-
-def _filled(row: Column, cols: Column) -> Column:
-    """What ``_grid_row`` calls filled, without cells."""
-    met = lambda i: F.get(let(i["x"] + i["width"], lambda right: _near(i, right, cols)), F.lit(0))["col"]
-    return _several(F.transform(row["items"], met))
-
-
 def _place(item: Column, cols: Column, o: Options) -> Column:
     """struct<met, col>: the first of the ``_bounded`` columns that an item overlaps within the tolerance, null if none; its cell's column.
 
     That is the first one whose range (with tolerance) holds x or that the item overlaps, else the nearest one.
-    What holds or overlaps is met too, unless the item's width is below zero, so only columns that are met are looked at.
+    What holds or overlaps is met too, unless the item's width is below zero, so only columns that are met are looked at,
+    and the first of them is mostly the one.
     """
     x = item["x"]
 
-    def place(right: Column, near: Column) -> Column:
-        some = F.when(item["width"] >= 0, near).otherwise(cols) if o.column_tolerance >= 0 else cols
-        inside = F.filter(some, lambda c: x.between(c["lo"], c["hi"]) | ((x < c["max_x"]) & (right > c["min_x"])))
+    def place(right: Column, near: Column, met: Column) -> Column:
+        forward = (item["width"] >= 0) if o.column_tolerance >= 0 else F.lit(False)
+        inside = F.filter(F.when(forward, near).otherwise(cols), lambda c: x.between(c["lo"], c["hi"]) | ((x < c["max_x"]) & (right > c["min_x"])))
         far = F.transform(cols, lambda c: F.struct(F.least(F.abs(x - c["x"]), F.abs(x - c["min_x"]), F.abs(x - c["max_x"])).alias("d"), c["col"].alias("col")))
-        return F.struct(F.get(near, F.lit(0))["col"].alias("met"), F.coalesce(F.get(inside, F.lit(0))["col"], F.array_min(far)["col"]).alias("col"))
+        col = F.when(forward & (x >= met["lo"]), met["col"]).otherwise(F.coalesce(F.get(inside, F.lit(0))["col"], F.array_min(far)["col"]))
+        return F.struct(met["col"].alias("met"), col.alias("col"))
+
+    return let(x + item["width"], lambda right: let(_near(item, right, cols), lambda near: let(F.get(near, F.lit(0)), lambda met: place(right, near, met))))
 
-    return let(x + item["width"], lambda right: let(F.filter(cols, lambda c: (x <= c["hi"]) & (right >= c["lo"])), lambda near: place(right, near)))
 
+def _cell(row: Column, c: Column, at: Column, alone: Column) -> Column:
+    """One cell: its items joined by spaces from left to right; without items it takes its place from its column and row.
 
-def _cell(row: Column, c: Column, mine: Column) -> Column:
-    """One cell: its items joined by spaces from left to right; without items it takes its place from its column and row."""
+    at: the columns of the row's items; alone: whether no two of them are in the same one.
+    """
 
     def cell(content: Column, x: Column, y: Column, width: Column, height: Column, filled: bool) -> Column:
         return F.struct(c["col"].alias("col"), content.alias("content"), x.alias("x"), y.alias("y"), width.alias("width"), height.alias("height"), F.lit(filled).alias("filled"))
@@ -234,19 +228,31 @@ def _cell(row: Column, c: Column, mine: Column) -> Column:
         return cell(T.strip(F.coalesce(i["str"], F.lit(""))), i["x"], i["y"], i["x"] + i["width"] - i["x"], i["y"] + i["height"] - i["y"], True)
 
     empty = cell(F.lit(""), c["min_x"], row["min_y"], c["width"], row["max_y"] - row["min_y"], False)
-    return let(mine, lambda m: F.when(F.size(m) == 1, let(F.get(m, F.lit(0)), single)).when(F.size(m) == 0, empty).otherwise(several(m)))
+    mine = F.filter(row["items"], lambda _, n: F.get(at, n) == c["col"])
+    first = lambda k: let(F.get(row["items"], (k - 1).cast("int")), single)
+    more = let(mine, lambda m: F.when(F.size(m) == 1, let(F.get(m, F.lit(0)), single)).otherwise(several(m)))
+    return let(F.array_position(at, c["col"]), lambda k: F.when(k == 0, empty).when(alone, first(k)).otherwise(more))
 
 
 def _grid_row(row: Column, cols: Column, o: Options) -> Column:
     """struct<table_row, filled, cells>: how many columns the row's items meet, and a cell for each of the ``_bounded`` columns."""
-    items = row["items"]
 
     def grid_row(places: Column) -> Column:
-        met = F.array_distinct(F.filter(F.transform(places, lambda p: p["met"]), lambda k: k.isNotNull()))
-        cells = F.transform(cols, lambda c: _cell(row, c, F.filter(items, lambda _, n: F.get(places, n)["col"] == c["col"])))
-        return F.struct(row["table_row"].alias("table_row"), F.size(met).alias("filled"), cells.alias("cells"))
+        cells = lambda at: let(F.size(F.array_distinct(at)) == F.size(at), lambda alone: F.transform(cols, lambda c: _cell(row, c, at, alone)))
+        return F.struct(row["table_row"].alias("table_row"), _several(places["met"]).alias("filled"), let(places["col"], cells).alias("cells"))
+
+    return let(F.transform(row["items"], lambda i: _place(i, cols, o)), grid_row)
+
+
+def _several(met: Column) -> Column:
+    """How many different columns are met, nulls aside."""
+    return F.size(F.array_distinct(F.filter(met, lambda k: k.isNotNull())))
+
 
-    return let(F.transform(items, lambda i: _place(i, cols, o)), grid_row)
+def _filled(row: Column, cols: Column) -> Column:
+    """What ``_grid_row`` calls filled, without cells."""
+    met = lambda i: F.get(let(i["x"] + i["width"], lambda right: _near(i, right, cols)), F.lit(0))["col"]
+    return _several(F.transform(row["items"], met))
 
 
 def _looks(fonts: Column) -> Column:

@@ -282,3 +282,13 @@ def test_a_grid_is_counted_without_its_cells(spark):
     rows = [(1, 1, 10 * r + k, "a", x, 700.0 - 20 * r, w, 12.0, "F", 12.0) for r in range(3) for k, (x, w) in enumerate(((100.0, 5.0), (150.0, 60.0 if r else 5.0), (200.0, -9.0), (300.0, 5.0))[: 3 + r % 2])]
     d = tables.detect(spark.createDataFrame(rows, ITEMS))
     assert d.valid.collect() == tables.Detected(d.grid).valid.collect() and d.valid.count() == 1
+
+
+def test_cells_find_their_items_by_place(spark):
+    """Each cell held every item of its row against its column; two items of a cell are joined all the same."""
+    from leafloom.plans.table_queries import QUERIES
+
+    assert "array_position(" in plan_of(spark, QUERIES["grid_fill"](spark, "/root/testdata/sf0.001"))
+    rows = [(1, 1, 10 * r + k, s, x, 700.0 - 20 * r, 5.0, 12.0, "F", 12.0) for r, row in enumerate(([("b", 103.0), (" a ", 100.0), ("c", 200.0)], [("d", 101.0), ("e", 201.0)], [("f", 202.0), ("g", 300.0)], [("h", 100.0), (None, 200.0), ("i", 301.0)])) for k, (s, x) in enumerate(row)]
+    got = {(c.table_row, c.col): (c.content, c.filled) for c in tables.detect(spark.createDataFrame(rows, ITEMS)).cells.collect()}
+    assert got == {(0, 0): ("a  b", True), (0, 1): ("c", True), (0, 2): ("", False), (1, 0): ("d", True), (1, 1): ("e", True), (1, 2): ("", False), (2, 0): ("", False), (2, 1): ("f", True), (2, 2): ("g", True), (3, 0): ("h", True), (3, 1): ("", True), (3, 2): ("i", True)}
