@@ -324,16 +324,21 @@ def consistency(groups: DataFrame, tolerance: float = 10.0) -> DataFrame:
     return groups.select(*GROUP, score.alias("consistency"))
 
 
-def records(items: DataFrame, o: Options = Options()) -> DataFrame:
-    """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array.
-
-    The one shuffle, of items that come as rows, names its number of partitions: a page costs far more time
-    than bytes, and merged by bytes a small input would be left to one task.
-    """
+def _paged_rows(items: DataFrame, o: Options) -> DataFrame:
+    """``page_rows``; the one shuffle, of items that come as rows, names its number of partitions: a page costs far more
+    time than bytes, and merged by bytes a small input would be left to one task."""
     if "items" not in items.columns:
         items = paged(items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAGE))
-    groups = F.get(F.transform(F.array("rows"), lambda r: _groups(r, o)), F.lit(0))  # the plan's text shows a detection by this
-    return page_rows(items, o).select(*PAGE, F.inline(groups))
+    return page_rows(items, o)
+
+
+def _page_groups(o: Options) -> Column:
+    return F.get(F.transform(F.array("rows"), lambda r: _groups(r, o)), F.lit(0))  # the plan's text shows a detection by this
+
+
+def records(items: DataFrame, o: Options = Options()) -> DataFrame:
+    """(doc_id, page, grp, row_count, rows): one row for each row group, its rows (with their items) in an array."""
+    return _paged_rows(items, o).select(*PAGE, F.inline(_page_groups(o)))
 
 
 def _shape(record: DataFrame, o: Options) -> DataFrame:
@@ -369,7 +374,7 @@ class Detected:
     """One detection: ``grid`` has a record for each row group, everything else is a projection of it.
 
     ``found`` and ``shape`` are its stages before: what needs no grid or no columns is a projection of them.
-    ``counts`` is the grid without its cells.
+    ``counts`` is the grid without its cells, ``pages`` has the rows of every page, also of those without a group.
     """
 
     grid: DataFrame
@@ -377,6 +382,7 @@ class Detected:
     found: DataFrame | None = None
     shape: DataFrame | None = None
     counts: DataFrame | None = None
+    pages: DataFrame | None = None
 
     def __post_init__(self) -> None:
         self.found, self.shape, self.counts = self.found or self.grid, self.shape or self.grid, self.counts or self.grid
@@ -495,10 +501,11 @@ def column_at(col: int) -> Column:
 
 def detect(items: DataFrame, o: Options = Options(), keep: bool = False) -> Detected:
     """All stages. ``keep`` writes the records to the shared folder, for callers that read them more than once."""
-    found = records(items, o)
+    pages = _paged_rows(items, o)
+    found = pages.select(*PAGE, F.inline(_page_groups(o)))
     shape = _shape(found, o)
     grid = _grid(shape, o)
-    return Detected(materialise(grid, "tables"), o) if keep else Detected(grid, o, found, shape, _grid(shape, o, cells=False))
+    return Detected(materialise(grid, "tables"), o) if keep else Detected(grid, o, found, shape, _grid(shape, o, cells=False), pages)
 
 
 def boxes(d: Detected) -> DataFrame:
@@ -520,10 +527,21 @@ def summary(d: Detected) -> DataFrame:
     return boxes(d).select(*PAGE, ident.alias("table_id"), "row_count", "column_count", F.col("density").alias("confidence"), "x", "y", "width", "height")
 
 
-def result(d: Detected, items: DataFrame) -> DataFrame:
-    """(doc_id, pages_processed, table_count, filtered_candidates) of each document."""
+def result(d: Detected, items: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pages_processed, table_count, filtered_candidates) of each document.
+
+    Documents are those of the detection's items, which are read once; other items need a join, as does a detection that is kept.
+    """
+    counted = (F.count_if("valid").alias("table_count"), F.count_if(~F.col("valid")).alias("filtered_candidates"))
+    if items is None and d.pages is not None:
+        groups = d.pages.select(*PAGE, F.inline_outer(_page_groups(d.options)))
+        valid = F.when(F.col("column_count") > 0, F.col("valid")).alias("valid")
+        counts = _grid(_shape(groups, d.options), d.options, cells=False).select(*PAGE, valid)
+        return counts.groupBy("doc_id").agg(F.count_distinct("page").alias("pages_processed"), *counted)
+    if items is None:
+        raise ValueError("a detection that is kept has no pages without tables: name its items")
     pages = items.groupBy("doc_id").agg(F.count_distinct("page").alias("pages_processed"))  # of rows, or one a page
-    found = d.valid.groupBy("doc_id").agg(F.count_if("valid").alias("table_count"), F.count_if(~F.col("valid")).alias("filtered_candidates"))
+    found = d.valid.groupBy("doc_id").agg(*counted)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return pages.join(found, "doc_id", "left").select("doc_id", "pages_processed", zero("table_count"), zero("filtered_candidates"))
 

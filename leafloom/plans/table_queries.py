@@ -137,7 +137,7 @@ def table_summary(spark, sf):
 @query("""SELECT p.doc_id, p.n AS pages_processed, coalesce(t, 0) AS table_count, coalesce(f, 0) AS filtered_candidates FROM (SELECT doc_id, count(DISTINCT page) AS n FROM items_ GROUP BY doc_id) p
 LEFT JOIN (SELECT doc_id, count(*) FILTER (valid) AS t, count(*) FILTER (NOT valid) AS f FROM valid_ GROUP BY doc_id) v USING (doc_id)""")
 def table_result(spark, sf):
-    return B.result(detected(spark, sf), pages(spark, sf))
+    return B.result(detected(spark, sf))
 
 
 @query("SELECT doc_id, page, grp, string_agg(line, chr(10) ORDER BY table_row) AS csv FROM csvrow GROUP BY ALL")

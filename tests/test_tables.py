@@ -292,3 +292,18 @@ def test_cells_find_their_items_by_place(spark):
     rows = [(1, 1, 10 * r + k, s, x, 700.0 - 20 * r, 5.0, 12.0, "F", 12.0) for r, row in enumerate(([("b", 103.0), (" a ", 100.0), ("c", 200.0)], [("d", 101.0), ("e", 201.0)], [("f", 202.0), ("g", 300.0)], [("h", 100.0), (None, 200.0), ("i", 301.0)])) for k, (s, x) in enumerate(row)]
     got = {(c.table_row, c.col): (c.content, c.filled) for c in tables.detect(spark.createDataFrame(rows, ITEMS)).cells.collect()}
     assert got == {(0, 0): ("a  b", True), (0, 1): ("c", True), (0, 2): ("", False), (1, 0): ("d", True), (1, 1): ("e", True), (1, 2): ("", False), (2, 0): ("", False), (2, 1): ("f", True), (2, 2): ("g", True), (3, 0): ("h", True), (3, 1): ("", True), (3, 2): ("i", True)}
+
+
+def test_a_result_reads_its_items_once(spark):
+    """table_result read the lines twice and joined; documents without a table count all the same."""
+    from leafloom.plans.table_queries import QUERIES
+
+    p = plan_of(spark, QUERIES["table_result"](spark, "/root/testdata/sf0.001"))
+    assert p.count("FileScan") == 1 and p.count("Exchange ") == 1 and "Join" not in p and "regexp_replace(" not in p
+    made = lambda doc, page, xs: [(doc, page, 10 * r + k, "a", x, 700.0 - 20 * r, 5.0, 12.0, "F", 12.0) for r in range(2) for k, x in enumerate(xs)]
+    rows = [*made(1, 1, (100.0, 200.0)), *made(1, 2, (100.0,)), *made(2, 1, (100.0,)), *made(3, 1, (100.0, 200.0, 300.0))[:4]]
+    items = spark.createDataFrame(rows, ITEMS)
+    d = tables.detect(items)
+    assert sorted(map(tuple, tables.result(d).collect())) == sorted(map(tuple, tables.result(d, items).collect())) == [(1, 2, 1, 0), (2, 1, 0, 0), (3, 1, 0, 0)]
+    with pytest.raises(ValueError):
+        tables.result(tables.Detected(d.grid))
