@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
 
 
-#: Partitions for each split of the input: the tasks that sort lines and make items, about 450 bytes a line, hold this part of a split.
-DEALT = 32
+#: Partitions for each split of the input: the tasks that sort lines and make their items, about 450 bytes a line by estimate, hold this part of a split.
+DEALT = 16
 
 
 def dealt(scan: DataFrame, key: str) -> DataFrame:
